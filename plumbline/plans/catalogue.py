@@ -1,4 +1,8 @@
 """All queries of the library, with DuckDB SQL for each that SQL can express."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from plumbline.plans import judging  # noqa: F401  (registers its queries)
+from plumbline.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

@@ -1,6 +1,6 @@
 """Resumable work as a stream: new score files are scored once, whatever is restarted.
 
-An extension: the reference workload is batch, and its resumable loops (skip
+An extension: the workload is batch, and its resumable loops (skip
 what is done, retry what failed) are covered by an ``availableNow`` file stream
 whose batches skip keys already in the sink.
 """
