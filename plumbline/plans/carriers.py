@@ -21,7 +21,7 @@ def event_scores(spark: SparkSession, sf: str) -> DataFrame:
     rows = e.select(
         F.col("event_id").alias("item_id"), F.col("user_id").alias("prompt_idx"), "event_type", "ts",
         F.when(F.col("event_type").isin("purchase", "signup"), 1).otherwise(0).alias("label"),
-        F.explode(F.array(F.struct(F.lit("coarse").alias("judge"), (F.floor(event_k() / 10) / 10).alias("score")), F.struct(F.lit("fine"), F.col("value") / 500))).alias("s"),
+        F.explode(F.array(F.struct(F.lit("coarse").alias("judge"), (F.floor(event_k() / 10) / F.lit(10.0)).alias("score")), F.struct(F.lit("fine").alias("judge"), (F.col("value") / 500).alias("score")))).alias("s"),
     )
     return rows.select("s.judge", "item_id", "prompt_idx", "event_type", "ts", "label", "s.score")
 
@@ -42,7 +42,7 @@ def exam_items(spark: SparkSession, sf: str) -> DataFrame:
     rows = o.select(
         F.col("o_orderkey").alias("item_id"), inst.alias("instrument"), F.substring("o_orderpriority", 1, 1).alias("dimension"), (F.floor(F.col("o_orderkey") / 8) % 3 + 1).cast("int").alias("severity"),
         (F.col("o_custkey") % 50).cast("int").alias("prompt_idx"), (F.col("o_custkey") % 3).alias("seed"), (F.floor(F.col("o_orderkey") / 8) % 6 / 5).alias("adapter_scale"),
-        F.explode(F.array(F.struct(F.lit("price").alias("judge"), price.alias("score")), F.struct(F.lit("tenths"), F.floor(price * 10) / 10))).alias("s"),
+        F.explode(F.array(F.struct(F.lit("price").alias("judge"), price.alias("score")), F.struct(F.lit("tenths").alias("judge"), (F.floor(price * 10) / F.lit(10.0)).alias("score")))).alias("s"),
     )
     return rows.select("s.judge", "item_id", "instrument", "dimension", "severity", "prompt_idx", "seed", "adapter_scale", "s.score")
 
