@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import platt
-from plumbline.functions.vectors import dot, minus, normalised, project_out
+from plumbline.functions.vectors import dot, let, minus, normalised, project_out
 
 
 def mean_vector(df: DataFrame, by: list[str], vec: str = "vec", out: str = "mean") -> DataFrame:
@@ -48,7 +48,8 @@ def without_direction(df: DataFrame, direction: DataFrame, vec: str = "vec", out
     """Vectors with the direction taken out, made unit again (length + 1e-9)."""
     one = direction.withColumn("_one", F.lit(1))
     rows = df.withColumn("_one", F.lit(1)).join(one, "_one").drop("_one")
-    return rows.withColumn(out, normalised(project_out(vec, "direction"), 1e-9)).drop("direction")
+    rows = rows.withColumn(out, project_out(vec, "direction"))
+    return rows.withColumn(out, let(F.col(out), lambda v: normalised(v, 1e-9))).drop("direction")
 
 
 def single_direction(base_drop: Column, tuned_drop: Column) -> Column:
