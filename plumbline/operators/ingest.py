@@ -18,15 +18,16 @@ def brand_map(pages: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in pages.items() for x in kv])
 
 
-def ad_images(ads: DataFrame, pages: dict[str, str]) -> DataFrame:
+def ad_images(ads: DataFrame, pages: dict[str, str], ids: tuple[str, ...] = ("adArchiveId", "adArchiveID")) -> DataFrame:
     """One row an image of the ads whose page is known: images first, then cards, in order.
 
     An image seen before (its URL without the query) is left out; the first ad
-    in ``ad_pos``, then the first image, keeps it.
+    in ``ad_pos``, then the first image, keeps it.  Two ``ids`` that differ only
+    by case need ``spark.sql.caseSensitive``.
     """
     rows = ads.withColumn("brand", brand_map(pages)[F.col("pageName")]).where("brand is not null")
     rows = rows.select(
-        "brand", "ad_pos", first_truthy("adArchiveId", "adArchiveID", default="unknown").alias("ad_id"), F.col("startDate").alias("start_date"),
+        "brand", "ad_pos", first_truthy(*ids, default="unknown").alias("ad_id"), F.col("startDate").alias("start_date"),
         F.col("snapshot.displayFormat").alias("display_format"), F.col("isActive").alias("is_active"),
         F.posexplode(F.concat(_urls("snapshot.images"), _urls("snapshot.cards"))).alias("idx", "url"),
     )

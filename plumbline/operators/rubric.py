@@ -18,13 +18,14 @@ def parse(responses: DataFrame, text: str = "text", schema: str = SCHEMA) -> Dat
     counts.  The object runs from the first brace to the last, so two objects in
     one reply do not parse.
     """
-    body = json_object(text)
-    # of a list of objects, the first
-    first = F.when(F.trim(F.regexp_replace(F.regexp_replace(F.col(text), "^\\s*```[a-z]*", ""), "```\\s*$", "")).startswith("["), F.get_json_object(F.concat(F.lit("["), body, F.lit("]")), "$[0]")).otherwise(body)
-    rows = responses.withColumn("_body", first).withColumn("_ok", F.try_parse_json("_body").isNotNull())
-    rows = rows.withColumn("_v", F.when(F.col("_ok"), F.from_json("_body", schema)))
-    error = F.when(F.col("_body").isNull(), "nojson").when(~F.col("_ok"), "parse")
-    return rows.select(*responses.columns, "_v.*", error.alias("error"))
+    wrapped = F.concat(F.lit("["), json_object(text), F.lit("]"))  # two objects without a comma are no array
+    is_list = F.ltrim(F.regexp_replace(F.col(text), r"^\s*```[a-z]*", "")).startswith("[")
+    rows = responses.withColumns({"_wrapped": wrapped, "_list": is_list})
+    rows = rows.withColumn("_all", F.when(F.try_parse_json("_wrapped").isNotNull(), F.from_json("_wrapped", f"array<struct<{schema.replace(' int', ': int').replace(' string', ': string')}>>")))
+    good = (F.size("_all") == 1) | ((F.size("_all") > 1) & F.col("_list"))
+    error = F.when(F.col("_wrapped").isNull(), "nojson").when(~F.coalesce(good, F.lit(False)), "parse")
+    rows = rows.withColumn("_error", error).withColumn("_v", F.when(F.col("_error").isNull(), F.get("_all", F.lit(0))))
+    return rows.select(*responses.columns, "_v.*", F.col("_error").alias("error"))
 
 
 def scores(parsed: DataFrame, judge: str, scale: float = 10.0) -> DataFrame:
