@@ -125,15 +125,15 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -score))[:k]
 
 
-def _floors(width: int, k: int):
-    """The k-th best score of each query in one block of candidates."""
+def _floors(width: int, k: int, seeds):
+    """The k-th best score of each query in one block of candidates, the broadcast ``(ids, ints)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        theirs, c = np.frombuffer(seeds.value[0], np.int64), np.frombuffer(seeds.value[1], np.int64).reshape(-1, width)
         for batch in batches:
             out = []
-            for q_ids, q_ints, c_ids, c_ints in zip(*(batch.column(n).to_pylist() for n in ("ids", "ints", "c_ids", "c_ints")), strict=True):
-                q, c = (np.frombuffer(x, np.int64).reshape(-1, width) for x in (q_ints, c_ints))
-                mine, theirs = np.frombuffer(q_ids, np.int64), np.frombuffer(c_ids, np.int64)
+            for q_ids, q_ints in zip(*(batch.column(n).to_pylist() for n in ("ids", "ints")), strict=True):
+                q, mine = np.frombuffer(q_ints, np.int64).reshape(-1, width), np.frombuffer(q_ids, np.int64)
                 score = _exact(q, c).astype(float)
                 score[mine[:, None] == theirs[None, :]] = -np.inf
                 floor = np.full(len(q), -np.inf)
@@ -185,9 +185,9 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = TOP, hea
     dealt = queries.repartitionByRange(max(1, -(-n // QUERY_BLOCK)), "vec_id").select("vec_id", "v")
     asked = dealt.mapInArrow(_pack(width, turn, QUERY_BLOCK), _PACKED)
     c = candidates.select("block", F.col("longest").alias("c_longest"), *(F.col(x).alias(f"c_{x}") for x in ("ids", "ints", "turned")))
-    first = c.orderBy(F.desc("c_longest"), "block").limit(1).select(F.lit(0).alias("of"), "c_ids", "c_ints")
-    asked = asked.withColumn("of", F.lit(0)).join(F.broadcast(first), "of").drop("of")  # one block of at most BLOCK vectors
-    floored = asked.mapInArrow(_floors(width, k), f"{_PACKED}, floors binary")
+    first = c.orderBy(F.desc("c_longest"), "block").select("c_ids", "c_ints").first()  # one block: at most BLOCK vectors
+    seeds = spark.sparkContext.broadcast((bytes(first["c_ids"]), bytes(first["c_ints"])) if first else (b"", b""))
+    floored = asked.mapInArrow(_floors(width, k, seeds), f"{_PACKED}, floors binary")
     floored = staged(floored, "queries")
     stripes = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = floored.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
