@@ -37,13 +37,13 @@ def _labelled(spark, sf):
 
 
 @query(f"""WITH {_LABELLED}, a AS ({auc_sql('la', '', 'label = 1')}), t AS (SELECT quantile_cont(score, 0.05) AS threshold FROM la WHERE label = 1)
-SELECT 'length' AS judge, n_pos, n_neg, auc, round(threshold, 6) AS threshold, (SELECT round(avg((score < threshold)::int), 6) FROM la, t WHERE label = 1) AS fpr_realized, ece
-FROM a, t, ({ece_sql('la', '')})""")
+SELECT 'length' AS judge, n_pos, n_neg, auc, round(threshold, 9) AS threshold, (SELECT round(avg((score < threshold)::int), 9) FROM la, t WHERE label = 1) AS fpr_realized, ece
+FROM a, t, ({ece_sql('la', '').replace(', 6)', ', 9)')})""")
 def report_one_pass(spark, sf):
     """Document length as a judge of quality."""
     rows = _labelled(spark, sf).withColumn("judge", F.lit("length"))
     out = metrics.auc(rows, ["judge"], "label = 1").join(metrics.detection(rows, ["judge"], "label = 1"), "judge").join(metrics.ece(rows, ["judge"]), "judge")
-    return rounded(out, "auc", "threshold", "fpr_realized", "ece")
+    return rounded(out, "auc").withColumns({c: F.round(c, 9) for c in ("threshold", "fpr_realized", "ece")})
 
 
 @query(f"WITH {EVENTS_SQL} {auc_sql('ev', 'judge, event_type', 'extract(hour FROM ts) < 12')}")

@@ -146,3 +146,22 @@ def leaderboard(spark, sf):
         hacks = one if hacks is None else hacks.unionByName(one)
     board = pressure.leaderboard(judge_table(spark), card, gaps, hacks)
     return board.withColumns({c: F.round(c, 5) for c in ("mean_score", "peak_minus_final", "gold_min", "hack_gap", "control_leak")})
+
+
+@query(f"WITH {STAGED_SQL} SELECT judge, round(avg(score) FILTER (kind = 'control' AND cand < 2), 6) AS seen, round(avg(score) FILTER (kind = 'control' AND cand >= 2), 6) AS unseen, round(avg(score) FILTER (kind = 'brand'), 6) AS brand, count(*) FILTER (kind = 'control') AS attacks FROM st WHERE stage = 'tuned' GROUP BY judge")
+def hardening_summary(spark, sf):
+    """How a judge scores attacks it was trained against, others, and real items."""
+    rows = staged_scores(spark, sf).where("stage = 'tuned'")
+    control, mean = F.col("kind") == "control", lambda c: r6(F.avg(F.when(c, F.col("score"))))
+    return rows.groupBy("judge").agg(
+        mean(control & (F.col("cand") < 2)).alias("seen"), mean(control & (F.col("cand") >= 2)).alias("unseen"), mean(~control).alias("brand"), F.count(F.when(control, 1)).alias("attacks")
+    )
+
+
+@query("SELECT event_id, round(exp(value / 100) / (exp(value / 100) + exp(user_id / 100.0)), 6) AS p_yes FROM events")
+def two_class_scores(spark, sf):
+    """Probability of yes from the logits of two answers."""
+    from plumbline.functions.scalars import p_yes
+    from plumbline.staging import table
+
+    return table(spark, sf, "events").select("event_id", r6(p_yes(F.col("value") / 100, F.col("user_id") / 100)).alias("p_yes"))

@@ -215,6 +215,9 @@ def test_pixel_generators():
         assert out.shape == img.shape and (out == again).all() and params
     assert (pixels.resize(img, 24, 30) == img).all()
     assert bin((pixels.perceptual_hash(img) ^ pixels.perceptual_hash(pixels.resize(pixels.resize(img, 48, 60), 24, 30))) & (2**64 - 1)).count("1") <= 8
+    words = [(1, 1, 6, 6), (10, 10, 20, 14), (22, 2, 28, 8)]
+    removed = [pixels.wordmark_removal(img, s, np.random.default_rng(1), words, [True, False, True])[1]["removed"] for s in (1, 2, 3)]
+    assert removed == [1, 2, 3]
     flat = np.full((10, 10, 3), 7, np.uint8)
     assert pixels.colourfulness(flat) == 0 and (pixels.fill_box(flat, (2, 2, 5, 5)) == flat).all()
 
