@@ -113,13 +113,11 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, slopes: tup
 
 def training_order(docs: DataFrame) -> DataFrame:
     """Rows of ``docs``, once for each copy taken, range-sorted into the order of training."""
-    found = mix(docs).select(F.col("doc_id").alias("mix_id"), "identity", "positions")
-    found = found.groupBy("mix_id", "identity").agg(F.sort_array(F.collect_list("positions")).alias("lists"))
-    nth, at = fresh("nth", docs.columns), fresh("position", docs.columns)
-    keys = docs["doc_id"].eqNullSafe(F.col("mix_id")) & (_identity(docs) == F.col("identity"))
-    alike = Window.partitionBy("mix_id", "identity").orderBy(F.lit(1))
-    rows = docs.join(found, keys).withColumn(nth, F.row_number().over(alike))
-    rows = rows.select(*docs.columns, F.explode(F.get("lists", F.col(nth) - 1)).alias(at))
+    of, key, lists, nth, at = (fresh(n, docs.columns) for n in ("mix_id", "identity", "lists", "nth", "position"))
+    found = mix(docs).groupBy(F.col("doc_id").alias(of), F.col("identity").alias(key)).agg(F.sort_array(F.collect_list("positions")).alias(lists))
+    rows = docs.join(found, docs["doc_id"].eqNullSafe(F.col(of)) & (_identity(docs) == F.col(key)))
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(of, key).orderBy(F.lit(1))))  # rows alike share their lists out
+    rows = rows.select(*docs.columns, F.explode(F.get(lists, F.col(nth) - 1)).alias(at))
     return rows.orderBy(at, "doc_id").select(docs.columns)
 
 

@@ -164,9 +164,9 @@ def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Ledger
     """``docs`` with its spans in one more column, and that column's name."""
     ledger = ledger or Ledger(docs.sparkSession)
     found = by_blob(scan(docs, ledger, rules), rules)
-    name, mine = fresh("spans", docs.columns), fresh("blob", docs.columns)
-    found = found.withColumnsRenamed({"spans": name, "blob": "found_blob"})
-    joined = docs.withColumn(mine, _blob(docs["text"])).join(found, F.col(mine) == F.col("found_blob"), "left")
+    name, mine, theirs = (fresh(n, docs.columns) for n in ("spans", "blob", "found_blob"))
+    found = found.withColumnsRenamed({"spans": name, "blob": theirs})
+    joined = docs.withColumn(mine, _blob(docs["text"])).join(found, F.col(mine) == F.col(theirs), "left")
     return joined.select(*docs.columns, name), name
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import bpe, fixity, kneser_ney, mixing, quality, secrets, sharding, simhash, tokencount, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHES = ("fp", "component_id", "size", "n_words", "n_symbols", "spans", "position", "nth", "blob", "shard", "slot", "target", "ids", "perplexity", "key", "bin", "rules", "group", "mark")
+CLASHES = ("fp", "component_id", "size", "n_words", "n_symbols", "spans", "position", "nth", "blob", "shard", "slot", "target", "ids", "perplexity", "key", "bin", "rules", "group", "mark", "mix_id", "identity", "lists", "found_blob")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
