@@ -182,7 +182,7 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = TOP, hea
     ordered = vectors.repartitionByRange(F.desc("norm2"), "vec_id").sortWithinPartitions(F.desc("norm2"), "vec_id")
     candidates = staged(ordered.select("vec_id", "v").mapInArrow(_pack(width, turn, BLOCK), _PACKED), "candidates")
     n = queries.count()
-    dealt = queries.repartitionByRange(max(1, -(-n // QUERY_BLOCK)), "vec_id").select("vec_id", "v")
+    dealt = queries.coalesce(max(1, -(-n // QUERY_BLOCK))).select("vec_id", "v")  # full blocks, however the table is cut up
     asked = dealt.mapInArrow(_pack(width, turn, QUERY_BLOCK), _PACKED)
     c = candidates.select("block", F.col("longest").alias("c_longest"), *(F.col(x).alias(f"c_{x}") for x in ("ids", "ints", "turned")))
     first = c.orderBy(F.desc("c_longest"), "block").select("c_ids", "c_ints").first()  # one block: at most BLOCK vectors
