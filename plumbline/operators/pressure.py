@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.staging import staged
+
 #: Sizes of N, the depth from which a prompt is deep, the fewest prompts of a point.
 BROAD = (1, 2, 4, 8, 16, 32, 64)
 DEEP = (128, 256, 512)
@@ -60,7 +62,7 @@ def bon_curves(pool: DataFrame, deep_judges: list[str] | None = None, sizes: tup
     tied = pool.groupBy(*by, "score").agg(F.count("*").alias("c"), F.avg("gold").alias("g"), F.avg(F.col("gold") * F.col("gold")).alias("g2"))
     w = Window.partitionBy(*by)
     tied = tied.withColumn("le", F.sum("c").over(w.orderBy("score"))).withColumn("all", F.sum("c").over(w))
-    tied = tied.withColumn("lt", F.col("le") - F.col("c"))
+    tied = staged(tied.withColumn("lt", F.col("le") - F.col("c")), "bon-classes")
     most = tied.agg(F.max("all")).first()[0] or 0
     arms = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(arm).alias("arm")) for arm, grid in (("broad", [s for s in sizes if s <= DEEP_POOL]), ("deep", sizes)) for n in grid))
     rows = tied.select("*", F.explode(arms).alias("x")).select(*tied.columns, "x.n", "x.arm").where(F.col("all") >= F.col("n"))
@@ -146,7 +148,7 @@ def paired_delta(scores: DataFrame, base: str, tuned: str, slot: list[str], reps
     u = F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
     weight = F.lit(0)
     for k, bound in enumerate(_poisson_bounds(), 1):
-        weight = F.when(u >= bound, F.lit(k)).otherwise(weight) if k == 1 else F.when(u >= bound, F.lit(k)).otherwise(weight)
+        weight = F.when(u >= bound, F.lit(k)).otherwise(weight)
     means = drawn.withColumn("w", weight).groupBy("judge", "rep").agg((F.sum(F.col("w") * F.col("d")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     interval = means.groupBy("judge").agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))  # `reps` rows a judge
     return point.join(interval, "judge")
