@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import sigmoid
+from plumbline.functions.vectors import dot
 
 
 def platt_newton(df: DataFrame, x: str = "similarity", y: str = "label", steps: int = 200, ridge: float = 1e-9, tolerance: float = 1e-12) -> tuple[float, float]:
@@ -70,9 +71,5 @@ def balanced_weight(label: Column, n: int, n_pos: int) -> Column:
 
 
 def probabilities(df: DataFrame, features: str, weights: list[float], intercept: float) -> DataFrame:
-    from plumbline.functions.vectors import dot
-
     return df.withColumn("score", sigmoid(dot(features, F.array(*map(F.lit, weights))) + F.lit(intercept)))
 
-
-__all__ = ["platt_newton", "platt_descent", "logistic", "standardised", "balanced_weight", "probabilities", "vector_to_array"]

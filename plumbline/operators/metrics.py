@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.ranks import BUCKETS, average_ranks, percentile, running
+from plumbline.operators.ranks import BUCKETS, percentile, running
 
 TARGET_FPR = 0.05
 BINS = 10

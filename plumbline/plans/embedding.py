@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import hamming, hash_from_hex, platt
+from plumbline.functions.scalars import hamming, hash_from_hex
 from plumbline.operators import calibrate, clusters, embedding, metrics, probes
 from plumbline.operators.components import connected_components
 from plumbline.plans.carriers import VECTORS_SQL, vectors
@@ -54,11 +54,12 @@ def platt_fit(spark, sf):
     return n.select("n", made).select("p.method", "n", r6("p.a").alias("a"), r6("p.b").alias("b"))
 
 
-@query(f"""WITH {VECTORS_SQL}, pr AS (SELECT q.item_id AS query_id, b.item_id, list_dot_product(q.vec::double[], b.vec::double[]) AS s FROM ve q JOIN ve b ON q.item_id % 10 = 0 AND q.item_id <> b.item_id)
+@query(f"""WITH {VECTORS_SQL}, pr AS (SELECT q.item_id AS query_id, b.item_id, list_dot_product(q.vec::double[], b.vec::double[]) AS s FROM ve q JOIN ve b ON q.item_id % 100 = 0 AND q.item_id <> b.item_id)
 SELECT query_id, rank::int AS rank, item_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM pr) WHERE rank <= 5""")
 def knn_top5(spark, sf):
+    """Queries are the ids divisible by 100, against all rows."""
     rows = vectors(spark, sf).select("item_id", "vec")
-    return rounded(embedding.neighbours(rows.where("item_id % 10 = 0"), rows, 5), "similarity")
+    return rounded(embedding.neighbours(rows.where("item_id % 100 = 0"), rows, 5), "similarity")
 
 
 _NEAREST = """pr AS (SELECT q.item_id AS query_id, b.item_id, list_dot_product(q.vec::double[], b.vec::double[]) AS s FROM ve q JOIN ve b ON q.item_id % 2 = 1 AND b.item_id % 2 = 0),
@@ -175,6 +176,3 @@ def order_components(spark, sf):
     """Components over customers halving to a common root: long paths, one giant component."""
     edges = table(spark, sf, "orders").select(F.col("o_custkey").alias("u"), F.floor(F.col("o_custkey") / 2).alias("v"))
     return connected_components(edges)
-
-
-__all__ = ["members", "platt"]

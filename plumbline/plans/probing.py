@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import colour
 from plumbline.operators import imaging, metrics, probes
-from plumbline.operators.calibrate import logistic, probabilities
+from plumbline.operators.calibrate import logistic, probabilities, standardised
 from plumbline.plans.carriers import VECTORS_SQL, vectors
 from plumbline.plans.judging import auc_sql
 from plumbline.plans.registry import query, r6, rounded
@@ -35,8 +35,6 @@ def permutation_floor(spark, sf):
 def rules_fit(spark, sf):
     """The penalised logistic judge over standardised features of documents."""
     docs = table(spark, sf, "documents").select("doc_id", F.length("text").cast("double").alias("size"), F.regexp_count("text", F.lit("[,.;]")).cast("double").alias("marks")).join(table(spark, sf, "labels"), "doc_id")
-    from plumbline.operators.calibrate import standardised
-
     rows, mu, sd = standardised(docs, ["size", "marks"])
     w, b = logistic(rows.withColumn("f", F.array("size", "marks")), "f", "quality")
     scored = probabilities(rows.withColumn("f", F.array("size", "marks")), "f", w, b).withColumn("label", F.col("quality"))
@@ -44,12 +42,12 @@ def rules_fit(spark, sf):
     return area.select(F.lit(round(w[0], 4)).alias("w_size"), F.lit(round(w[1], 4)).alias("w_marks"), F.lit(round(b, 4)).alias("b"), r6("auc").alias("auc"))
 
 
-@query(f"""WITH {VECTORS_SQL}, n AS (SELECT label, count(DISTINCT item_id % 3) AS sources, count(*) AS n FROM ve WHERE item_id % 11 = 0 GROUP BY label),
+@query(f"""WITH {VECTORS_SQL}, n AS (SELECT label, count(DISTINCT item_id % 3) AS sources, count(*) AS n FROM ve GROUP BY label),
   s AS (SELECT vec[1]::double AS score, label, item_id FROM ve WHERE label IN (SELECT label FROM n WHERE sources > 1)) SELECT (SELECT count(*) FROM n WHERE sources > 1) AS mixed, n_pos, n_neg, auc FROM ({auc_sql('s', '', 'item_id % 2 = 0')})""")
 def gold_mixed_auc(spark, sf):
     """Discrimination inside groups that hold more than one source."""
     rows = vectors(spark, sf)
-    groups = rows.where("item_id % 11 = 0").groupBy("label").agg(F.countDistinct(F.col("item_id") % 3).alias("s")).where("s > 1")
+    groups = rows.groupBy("label").agg(F.countDistinct(F.col("item_id") % 3).alias("s")).where("s > 1")
     scored = rows.join(groups, "label").select("label", "item_id", F.get("vec", F.lit(0)).cast("double").alias("score"))
     area = metrics.auc(scored, [], F.col("item_id") % 2 == 0)
     return area.withColumn("_one", F.lit(1)).join(groups.agg(F.count("*").alias("mixed")).withColumn("_one", F.lit(1)), "_one").select("mixed", "n_pos", "n_neg", r6("auc").alias("auc"))
@@ -111,8 +109,7 @@ def images(spark, sf):
     shade = lambda i: F.least(F.greatest(F.floor(128 + 400 * F.get("vec", F.lit(i))), F.lit(0)), F.lit(255)).cast("int")
     two = lambda n: F.lpad(F.hex(n.cast("long")), 2, "0")
     row = lambda y: F.concat(*(two(shade((y * 16 + x + c * 7) % 64)) for x in range(16) for c in range(3)))
-    rows = vectors(spark, sf).where("item_id % 10 < 10")
-    return rows.select("item_id", "label", F.lit(16).alias("height"), F.lit(16).alias("width"), F.unhex(F.concat(*(row(y % 4) for y in range(16)))).alias("pixels"))
+    return vectors(spark, sf).select("item_id", "label", F.lit(16).alias("height"), F.lit(16).alias("width"), F.unhex(F.concat(*(row(y % 4) for y in range(16)))).alias("pixels"))
 
 
 @query()
