@@ -1,0 +1,192 @@
+"""Near-dedup by exact Jaccard similarity of 5-word shingles.
+
+Texts whose sets of shingles have a Jaccard similarity of ``SIMILARITY`` or more
+are linked, and links are closed transitively.  No pair is missed:
+
+1. Equal sets collapse before anything is compared, so exact copies of any
+   number cost one aggregation.
+2. Two sets that similar share a shingle among the first
+   ``n - ceil(SIMILARITY * n) + 1`` of each, in any order that is the same for
+   all texts.  Only texts that share one of these meet.  The order puts
+   shingles that a sample finds in many texts last; the sample decides what is
+   cheap, never what is found.
+3. Pairs whose sizes allow the similarity are checked on their whole sets.
+
+Defined results: words are runs of anything but ASCII white space, ASCII letters
+in lower case; a text of fewer words than a shingle is one shingle, and a null
+or wordless text has none (all such texts are copies of each other).  Shingles
+and sets are told apart by 64-bit hashes.  Repeated rows and ties collapse to
+the smallest doc_id; rows without a doc_id stay and link nothing.  An empty
+table gives an empty result.  Other columns are not read, so their names cannot
+clash.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from plumbline.llm.simhash import shingle_hashes
+from plumbline.llm.text import append_columns
+from plumbline.operators.components import connected_components
+from plumbline.staging import staged
+
+SHINGLE = 5
+#: 4 / 5, as integers so that the limit itself counts as similar.
+SIMILARITY = (4, 5)
+#: One in so many sets is sampled for shingles that many texts share; at most ``COMMON`` are held.
+SAMPLE = 50
+COMMON = 1 << 16
+#: Hashes in sets that travel together to be compared.
+BLOCK = 1 << 17
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of all shingles of one text."""
+    return np.unique(shingle_hashes(text, size))
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """``(doc_id, grams, digest, size)`` for each row."""
+
+    def make():
+        def work(texts: list) -> list:
+            found = [shingles(t) for t in texts]
+            packed = [x.tobytes() for x in found]
+            digest = np.array([xxhash.xxh64_intdigest(x, 7) for x in packed], np.uint64).view(np.int64)
+            return [packed, digest, [len(x) for x in found]]
+
+        return work
+
+    fields = {"grams": T.BinaryType(), "digest": T.LongType(), "size": T.LongType()}
+    return append_columns(docs.select("doc_id", "text"), "text", fields, make).drop("text")
+
+
+def _sampled(sets: DataFrame) -> np.ndarray:
+    """Shingles that more than one sampled set holds, the most frequent last; at most ``COMMON``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64))], names=["gram"])
+
+    some = sets.where(f"pmod(digest, {SAMPLE}) = 0").select("digest", "grams").dropDuplicates(["digest"]).select("grams")
+    n = some.mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    held = n.orderBy(F.desc("n"), "gram").limit(COMMON).toArrow()
+    return held.column("gram").to_numpy()[::-1]
+
+
+def _first(grams: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The shingles of one set by which it must meet all sets that are similar enough."""
+    above, below = SIMILARITY
+    n = len(grams) - (above * len(grams) + below - 1) // below + 1
+    if len(known):
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        common = known[at] == grams
+        if common.any():
+            last = grams[common][np.argsort(rank[at[common]])]
+            grams = np.concatenate((grams[~common], last))
+    return grams[:n]
+
+
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """``(gram, digest, size)``."""
+    common = _sampled(sets).view(np.uint64)
+    order = np.argsort(common)
+    held = sets.sparkSession.sparkContext.broadcast((common[order], order))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = held.value
+        for batch in batches:
+            found = [_first(np.frombuffer(x, np.uint64), known, rank) for x in batch.column("grams").to_pylist()]
+            n = [len(x) for x in found]
+            arrays = [np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)] + [np.repeat(batch.column(c).to_numpy(), n) for c in ("digest", "size")]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["gram", "digest", "size"])
+
+    return sets.where("size > 0").select("grams", "digest", "size").mapInArrow(run, "gram long, digest long, size long").distinct()
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the pairs of two blocks; pairs that links before them connect already need no check."""
+    above, below = SIMILARITY
+    for batch in batches:
+        out: list[tuple[int, int]] = []
+        for us, vs, *packs in zip(*(batch.column(c).to_pylist() for c in ("us", "vs", "one", "other")), strict=True):
+            held = {s["digest"]: np.frombuffer(s["grams"], np.uint64) for pack in packs for s in pack}
+            top = {d: d for d in held}
+
+            def find(d: int, top: dict = top) -> int:
+                while top[d] != d:
+                    top[d] = top[top[d]]
+                    d = top[d]
+                return d
+
+            for u, v in zip(us, vs, strict=True):
+                x, y = find(u), find(v)
+                if x == y:
+                    continue
+                m, n = held[u], held[v]
+                both = np.concatenate((m, n))
+                both.sort(kind="stable")  # two sorted runs
+                if (above + below) * int((both[1:] == both[:-1]).sum()) >= above * len(both):
+                    top[x] = y
+                    out.append((u, v))
+        u, v = zip(*out, strict=True) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def links(sets: DataFrame) -> DataFrame:
+    """``(u, v)``: digests of pairs of sets that are similar enough, a spanning set of all such pairs.
+
+    Sets that meet the same least digest are packed in blocks of about
+    ``BLOCK`` hashes, so that a crowd's sets travel once for a pair of blocks, not for
+    each pair of theirs.
+    """
+    above, below = SIMILARITY
+    met = staged(_prefixes(sets), "jaccard-prefixes")
+    one = met.select("gram", F.col("digest").alias("u"), F.col("size").alias("m"))
+    other = met.select("gram", F.col("digest").alias("v"), F.col("size").alias("n"))
+    pairs = one.join(other, "gram").where("u < v").where(f"{above} * greatest(m, n) <= {below} * least(m, n)")
+    pairs = staged(pairs.select("u", "v", "m", "n").distinct(), "jaccard-pairs")
+    ends = pairs.select(F.col("u").alias("digest"), F.col("m").alias("size"), F.col("u").alias("least")).union(pairs.select("v", "n", "u"))
+    least = ends.groupBy("digest", "size").agg(F.min("least").alias("least"))
+    parts = least.groupBy("least").agg(F.ceil(F.sum("size") / BLOCK).alias("parts"))
+    part = F.expr("pmod(xxhash64(digest), parts)")
+    where = staged(least.join(parts, "least").select("digest", F.struct("least", part.alias("part")).alias("block")), "jaccard-blocks")
+    packs = sets.select("digest", "grams").join(where, "digest").dropDuplicates(["digest"])
+    packs = staged(packs.groupBy("block").agg(F.collect_list(F.struct("digest", "grams")).alias("pack")), "jaccard-packs")
+    asked = pairs.join(where.withColumnsRenamed({"digest": "u", "block": "a"}), "u").join(where.withColumnsRenamed({"digest": "v", "block": "b"}), "v")
+    asked = asked.groupBy("a", "b").agg(F.collect_list(F.struct("u", "v")).alias("pairs")).select("a", "b", "pairs.u", "pairs.v").toDF("a", "b", "us", "vs")
+    asked = asked.join(packs.withColumnsRenamed({"block": "a", "pack": "one"}), "a")
+    # pairs inside a block bring it once
+    across = asked.where("a <> b").join(packs.withColumnsRenamed({"block": "b", "pack": "other"}), "b").select("us", "vs", "one", "other")
+    inside = asked.where("a = b").select("us", "vs", "one", F.array().cast(packs.schema["pack"].dataType).alias("other"))
+    return inside.unionByName(across).mapInArrow(_forest, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``(doc_id, component_id)`` for each row of ``docs(doc_id, text)`` that has a doc_id."""
+    sets = staged(_sets(docs.where("doc_id is not null")), "jaccard-sets")
+    reps = staged(sets.groupBy("digest").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
+    edges = (
+        links(sets)
+        .join(reps.select(F.col("digest").alias("u"), F.col("rep").alias("ru")), "u")
+        .join(reps.select(F.col("digest").alias("v"), F.col("rep").alias("rv")), "v")
+        .select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+    )
+    groups = connected_components(edges).withColumnRenamed("node", "rep")
+    of_set = reps.join(groups, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    return sets.select("doc_id", "digest").join(of_set, "digest").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The row of each near-duplicate group that has the smallest doc_id; rows without an id stay."""
+    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    nameless = docs.where("doc_id is null")
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(nameless)

@@ -57,19 +57,26 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _byte_words = re.compile(rb"[^\x20\x09-\x0D]+").findall
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit SimHash of one text."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of all shingles of one text in order; a shorter text is one shingle, a wordless one has none."""
     words = _byte_words((text or "").encode().translate(_LOWER))
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     flat = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(flat, 42)))[0]
+        return np.array([digest(flat, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
     spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(flat[a:b], 42) for a, b in spans), np.uint64)
+    return np.fromiter((digest(flat[a:b], 42) for a, b in spans), np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Signed 64-bit SimHash of one text."""
+    hashes = shingle_hashes(text, shingle)
+    if len(hashes) < 2:
+        return int(hashes.view(np.int64)[0]) if len(hashes) else 0
     votes = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8)
