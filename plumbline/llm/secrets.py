@@ -74,6 +74,14 @@ MORE = (
 )
 RULES = BASE + MORE
 
+#: A key from its first marker to its last, or, where the last is missing, headers and base64 lines as far as they go.
+_LINE = r"[A-Za-z0-9+/]{16,}={0,2}"
+_GAP = r"(?:[\s>]|\\[nr])*"
+_CUT_KEY = rf"""(?:\s*[A-Za-z-]+:[^\r\n]*[\r\n]){{0,4}}(?:{_GAP}{_LINE}){{0,400}}(?:{_GAP}[A-Za-z0-9+/]{{1,15}}={{1,2}}|\s*[\r\n][A-Za-z0-9+/]{{1,15}}(?=\s*(?:[\r\n]|$)))?"""
+PEM = Rule("pem", 2, rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){{0,8}}-----END [A-Z ]*PRIVATE KEY-----|{_CUT_KEY})")
+#: What redaction hides. The ledger query keeps ``RULES``, from which its SQL is made.
+REDACTED = tuple(PEM if r.kind == PEM.kind else r for r in RULES)
+
 
 def _blob(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
@@ -172,7 +180,7 @@ def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Ledger
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each secret's characters replaced by asterisks, so lengths stay."""
-    rows, spans = with_spans(docs)
+    rows, spans = with_spans(docs, REDACTED)
     text = F.col("text")
     # spans in order, each cut to begin where those before it have ended
     step = F.aggregate(
