@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import sigmoid
 from plumbline.functions.vectors import dot
+from plumbline.staging import staged
 
 
 def platt_newton(df: DataFrame, x: str = "similarity", y: str = "label", steps: int = 200, ridge: float = 1e-9, tolerance: float = 1e-12) -> tuple[float, float]:
@@ -36,15 +37,22 @@ def platt_newton(df: DataFrame, x: str = "similarity", y: str = "label", steps:
 def platt_descent(df: DataFrame, x: str = "similarity", y: str = "label", steps: int = 2000, rate: float = 0.5, start: tuple[float, float] = (20.0, -10.0), most_values: int = 100_000) -> tuple[float, float]:
     """The fixed-budget variant: plain gradient descent, stopped after ``steps`` whether it has settled or not.
 
-    Equal (x, y) are counted first; the counted values must be fewer than
-    ``most_values`` (calibration sets are small), else use Newton.
+    Equal (x, y) are counted first. Up to ``most_values`` counted values take
+    the steps on the driver; more stay in Parquet, and Spark takes the two sums
+    of each step, one job a step. Both give the same numbers.
     """
     counted = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("n"))
-    got = counted.orderBy("x", "y").limit(most_values + 1).toPandas()
-    if len(got) > most_values:
-        raise ValueError("too many different values for gradient descent on the driver")
-    v, t, n = (got[c].to_numpy(float) for c in ("x", "y", "n"))
+    counted = staged(counted, "platt-values")
     a, b = start
+    if counted.count() > most_values:
+        total = counted.agg(F.sum("n")).first()[0]
+        for _ in range(steps):
+            r = F.col("n") * (sigmoid(F.lit(a) * F.col("x") + F.lit(b)) - F.col("y"))
+            s = counted.agg(F.sum(r * F.col("x")).alias("ga"), F.sum(r).alias("gb")).first()
+            a, b = a - rate * s["ga"] / total, b - rate * s["gb"] / total
+        return float(a), float(b)
+    got = counted.orderBy("x", "y").toPandas()
+    v, t, n = (got[c].to_numpy(float) for c in ("x", "y", "n"))
     for _ in range(steps if len(got) else 0):
         r = n * (1 / (1 + np.exp(-(a * v + b))) - t)
         a, b = a - rate * (r * v).sum() / n.sum(), b - rate * r.sum() / n.sum()
