@@ -113,7 +113,7 @@ def paired_slot_delta(spark, sf):
 @query()
 def paired_slot_interval(spark, sf):
     """Bootstrap interval of the paired deltas."""
-    rows = pressure.paired_delta(staged_scores(spark, sf).where("kind = 'brand'"), "base", "tuned", ["prompt_idx", "cand"], reps=400)
+    rows = pressure.paired_delta(staged_scores(spark, sf).where("kind = 'brand'"), "base", "tuned", ["prompt_idx", "cand"])
     return rounded(rows, "delta", "low", "high")
 
 

@@ -28,7 +28,7 @@ def source_probe(spark, sf):
 @query()
 def permutation_floor(spark, sf):
     train, test = _sides(spark, sf)
-    return rounded(probes.permutation_floor(train, test, "item_id", 3), "balanced_accuracy")
+    return rounded(probes.permutation_floor(train, test, "item_id"), "balanced_accuracy")
 
 
 @query()
