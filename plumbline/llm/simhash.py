@@ -8,19 +8,25 @@ are closed transitively.  Exact for any input:
    number cost one aggregation.
 2. ``MAX_BITS`` differing bits leave one of ``MAX_BITS + 1`` bit fields equal,
    so each distinct fingerprint is filed once for each field, rotated so that
-   this field comes first.  Only fingerprints that share the leading field
-   meet.
-3. In each filing the codes are sorted by Gray rank (range partitioned, so a
-   crowded field is spread over tasks).  Runs of up to ``LEAF`` codes are the
-   leaves; a node keeps which bits all codes below it agree on, and their
-   values, and so do the nodes above (``SHIFTS``), which factor out what the
-   nodes below share.
-4. Node pairs are compared from the top.  The differences in the bits that
-   both nodes fix are a lower bound for all pairs below; only new bits are
-   counted on the way down, and a pair of groups goes as soon as the
-   accumulated differences exceed the limit.
-5. Leaf pairs that survive are compared code by code.  A leaf pair emits a
-   spanning forest of its links, never all of them.
+   this field comes first.  Only fingerprints that share a field meet; this is
+   how the index is spread over tasks.
+3. Every field is a tree (``Tree``): its codes in the order of their Gray rank,
+   ``FAN`` children a node.  A node keeps which bits all codes below it agree
+   on, and their values; what its children share is thus held once, above.
+4. Node pairs are compared from the root (``descend``).  Differences in the
+   bits that both nodes fix are carried down, only bits that are new to a pair
+   of children are counted there, and a pair of groups goes as soon as the
+   accumulated differences exceed the limit.  What reaches the codes is linked.
+5. Files are range partitioned by (field, rank), so a crowded field lies in
+   several tasks.  A task cuts such a field into branches of ``BRANCH`` codes at
+   most, indexes each, and writes them with their masks; branches of other tasks
+   are met by joins, first in groups of ``2 ** UP`` (masks factored upward by
+   ``bit_and`` and ``bit_or``), then one by one, differences accumulated alike;
+   what is left goes down both trees in one task.
+6. A task emits a spanning set of its links, never all pairs of a group.
+
+A branch's number is its task's number times 2^32 plus its place in the task, so
+a table may have up to 2^31 tasks of 2^32 branches.
 
 Defined results: a null or wordless text has fingerprint zero and links like
 any other.  Repeated rows and ties collapse to the smallest doc_id; a row
@@ -32,14 +38,13 @@ read, so their names cannot clash.
 from __future__ import annotations
 
 import re
-import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,9 +54,16 @@ from plumbline.staging import staged, table
 
 MAX_BITS = 2
 SHINGLE = 3
-LEAF = 256
-#: Bits of a leaf number that one node of each level spans, top first.
-SHIFTS = (24, 6, 0)
+#: Children of a node.
+FAN = 8
+#: Codes in a branch, and bytes of whatever travels with them, at most.
+BRANCH = 1 << 14
+BRANCH_BYTES = 4 << 20
+#: Branches that one node above them spans, as a power of two.
+UP = 6
+#: Node pairs that are opened at once, and pairs that are checked before the joined ones among the rest go.
+STEP = 1 << 13
+CHECKED = 256
 _FIELDS = {2: (0, 22, 43), 3: (0, 16, 32, 48)}
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _byte_words = re.compile(rb"[^\x20\x09-\x0D]+").findall
@@ -108,175 +120,288 @@ def _rotate(codes: np.ndarray, left: int) -> np.ndarray:
     return (codes << np.uint64(left)) | (codes >> np.uint64(64 - left))
 
 
-def _forest(codes: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
-    """(code, smallest index it reaches) pairs that span the links in ``near``."""
-    label = np.arange(len(codes))
+class Tree:
+    """Codes sorted by (field, Gray rank), with a root for each field.
+
+    A level holds ``(mask, value, first child)`` of its nodes; ``levels[0]`` are the codes.
+    """
+
+    def __init__(self, fields: np.ndarray, codes: np.ndarray):
+        begins = np.nonzero(np.concatenate(([True], np.diff(fields) != 0)))[0]
+        place = np.arange(len(codes)) - np.repeat(begins, np.diff(np.append(begins, len(codes))))
+        self.levels = [(np.full(codes.shape, ~np.uint64(0)), codes, np.arange(len(codes) + 1))]
+        owner, every, some = fields, codes, codes
+        while place.max() > 0:
+            place = place // FAN
+            first = np.nonzero(np.concatenate(([True], (np.diff(owner) != 0) | (np.diff(place) != 0))))[0]
+            below = len(owner)
+            every, some = np.bitwise_and.reduceat(every, first, axis=0), np.bitwise_or.reduceat(some, first, axis=0)
+            owner, place = owner[first], place[first]
+            self.levels.append((~(every ^ some), every, np.append(first, below)))
+
+
+def descend(one: Tree, other: Tree, radius: int, visits: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of codes at most ``radius`` apart, as arrays ``(place in one, place in other, distance)``.
+
+    With one tree for both, pairs inside each of its fields, each once; else pairs between
+    the two trees' only fields.  ``visits`` gets ``(pairs met, pairs dropped)`` of each step.
+    """
+    same, roots = one is other, np.arange(len(one.levels[-1][1]))
+    known = np.zeros((len(roots), one.levels[0][1].shape[1]), np.uint64)
+    stack = [(len(one.levels) - 1, len(other.levels) - 1, roots, roots, known, np.zeros(len(roots), np.int64))]
+    while stack:
+        i, j, a, b, known, apart = stack.pop()
+        if len(a) > STEP and (i or j):
+            stack += [(i, j, *(x[at : at + STEP] for x in (a, b, known, apart))) for at in range(0, len(a), STEP)]
+            continue
+        both = one.levels[i][0][a] & other.levels[j][0][b]
+        new = (one.levels[i][1][a] ^ other.levels[j][1][b]) & both & ~known
+        apart = apart + np.bitwise_count(new).sum(1, dtype=np.int64)
+        near = apart <= radius
+        if visits is not None:
+            visits.append((len(a), int((~near).sum())))
+        a, b, both, apart = a[near], b[near], both[near], apart[near]
+        if i == 0 and j == 0:
+            if same:
+                a, b, apart = (x[a != b] for x in (a, b, apart))
+            if len(a):
+                yield a, b, apart
+            continue
+        # the higher side opens, both where they stand level
+        down_i, down_j = int(i >= j), int(j >= i)
+        a_first, b_first = (one.levels[i][2] if down_i else np.arange(len(one.levels[i][1]) + 1)), (other.levels[j][2] if down_j else np.arange(len(other.levels[j][1]) + 1))
+        a_n, b_n = np.diff(a_first)[a], np.diff(b_first)[b]
+        n = a_n * b_n
+        of = np.repeat(np.arange(len(a)), n)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        x, y = a_first[a][of] + at // b_n[of], b_first[b][of] + at % b_n[of]
+        if same:
+            once = x <= y
+            of, x, y = of[once], x[once], y[once]
+        if len(x):
+            stack.append((i - down_i, j - down_j, x, y, both[of], apart[of]))
+
+
+def settle(top: np.ndarray) -> np.ndarray:
+    """Each place's root, from parents that are never larger."""
     while True:
-        least = np.minimum(label, np.where(near, label, len(codes)).min(axis=1))
-        least = np.minimum(least, least[least])
-        if (least == label).all():
-            break
-        label = least
-    moved = np.nonzero(label != np.arange(len(codes)))[0]
-    return [(int(codes[i]), int(codes[label[i]])) for i in moved]
+        above = top[top]
+        if (above == top).all():
+            return top
+        top = above
 
 
-def _near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    return np.bitwise_count(a[:, None] ^ b[None, :]) <= bits
+def span(top: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Join ``x`` and ``y`` in ``top`` (changed in place); which pairs did so, and the roots are settled after."""
+    took = [np.zeros(0, np.int64)]
+    at = np.arange(len(x))
+    while True:
+        top[:] = settle(top)
+        p, q = top[x[at]], top[y[at]]
+        at, p, q = (z[p != q] for z in (at, p, q))
+        if not len(at):
+            took = np.concatenate(took)
+            return x[took], y[took]
+        high, first = np.unique(np.maximum(p, q), return_index=True)
+        top[high] = np.minimum(p, q)[first]
+        took.append(at[first])
+
+
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column, and where each value begins in them (and the last one's end)."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    held = column.buffers()[2]
+    data = np.frombuffer(held, np.uint8) if held is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+Check = Callable[[list, np.ndarray, np.ndarray], np.ndarray]
+
+
+def _linked(tree: list, other: list | None, loads: list | None, radius: int, check: Check | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a spanning set of the links in one tree, or between two (the other's places follow the first's)."""
+    one = Tree(*tree)
+    two = Tree(*other) if other else one
+    shift = len(tree[0]) if other else 0
+    top = np.arange(len(tree[0]) + (len(other[0]) if other else 0))
+    u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for x, y, apart in descend(one, two, radius):
+        y = y + shift
+        if check is None:
+            x, y = span(top, x, y)
+        else:  # nearest first; what is joined by then needs no check
+            order, good_x, good_y = np.argsort(apart, kind="stable"), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            x, y = x[order], y[order]
+            while len(x):
+                head_x, head_y = x[:CHECKED], y[:CHECKED]
+                good = check(loads, head_x, head_y)
+                for held, z in zip((good_x, good_y), span(top, head_x[good], head_y[good]), strict=True):
+                    held.append(z)
+                x, y = x[CHECKED:], y[CHECKED:]
+                apart_still = top[x] != top[y]
+                x, y = x[apart_still], y[apart_still]
+            x, y = np.concatenate(good_x), np.concatenate(good_y)
+        u.append(x)
+        v.append(y)
+    return np.concatenate(u), np.concatenate(v)
+
+
+def _masks(words: int) -> list[str]:
+    return [f"{kind}{w}" for kind in ("every", "some") for w in range(words)]
+
+
+def _indexed_schema(words: int) -> str:
+    return ", ".join(["field long", "branch long", *(f"{m} long" for m in _masks(words)), "ids binary", "codes binary", "loads array<binary>", "u long", "v long"])
+
+
+def _index(words: int, radius: int, check: Check | None):
+    names = [x.split()[0] for x in _indexed_schema(words).split(", ")]
+    kinds = [pa.int64()] * (2 + 2 * words) + [pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.int64(), pa.int64()]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+
+        def links_of(fields: np.ndarray, ids: np.ndarray, codes: np.ndarray, loads: list | None) -> pa.RecordBatch | None:
+            u, v = _linked([fields, codes], None, loads, radius, check)
+            if not len(u):
+                return None
+            empty = [pa.nulls(len(u), k) for k in kinds[:-2]]
+            return pa.RecordBatch.from_arrays([*empty, pa.array(ids[u]), pa.array(ids[v])], names=names)
+
+        def branch(fields: np.ndarray, ids: np.ndarray, codes: np.ndarray, loads: list | None) -> pa.RecordBatch:
+            nonlocal number
+            number += 1
+            masks = np.concatenate((np.bitwise_and.reduce(codes, axis=0), np.bitwise_or.reduce(codes, axis=0))).view(np.int64)
+            row = [int(fields[0]), number, *masks.tolist(), ids.tobytes(), codes.tobytes(), loads, None, None]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=names)
+
+        def parts(fields: np.ndarray, ids: np.ndarray, codes: np.ndarray, loads: list | None) -> Iterator[slice]:
+            """Pieces of one field that are no larger than a branch may be."""
+            weigh = np.cumsum([len(x) for x in loads]) // BRANCH_BYTES if loads is not None else np.zeros(len(ids), np.int64)
+            begin = 0
+            for end in [*(np.nonzero(np.diff(weigh))[0] + 1).tolist(), len(ids)]:
+                for at in range(begin, end, BRANCH):
+                    yield slice(at, min(end, at + BRANCH))
+                begin = end
+
+        def cut(rows: tuple) -> Iterator[pa.RecordBatch]:
+            for piece in parts(*rows):
+                part = tuple(None if x is None else x[piece] for x in rows)
+                yield branch(*part)
+                yield links_of(*part)
+
+        def closed(rows: tuple, first: bool) -> Iterator[pa.RecordBatch]:
+            """Whole fields; the first of a task may have begun in the task before."""
+            fields = rows[0]
+            begins = np.nonzero(np.concatenate(([True], np.diff(fields) != 0)))[0]
+            if first:
+                end = begins[1] if len(begins) > 1 else len(fields)
+                yield from cut(tuple(None if x is None else x[:end] for x in rows))
+                rows = tuple(None if x is None else x[end:] for x in rows)
+                fields, begins = rows[0], begins[1:] - end
+            n = np.diff(np.append(begins, len(fields)))
+            keep = np.nonzero(np.repeat(n > 1, n))[0]
+            if len(keep):
+                loads = None if rows[3] is None else [rows[3][i] for i in keep.tolist()]
+                yield links_of(fields[keep], rows[1][keep], rows[2][keep], loads)
+
+        held: tuple | None = None
+        first, begun = True, False  # whether the held field may go on from the task before, or was cut already
+        for batch in batches:
+            codes = bytes_of(batch.column("code"))[0].view(np.uint64).reshape(-1, words)
+            loads = batch.column("load").to_pylist() if check else None
+            rows = (batch.column("field").to_numpy(), batch.column("id").to_numpy(), codes, loads)
+            if held is not None:
+                rows = tuple(None if y is None else x + y if isinstance(y, list) else np.concatenate((x, y)) for x, y in zip(held, rows, strict=True))
+            if not len(rows[0]):
+                continue
+            changes = np.nonzero(np.diff(rows[0]))[0]
+            at = int(changes[-1]) + 1 if len(changes) else 0
+            if at:
+                ready = tuple(None if x is None else x[:at] for x in rows)
+                yield from filter(None, closed(ready, first or begun))
+                first = begun = False
+            held = tuple(None if x is None else x[at:] for x in rows)
+            if len(held[0]) >= BRANCH or (held[3] is not None and sum(map(len, held[3])) >= BRANCH_BYTES):
+                yield from filter(None, cut(held))
+                held, begun = tuple(None if x is None else x[:0] for x in held), True
+        if held is not None and len(held[0]):
+            yield from filter(None, cut(held))
 
-_EDGE = "u long, v long"
-_LEAVES = "filing int, field long, leaf long, every long, some long, codes binary, u long, v long"
+    return run
 
 
-def _filings(distinct: DataFrame, bits: int) -> DataFrame:
-    offsets = _FIELDS[bits]
+def _across(branches: DataFrame, words: int, radius: int) -> DataFrame:
+    """``(a, b)``: pairs of branches of one field that may hold linked codes."""
+    some = [F.bit_and(m).alias(m) if m.startswith("every") else F.bit_or(m).alias(m) for m in _masks(words)]
+    slim = branches.select("field", "branch", F.expr(f"shiftright(branch, {UP})").alias("up"), *_masks(words))
+    uppers = slim.groupBy("field", "up").agg(*some)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = batch.column(0).to_numpy(zero_copy_only=False)
-            for k, left in enumerate(offsets):
-                turned = _rotate(codes, left)
-                arrays = [pa.array(np.full(len(codes), k, np.int32)), pa.array(gray_rank(turned)), pa.array(turned.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["filing", "rank", "code"])
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.withColumnsRenamed({c: f"{name}_{c}" for c in [*_masks(words), "up", "branch"]})
 
-    return distinct.select("fp").mapInArrow(run, "filing int, rank long, code long")
+    def compared(pairs: DataFrame, known: bool) -> DataFrame:
+        """Adds the differences in newly fixed bits, and keeps the bits now known."""
+        both = [F.expr(f"~(a_every{w} ^ a_some{w}) & ~(b_every{w} ^ b_some{w})" + (f" & ~known{w}" if known else "")) for w in range(words)]
+        apart: Column = F.col("apart") if known else F.lit(0)
+        for w in range(words):
+            apart = apart + F.bit_count(F.col(f"a_every{w}").bitwiseXOR(F.col(f"b_every{w}")).bitwiseAND(both[w]))
+        fixed = [both[w].alias(f"known{w}") for w in range(words)]
+        return pairs.select("field", *(c for c in pairs.columns if c.endswith(("_up", "_branch"))), apart.alias("apart"), *fixed).where(F.col("apart") <= radius)
 
+    pairs = side(uppers, "a").join(side(uppers, "b"), "field").where("a_up <= b_up")
+    pairs = compared(pairs, False)
+    pairs = pairs.join(side(slim, "a"), ["field", "a_up"]).join(side(slim, "b"), ["field", "b_up"]).where("a_branch < b_branch")
+    return compared(pairs, True).select(F.col("a_branch").alias("a"), F.col("b_branch").alias("b"))
 
-def _leaf_maker(bits: int):
-    offsets = _FIELDS[bits]
-    widths = [b - a for a, b in zip(offsets, [*offsets[1:], 64], strict=True)]
 
+def _compare(words: int, radius: int, check: Check | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Leaves of one sorted range, and the links inside each."""
-        at = TaskContext.get().partitionId()
-        seq = 0
-        held: dict | None = None
-        out: list[tuple] = []
-
-        def close(filing: int, field: int, codes: np.ndarray, alone: bool) -> None:
-            nonlocal seq
-            if alone and len(codes) == 1:
-                return  # nothing else has this field
-            signed = codes.view(np.int64)
-            out.append((filing, field, (at << SHIFTS[0]) | seq, int(np.bitwise_and.reduce(signed)), int(np.bitwise_or.reduce(signed)), codes.tobytes(), None, None))
-            seq += 1
-            if len(codes) > 1:
-                near = _near(codes, codes, bits)
-                if near.sum() > len(codes):
-                    back = _rotate(codes, (64 - offsets[filing]) % 64).view(np.int64)
-                    out.extend((filing, None, None, None, None, None, a, b) for a, b in _forest(back, near))
-
-        def flush() -> pa.RecordBatch:
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-            names = [x.split()[0] for x in _LEAVES.split(", ")]
-            columns = zip(*out, strict=True) if out else [[] for _ in kinds]
-            batch = pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(columns, kinds, strict=True)], names=names)
-            out.clear()
-            return batch
-
-        first = True  # the field may have begun in the range before
-
-        def cut(filing: int, field: int, codes: np.ndarray, last: bool) -> None:
-            alone = len(codes) <= LEAF and not first and not last
-            for i in range(0, len(codes), LEAF):
-                close(filing, field, codes[i : i + LEAF], alone)
-
+        names = ("a_ids", "a_codes", "a_loads", "b_ids", "b_codes", "b_loads")
         for batch in batches:
-            filing = batch.column("filing").to_numpy()
-            codes = batch.column("code").to_numpy().view(np.uint64)
-            field = (codes >> np.array([64 - w for w in widths], np.uint64)[filing]).astype(np.int64)
-            starts = np.concatenate(([0], np.nonzero((np.diff(filing) != 0) | (np.diff(field) != 0))[0] + 1, [len(codes)]))
-            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                if a == b:
-                    continue
-                key = (int(filing[a]), int(field[a]))
-                if held and held["key"] == key:
-                    held["codes"].append(codes[a:b])
-                else:
-                    if held:
-                        cut(*held["key"], np.concatenate(held["codes"]), False)
-                        first = False
-                    held = {"key": key, "codes": [codes[a:b]]}
-                ready = sum(map(len, held["codes"]))
-                if ready >= 64 * LEAF:  # a crowded field: write its full leaves now
-                    whole = np.concatenate(held["codes"])
-                    full = ready // LEAF * LEAF - LEAF
-                    for i in range(0, full, LEAF):
-                        close(*key, whole[i : i + LEAF], False)
-                    held["codes"] = [whole[full:]]
-            yield flush()
-        if held:
-            cut(*held["key"], np.concatenate(held["codes"]), True)
-        yield flush()
+            for row in zip(*(batch.column(k) for k in names), strict=True):
+                a, p, s, b, q, t = (x.as_py() for x in row)
+                ids = np.concatenate((np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)))
+                trees = [[np.zeros(len(x) // (8 * words), np.int64), np.frombuffer(x, np.uint64).reshape(-1, words)] for x in (p, q)]
+                u, v = _linked(*trees, s + t if check else None, radius, check)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], names=["u", "v"])
 
     return run
 
 
-def _apart(a: str, b: str) -> F.Column:
-    """Differences between two nodes in the bits that both fix."""
-    return F.expr(f"bit_count(({a}_every ^ {b}_every) & ~({a}_every ^ {a}_some) & ~({b}_every ^ {b}_some))")
-
-
-def _nodes(leaves: DataFrame, shift: int, name: str) -> DataFrame:
-    at = F.expr(f"shiftright(leaf, {shift})").alias(name)
-    return leaves.groupBy("filing", "field", at).agg(F.bit_and("every").alias(f"{name}_every"), F.bit_or("some").alias(f"{name}_some"))
+def index_links(filed: DataFrame, words: int, radius: int, check: Check | None = None) -> DataFrame:
+    """A spanning set of the links of ``filed(field, rank, id, code[, load])``, as ``(u, v)``.
 
-
-def _leaf_pairs(leaves: DataFrame, bits: int) -> DataFrame:
-    """Pairs of different leaves of one field that may hold linked codes."""
-    key = ["filing", "field"]
-    pairs = (
-        _nodes(leaves, SHIFTS[0], "a")
-        .join(_nodes(leaves, SHIFTS[0], "b"), key)
-        .where(F.expr("a <= b"))
-        .where(_apart("a", "b") <= bits)
-    )
-    for above, shift in zip(SHIFTS, SHIFTS[1:], strict=False):
-        pairs = pairs.select(*key, F.col("a").alias("up_a"), F.col("b").alias("up_b"), "b_every", "b_some")
-        left = _nodes(leaves, shift, "a").withColumn("up_a", F.expr(f"shiftright(a, {above - shift})"))
-        right = _nodes(leaves, shift, "b").withColumn("up_b", F.expr(f"shiftright(b, {above - shift})"))
-        pairs = pairs.join(left, [*key, "up_a"]).where(_apart("a", "b") <= bits).drop("b_every", "b_some", "up_a")
-        pairs = pairs.join(right, [*key, "up_b"]).where(F.expr("a <= b")).where(_apart("a", "b") <= bits).drop("up_b")
-    return pairs.where("a < b").select(*key, "a", "b")
+    Two ids are linked if some field holds both, their codes (``words`` 64-bit words)
+    differ in at most ``radius`` bits and, where ``check(loads, places, places)`` is given, it
+    says so of what travels with them.  An id may be filed under many fields.
+    """
+    placed = filed.repartitionByRange("field", "rank").sortWithinPartitions("field", "rank")
+    built = staged(placed.mapInArrow(_index(words, radius, check), _indexed_schema(words)), "simhash-index")
+    inside = built.where("u is not null").select("u", "v")
+    branches = built.where("branch is not null")
+    whole = branches.select("branch", "ids", "codes", "loads")
+    pairs = _across(branches, words, radius)
+    for side in "ab":
+        pairs = pairs.join(whole.withColumnsRenamed({"branch": side} | {c: f"{side}_{c}" for c in ("ids", "codes", "loads")}), side)
+    return inside.unionByName(pairs.mapInArrow(_compare(words, radius, check), "u long, v long"))
 
 
-def _compare(bits: int):
+def links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+    """A spanning set of the links between the fingerprints in ``distinct(fp)``, as ``(u, v)``."""
     offsets = _FIELDS[bits]
+    widths = [b - a for a, b in zip(offsets, [*offsets[1:], 64], strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for filing, x, y in zip(*(batch.column(k).to_pylist() for k in ("filing", "a_codes", "b_codes")), strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                near = _near(a, b, bits)
-                if near.any():
-                    both = np.zeros((len(a) + len(b),) * 2, bool)
-                    both[: len(a), len(a) :], both[len(a) :, : len(a)] = near, near.T
-                    out += _forest(_rotate(np.concatenate((a, b)), (64 - offsets[filing]) % 64).view(np.int64), both)
-            u, v = zip(*out, strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    return run
-
+            codes = batch.column(0).to_numpy(zero_copy_only=False)
+            for k, (left, width) in enumerate(zip(offsets, widths, strict=True)):
+                turned = _rotate(codes, left)
+                field = (turned >> np.uint64(64 - width)).astype(np.int64) + (k << 32)
+                code = pa.Array.from_buffers(pa.binary(8), len(codes), [None, pa.py_buffer(turned.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(field), pa.array(gray_rank(turned)), pa.array(codes), code], names=["field", "rank", "id", "code"])
 
-def links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
-    """A spanning set of the links between the fingerprints in ``distinct(fp)``, as ``(u, v)``."""
-    filed = _filings(distinct, bits)
-    filed = filed.repartitionByRange("filing", "rank").sortWithinPartitions("filing", "rank")
-    built = staged(filed.mapInArrow(_leaf_maker(bits), _LEAVES), "simhash-leaves")
-    inside = built.where("u is not null").select("u", "v")
-    leaves = built.where("leaf is not null")
-    crowded = leaves.groupBy("filing", "field").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    many = staged(leaves.select("filing", "field", "leaf", "every", "some").join(crowded, ["filing", "field"]), "simhash-nodes")
-    if many.isEmpty():
-        return inside
-    codes = leaves.select("filing", "leaf", "codes")
-    pairs = _leaf_pairs(many, bits)
-    pairs = pairs.join(codes.withColumnsRenamed({"leaf": "a", "codes": "a_codes"}), ["filing", "a"])
-    pairs = pairs.join(codes.withColumnsRenamed({"leaf": "b", "codes": "b_codes"}), ["filing", "b"])
-    across = pairs.select("filing", "a_codes", "b_codes").mapInArrow(_compare(bits), _EDGE)
-    return inside.unionByName(across)
+    return index_links(distinct.select("fp").mapInArrow(run, "field long, rank long, id long, code binary"), 1, bits)
 
 
 def near_duplicates(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:

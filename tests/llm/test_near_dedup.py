@@ -7,7 +7,7 @@ import re
 
 import corpus_pipeline
 import pytest
-from plumbline.llm import jaccard
+from plumbline.llm import near_copies
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -71,8 +71,8 @@ def test_stage_finds_what_brute_force_finds(spark):
 @pytest.mark.parametrize("common", [1, 3])
 def test_common_shingles_lose_nothing(spark, monkeypatch, common):
     """The order of shingles, sampled or not, decides cost only."""
-    monkeypatch.setattr(jaccard, "SAMPLE", common)
+    monkeypatch.setattr(near_copies, "SAMPLE", common)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(planted())], "doc_id long, text string")
-    found = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
-    monkeypatch.setattr(jaccard, "COMMON", 0)
-    assert found == {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
+    found = {r["doc_id"]: r["component_id"] for r in near_copies.near_duplicates(docs).collect()}
+    monkeypatch.setattr(near_copies, "COMMON", 0)
+    assert found == {r["doc_id"]: r["component_id"] for r in near_copies.near_duplicates(docs).collect()}

@@ -126,6 +126,70 @@ def test_simhash_links_in_crowded_fields(spark):
     assert components([(place[e["u"]], place[e["v"]]) for e in edges]) == components(real)
 
 
+def test_simhash_tree_prunes_and_loses_nothing():
+    """The tree against all pairs, in narrow and wide codes; most node pairs go above the codes."""
+    rnd = np.random.default_rng(1)
+    for words, radius, flips in ((1, 2, 4), (4, 72, 60)):
+        made = []
+        for centre in rnd.integers(0, 2**63, (6, words)).astype(np.uint64):
+            for _ in range(200):
+                x = centre.copy()
+                for bit in rnd.integers(0, 64 * words, rnd.integers(0, flips)):
+                    x[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+                made.append(x)
+        codes, fields = np.array(made), rnd.integers(0, 3, len(made))
+        order = np.lexsort((simhash.gray_rank(codes[:, 0]), fields))
+        codes, fields = codes[order], fields[order]
+        tree, visits, found = simhash.Tree(fields, codes), [], {}
+        for x, y, apart in simhash.descend(tree, tree, radius, visits):
+            found |= dict(zip(zip(x.tolist(), y.tolist(), strict=True), apart.tolist(), strict=True))
+        apart = np.bitwise_count(codes[:, None] ^ codes[None]).sum(2)
+        near = np.triu((apart <= radius) & (fields[:, None] == fields[None]), 1)
+        assert found == {(int(i), int(j)): int(apart[i, j]) for i, j in zip(*np.nonzero(near), strict=True)}
+        above_codes = sum(dropped for _, dropped in visits[:-1])
+        everything = sum(n * (n - 1) // 2 for n in Counter(fields.tolist()).values())
+        assert above_codes > 0 and visits[-1][0] < everything
+        one, other = (simhash.Tree(np.zeros(len(c), np.int64), c) for c in (codes[:500], codes[500:]))
+        across = {(i, j) for x, y, _ in simhash.descend(one, other, radius) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+        assert across == set(zip(*(z.tolist() for z in np.nonzero(apart[:500, 500:] <= radius)), strict=True))
+
+
+@pytest.mark.parametrize("branch", [5, 1 << 14])
+def test_simhash_index_over_tasks(spark, monkeypatch, branch):
+    """Fields cut into branches and spread over tasks, wide codes, equal codes of different ids."""
+    monkeypatch.setattr(simhash, "BRANCH", branch)
+    monkeypatch.setattr(simhash, "UP", 1)
+    rnd = random.Random(8)
+    rows = []
+    for centre in (rnd.getrandbits(128) for _ in range(8)):
+        for _ in range(25):
+            x = centre
+            for bit in rnd.sample(range(128), rnd.randrange(25)):
+                x ^= 1 << bit
+            rows += [(f, x) for f in rnd.sample(range(4), 2)] if rnd.random() < 0.9 else [(9, x), (9, x)]
+    rows = [(f, i // 2, x) for i, (f, x) in enumerate(rows)]
+    packed = [(f, i, bytearray(x.to_bytes(16, "little"))) for f, i, x in rows]
+    df = spark.createDataFrame(packed, "field long, id long, code binary").withColumn("rank", F.conv(F.hex(F.reverse(F.substring("code", 1, 1))), 16, 10).cast("long")).repartition(3)
+    got_pairs = {tuple(sorted((r["u"], r["v"]))) for r in simhash.index_links(df, 2, 12).where("u <> v").collect()}
+    near = {tuple(sorted((i, j))) for f, i, x in rows for g, j, y in rows if f == g and i != j and (x ^ y).bit_count() <= 12}
+    assert got_pairs <= near
+
+    def components(pairs):
+        top = {i: i for _, i, _ in rows}
+
+        def find(i):
+            while top[i] != i:
+                i = top[i]
+            return i
+
+        for a, b in pairs:
+            a, b = sorted((find(a), find(b)))
+            top[b] = a
+        return {i: find(i) for i in top}
+
+    assert components(got_pairs) == components(near)
+
+
 @pytest.fixture(scope="module")
 def library():
     import public_tokenizers

@@ -8,16 +8,34 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
 from oracle import connect, rows
+from test_near_dedup import sets
 
 import corpus_pipeline
-from plumbline.llm import mixing, quality, registry, secrets, simhash
+from plumbline.llm import mixing, quality, registry, secrets
 from plumbline.staging import table
 
 FOLDER = "/root/testdata/sf0.001"
 
 
+def jaccard_components(texts: dict) -> dict:
+    """Smallest id of each text's group by brute force over all pairs."""
+    held, least = {i: sets(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def find(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for i, a in held.items():
+        for j, b in held.items():
+            if j < i and (a == b or 5 * len(a & b) >= 4 * len(a | b)):
+                x, y = sorted((find(i), find(j)))
+                least[y] = x
+    return {i: find(i) for i in texts}
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_same_rows(spark, name):
     got, want = registry.QUERIES[name](spark, FOLDER).toPandas(), connect(FOLDER).sql(registry.ORACLE[name]).df()
@@ -41,8 +59,8 @@ def test_stages(spark, tmp_path):
     _, _, _, verdict = (x := quality.judged(docs, rules))
     assert kept == {r["doc_id"]: r["text"] for r in x[0].where(verdict).select("doc_id", "text").collect()} and len(kept) < len(before)
     groups = {}
-    for r in simhash.near_duplicates(held[1]).collect():
-        groups.setdefault(r["component_id"], set()).add(r["doc_id"])
+    for doc, least in jaccard_components({r["doc_id"]: r["text"] for r in held[1].collect()}).items():
+        groups.setdefault(least, set()).add(doc)
     alone = {r["doc_id"]: r["text"] for r in held[2].collect()}
     assert set(alone) == {min(g) for g in groups.values()} == set(groups)
     clean = {r["doc_id"]: r["text"] for r in held[3].collect()}
