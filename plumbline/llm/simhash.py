@@ -23,7 +23,8 @@ are closed transitively.  Exact for any input:
    are met by joins, first in groups of ``2 ** UP`` (masks factored upward by
    ``bit_and`` and ``bit_or``), then one by one, differences accumulated alike;
    what is left goes down both trees in one task.
-6. A task emits a spanning set of its links, never all pairs of a group.
+6. A task emits each code with the smallest id that its links reach there, never
+   all pairs of a group; fields that hold the same group thus emit the same rows.
 
 A branch's number is its task's number times 2^32 plus its place in the task, so
 a table may have up to 2^31 tasks of 2^32 branches.
@@ -246,6 +247,17 @@ def _linked(tree: list, other: list | None, loads: list | None, radius: int, che
     return np.concatenate(u), np.concatenate(v)
 
 
+def _stars(ids: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each linked id with the smallest id it reaches."""
+    top = np.arange(len(ids))
+    span(top, u, v)
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, top, ids)
+    least = least[top]
+    moved = ids != least
+    return ids[moved], least[moved]
+
+
 def _masks(words: int) -> list[str]:
     return [f"{kind}{w}" for kind in ("every", "some") for w in range(words)]
 
@@ -265,8 +277,9 @@ def _index(words: int, radius: int, check: Check | None):
             u, v = _linked([fields, codes], None, loads, radius, check)
             if not len(u):
                 return None
+            u, v = _stars(ids, u, v)
             empty = [pa.nulls(len(u), k) for k in kinds[:-2]]
-            return pa.RecordBatch.from_arrays([*empty, pa.array(ids[u]), pa.array(ids[v])], names=names)
+            return pa.RecordBatch.from_arrays([*empty, pa.array(u), pa.array(v)], names=names)
 
         def branch(fields: np.ndarray, ids: np.ndarray, codes: np.ndarray, loads: list | None) -> pa.RecordBatch:
             nonlocal number
@@ -364,13 +377,13 @@ def _compare(words: int, radius: int, check: Check | None):
                 ids = np.concatenate((np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)))
                 trees = [[np.zeros(len(x) // (8 * words), np.int64), np.frombuffer(x, np.uint64).reshape(-1, words)] for x in (p, q)]
                 u, v = _linked(*trees, s + t if check else None, radius, check)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _stars(ids, u, v)], names=["u", "v"])
 
     return run
 
 
 def index_links(filed: DataFrame, words: int, radius: int, check: Check | None = None) -> DataFrame:
-    """A spanning set of the links of ``filed(field, rank, id, code[, load])``, as ``(u, v)``.
+    """Pairs ``(u, v)`` of ids that join what the links of ``filed(field, rank, id, code[, load])`` join.
 
     Two ids are linked if some field holds both, their codes (``words`` 64-bit words)
     differ in at most ``radius`` bits and, where ``check(loads, places, places)`` is given, it
@@ -388,7 +401,7 @@ def index_links(filed: DataFrame, words: int, radius: int, check: Check | None =
 
 
 def links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
-    """A spanning set of the links between the fingerprints in ``distinct(fp)``, as ``(u, v)``."""
+    """Pairs ``(u, v)`` that join what the links between the fingerprints in ``distinct(fp)`` join."""
     offsets = _FIELDS[bits]
     widths = [b - a for a, b in zip(offsets, [*offsets[1:], 64], strict=True)]
 
