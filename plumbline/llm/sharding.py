@@ -13,12 +13,16 @@ partitions (a bucket is filled by digest, so its size varies around that):
 * groups are dealt to buckets by digest; each bucket is differenced to one
   partial partition in its own task;
 * the results are dealt to fewer buckets, and so on, until one bucket is left;
-* the ``fan_in`` largest groups skip the buckets and join the last level, where
-  the largest spreads are settled first and the smaller ones even them out.
+* ``fan_in`` groups skip the buckets and join the last level: a quarter of them
+  the largest of all, which settle first, the others a choice by digest, whose
+  smaller sizes even those out.
 
-Equal texts are recognised by SHA-256.  A hot group costs one map-side sum and
-a skew-splittable join; slots are numbered in bins with prefix sums of bin
-counts, so no shard is numbered in one task.
+Units are named by level and bucket, so names of two levels never meet, and
+places are followed down one level at a time.
+
+Equal texts are recognised by SHA-256.  A hot group costs one map-side sum, and
+its rows are salted before they meet their group's shard; slots are numbered in
+bins with prefix sums of bin counts, so no shard is numbered in one task.
 
 Defined results: null texts count as empty (size 1, checksum 0) and are one
 group with the empty texts.  Repeated rows are separate rows of one group.  An
@@ -32,14 +36,18 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.staging import staged, table
 
 SHARDS = 8
 FAN_IN = 2000
-#: Bins in which slots of one shard are numbered.
+#: Rows of a group that stay together in a join, and parts it is dealt to at most.
+SALT = 1000
+MOST_SALTS = 10000
+#: Rows of a bin in which slots are numbered, about, and bins of a bin of bins.
+SLOT_ROWS = 1000
 SLOT_BINS = 1024
 
 
@@ -92,40 +100,47 @@ def _level(shards: int):
 _PLACED = "unit binary, bucket long, place array<int>, sizes array<long>"
 
 
+def _name(level: int, bucket: Column) -> Column:
+    """A unit's name says which bucket of which level it came from."""
+    return F.unhex(F.sha2(F.concat_ws(":", F.lit(level), bucket).cast("binary"), 256))
+
+
 def balance(groups: DataFrame, shards: int = SHARDS, fan_in: int = FAN_IN) -> DataFrame:
-    """``groups(unit binary, size long)`` -> ``(unit, shard)``."""
+    """``groups(unit binary, size long)``, each unit once -> ``(unit, shard)``."""
     n = groups.count()
     if not n:
         return groups.select("unit", F.lit(0).alias("shard"))
     ranked = F.struct("size", "unit")
-    least = groups.orderBy(ranked.desc()).limit(fan_in).agg(F.min(ranked).alias("r")).first()["r"]  # a top-k of fixed size
+    # two top-k of fixed size: the largest groups, and of the rest some by digest
+    least = groups.orderBy(ranked.desc()).limit(max(1, fan_in // 4)).agg(F.min(ranked).alias("r")).first()["r"]
     limit = F.struct(F.lit(least["size"]).alias("size"), F.lit(bytes(least["unit"])).alias("unit"))
+    chosen = groups.where(ranked < limit).orderBy("unit").limit(fan_in - fan_in // 4).agg(F.max("unit").alias("u")).first()["u"]
+    late = (ranked >= limit) | (F.col("unit") <= F.lit(bytes(chosen or b"")))
     zeros = F.array(*[F.lit(0).cast("long")] * (shards - 1))
-    groups = groups.select("unit", "size", F.concat(F.array(F.col("size").cast("long")), zeros).alias("parts"))
-    large = groups.where(ranked >= limit).select("unit", "parts")
-    units = groups.where(ranked < limit).select("unit", "parts")
-    n, levels = max(1, n - fan_in), []
+    parts = F.concat(F.array(F.col("size").cast("long")), zeros).alias("parts")
+    large, units = groups.where(late).select("unit", parts), groups.where(~late).select("unit", parts)
+    n, levels = max(1, n - fan_in), []  # levels[k](unit, up, place): where the parts of a unit lie in the unit above
     while True:
         buckets = -(-n // fan_in)
         last = buckets == 1
-        if last:
-            units = units.unionByName(large)
         bucket = F.lit(0).cast("long") if last else F.pmod(F.xxhash64("unit"), F.lit(buckets))
-        placed = units.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(_level(shards), _PLACED)
-        placed = staged(placed, "shard-level")
-        levels.append(placed.select("unit", "bucket", "place"))
+        dealt = (units.unionByName(large) if last else units).withColumn("bucket", bucket)
+        placed = staged(dealt.groupBy("bucket").applyInPandas(_level(shards), _PLACED), "shard-level")
+        up = _name(len(levels), F.col("bucket"))
+        levels.append(placed.select("unit", up.alias("up"), "place"))
         if last:
             break
-        units = placed.groupBy("bucket").agg(F.first("sizes").alias("parts")).select(F.sha2(F.col("bucket").cast("string").cast("binary"), 256).cast("binary").alias("unit"), "bucket", "parts")
-        levels[-1] = levels[-1].withColumn("up", F.sha2(F.col("bucket").cast("string").cast("binary"), 256).cast("binary"))
-        units, n = units.select("unit", "parts"), buckets
-    # follow each unit from the top down
-    top = levels[-1].select(F.col("unit"), "place")
+        units = placed.groupBy("bucket").agg(F.first("sizes").alias("parts")).select(up.alias("unit"), "parts")
+        n = buckets
+    # from the top down, each level meets only the one above it; the late units sit in the top level itself
+    above = levels[-1].select("unit", "place")
     for low in reversed(levels[:-1]):
-        above = top.withColumnsRenamed({"unit": "up", "place": "above"})
-        followed = low.join(above, "up").select("unit", F.transform("place", lambda p: F.get("above", p)).alias("place"))
-        top = followed.unionByName(top)
-    return groups.select("unit").join(top, "unit").select("unit", F.get("place", F.lit(0)).alias("shard"))
+        held = staged(above, "shard-followed")
+        above = low.join(held.withColumnsRenamed({"unit": "up", "place": "over"}), "up").select("unit", F.transform("place", lambda p: F.get("over", p)).alias("place"))
+    if len(levels) > 1:
+        top = large.select("unit").join(levels[-1].select("unit", "place"), "unit")
+        above = above.unionByName(top)
+    return above.select("unit", F.get("place", F.lit(0)).alias("shard"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -138,13 +153,31 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("group"),
     )
     rows = staged(rows, "shard-rows")
-    groups = staged(rows.groupBy(F.col("group").alias("unit")).agg(F.sum("size").alias("size")), "shard-groups")
-    found = balance(groups, shards).withColumnRenamed("unit", "group")
-    out = rows.join(found, "group").withColumn("bin", F.pmod(F.xxhash64("doc_id", "group"), F.lit(SLOT_BINS)))
+    sized = rows.groupBy(F.col("group").alias("unit")).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    groups = staged(sized, "shard-groups")
+    found = balance(groups.select("unit", "size"), shards).join(groups.select("unit", "n"), "unit").withColumnRenamed("unit", "group")
+    # a group of more than SALT rows is dealt over several salts, so that no task meets it whole
+    salts = F.least(F.ceil(F.col("n") / SALT), F.lit(MOST_SALTS)).cast("int")
+    salted = found.withColumn("salts", salts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("group", "salt", "salts", "shard")
+    salted = staged(salted, "shard-salted")
+    hot = salted.where("salts > 1 and salt = 0").select("group", "salts")
+    mark = F.xxhash64("doc_id", "group")
+    # few groups are hot: at most rows / SALT
+    rows = rows.join(hot, "group", "left").withColumn("salt", F.pmod(mark, F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    bins = max(1, -(-rows.count() // (shards * SLOT_ROWS)))
+    out = rows.join(salted.drop("salts"), ["group", "salt"]).withColumn("bin", F.pmod(mark, F.lit(bins)))
     out = staged(out, "shard-dealt")
     counts = out.groupBy("shard", "bin").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    # bins of a shard's bins, so that no task holds all of a shard's
+    counts = counts.withColumn("high", F.floor(F.col("bin") / SLOT_BINS))
+    highs = counts.groupBy("shard", "high").agg(F.sum("n").alias("n"))
+
+    def before(keys: list[str], order: str) -> Column:
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("n").over(w), F.lit(0))
+
+    highs = highs.select("shard", "high", before(["shard"], "high").alias("base"))
+    offsets = counts.withColumn("low", before(["shard", "high"], "bin")).join(highs, ["shard", "high"]).select("shard", "bin", (F.col("base") + F.col("low")).alias("offset"))
     within = Window.partitionBy("shard", "bin").orderBy("doc_id", "group")
     out = out.withColumn("slot", F.row_number().over(within) - 1).join(offsets, ["shard", "bin"])
     return out.select("doc_id", "size", "text_crc32", "group", "shard", (F.col("slot") + F.col("offset")).cast("long").alias("slot"))

@@ -254,15 +254,41 @@ def test_differencing_places_what_it_sums():
     assert (np.sort(place, axis=1) == np.arange(8)).all()
 
 
-def test_sharding_in_levels(spark):
+@pytest.mark.parametrize("n, fan_in, levels", [(700, 1000, 1), (700, 200, 2), (700, 20, 3), (700, 10, 3), (5000, 16, 4)])
+def test_sharding_in_levels(spark, monkeypatch, n, fan_in, levels):
+    """However many levels: each unit once, and shards within 1 % of each other."""
+    calls = []
+    monkeypatch.setattr(sharding, "staged", lambda df, label, held=sharding.staged: calls.append(label) or held(df, label))
     rnd = random.Random(1)
-    units = [(hashlib.sha256(str(i).encode()).digest(), rnd.randrange(1, 5000)) for i in range(700)]
-    df = spark.createDataFrame([(bytearray(u), s) for u, s in units], "unit binary, size long")
-    found = {bytes(r["unit"]): r["shard"] for r in sharding.balance(df, fan_in=200).collect()}
+    units = [(hashlib.sha256(str(i).encode()).digest(), rnd.randrange(1, 5000)) for i in range(n)]
+    df = spark.createDataFrame([(bytearray(u), s) for u, s in units], "unit binary, size long").repartition(2)
+    rows = sharding.balance(df, fan_in=fan_in).collect()
+    found = {bytes(r["unit"]): r["shard"] for r in rows}
     sums = Counter()
     for u, s in units:
         sums[found[u]] += s
-    assert len(found) == 700 and max(sums.values()) - min(sums.values()) <= 50
+    assert calls.count("shard-level") == levels
+    assert len(rows) == len(found) == n and max(sums.values()) - min(sums.values()) <= 0.01 * sum(sums.values()) / 8
+
+
+def test_sharding_over_levels_with_hot_groups(spark, monkeypatch):
+    """``shard`` itself over several levels and salts: a row each, equal texts together, even shards, gapless slots."""
+    monkeypatch.setattr(sharding, "SALT", 10)
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 7)
+    monkeypatch.setattr(sharding, "SLOT_BINS", 3)
+    monkeypatch.setattr(sharding.balance, "__defaults__", (8, 20))
+    rnd = random.Random(4)
+    made = [(i, "hot" if i % 3 == 0 else "x" * rnd.randrange(200) + str(i)) for i in range(600)] + [(0, "hot"), (None, "hot"), (None, None)]
+    found = sharding.shard(spark.createDataFrame(made, "doc_id long, text string").repartition(4)).collect()
+    assert len(found) == len(made)
+    sums, slots, where = Counter(), {}, {}
+    for r in found:
+        sums[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        assert where.setdefault(bytes(r["group"]), r["shard"]) == r["shard"]
+    assert sum(sums.values()) == sum(len(t or "") + 1 for _, t in made)
+    assert max(sums.values()) - min(sums.values()) <= 200  # one ordinary group
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
 
 
 def water(sizes: dict) -> dict:
