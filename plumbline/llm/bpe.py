@@ -4,13 +4,15 @@ Texts are cut into chunks where a rolling hash of the last 32 bytes hits, so
 the same passage is cut alike in every document that holds it.  Chunks that
 occur more than once anywhere are encoded once; everything between them is
 encoded where it lies.  Parts meet at arbitrary places, so each joint is
-re-encoded over a growing window until the new tokens agree with those already
-held on both sides of it.
+re-encoded over a window that grows until the new tokens agree with those
+already held on both sides of it.  A joint touches its two edges only, so a text
+of many parts is joined in time linear in its length.
 
-Why agreement at anchors is exact: an ASCII letter followed by a space always
-ends a pre-token, whatever stands around it, and scanning from there on does
-not look back.  Tokens between two anchors are thus the same in any text that
-holds them; only tokens between a joint and its nearest anchors can differ.
+Why agreement at anchors is exact: white space after a printable ASCII character
+(or an ideographic comma after an ideograph) always ends a pre-token, whatever
+stands around it, and scanning from there on does not look back.  Tokens between
+two anchors are thus the same in any text that holds them; only tokens between a
+joint and its nearest anchors can differ.
 
 How data moves:
 
@@ -123,43 +125,80 @@ def _digests(raw: bytes, ends: list[int]) -> np.ndarray:
 
 
 def _anchors(raw: bytes) -> np.ndarray:
-    """Offsets of spaces that follow an ASCII letter."""
+    """Offsets at which a pre-token ends whatever stands around: white space after a
+    printable ASCII character, and an ideographic comma or stop after an ideograph."""
     data = np.frombuffer(raw, np.uint8)
-    folded = data[:-1] | 0x20
-    return np.nonzero((data[1:] == 32) & (folded >= 97) & (folded <= 122))[0] + 1
+    blank = (data[1:] == 32) | ((data[1:] >= 9) & (data[1:] <= 13))
+    found = np.nonzero(blank & (data[:-1] > 32) & (data[:-1] < 127))[0] + 1
+    if len(data) > 5 and data.max() >= 0xE3:
+        mark = ((data[3:-2] == 0xE3) & (data[4:-1] == 0x80) & ((data[5:] == 0x81) | (data[5:] == 0x82))) | ((data[3:-2] == 0xEF) & (data[4:-1] == 0xBC) & (data[5:] == 0x8C))
+        found = np.union1d(found, np.nonzero(mark & (data[:-5] >= 0xE5) & (data[:-5] <= 0xE8))[0] + 3)
+    return found
+
 
+def _edge(path: str, ids: list[int], tail: bool) -> tuple[int, list[int], bytes] | None:
+    """Where a part's own tokens begin (or end, for its tail) to hold in any text.
 
-def merge(path: str, left: list[int], right: list[int]) -> list[int]:
-    """Tokens of the joined text of two parts, of which each was encoded alone."""
-    if not left or not right:
-        return left or right
+    Returns the place of the second anchor from that edge, the tokens between the two
+    anchors next to it, and the bytes from it to the edge.  None: fewer than two anchors.
+    """
     coder, sizes = codec(path)
     k = WINDOW
     while True:
-        lt, rt = left[-k:], right[:k]
-        lb, rb = coder.decode_bytes(lt), coder.decode_bytes(rt)
-        a, b = _anchors(lb), _anchors(rb)
-        all_left, all_right = len(lt) == len(left), len(rt) == len(right)
-        if (len(a) > 1 or all_left) and (len(b) > 1 or all_right):
-            begin = 0 if len(a) < 2 else int(a[-2])
-            end = len(rb) if len(b) < 2 else int(b[1])
-            new = coder.encode((lb[begin:] + rb[:end]).decode(), allowed_special="all")
-            l_ends = np.cumsum(sizes[lt])
-            r_ends = np.cumsum(sizes[rt])
-            l_at = 0 if begin == 0 else int(np.searchsorted(l_ends, begin)) + 1
-            r_at = len(rt) if end == len(rb) else int(np.searchsorted(r_ends, end)) + 1
-            agree = True
-            if begin:  # from this anchor to the next
-                guard = int(np.searchsorted(l_ends, int(a[-1]))) + 1
-                agree = new[: guard - l_at] == lt[l_at:guard]
-            if agree and end < len(rb):
-                guard = int(np.searchsorted(r_ends, int(b[0]))) + 1
-                agree = new[len(new) - (r_at - guard) :] == rt[guard:r_at]
-            if agree or (all_left and all_right):
-                return left[: len(left) - len(lt) + l_at] + new + right[r_at:]
+        window = ids[-k:] if tail else ids[:k]
+        raw = coder.decode_bytes(window)
+        found = _anchors(raw)
+        if not tail:
+            found = found[found < len(raw) - 1]  # the window's last character may go on
+        if len(found) > 1:
+            ends = np.cumsum(sizes[window])
+            far, near = (found[-2], found[-1]) if tail else (found[1], found[0])
+            at, guard = (int(np.searchsorted(ends, x)) for x in (far, near))
+            if ends[at] != far or ends[guard] != near:
+                return None
+            at, guard = at + 1, guard + 1
+            if tail:
+                return len(ids) - len(window) + at, window[at:guard], raw[far:]
+            return at, window[guard:at], raw[:far]
+        if len(window) == len(ids):
+            return None
         k *= 4
 
 
+def join(path: str, parts: list[list[int]]) -> list[int]:
+    """Tokens of the joined text of parts that were encoded alone.
+
+    Around each joint the text between the second anchors on both sides is encoded
+    again, once, and has to agree with the tokens that the parts hold between their two
+    anchors.  A part with too few anchors belongs to the joints beside it.  Where a
+    joint does not agree the whole text is encoded.
+    """
+    parts = [p for p in parts if p]
+    if len(parts) < 2:
+        return parts[0] if parts else []
+    coder, _ = codec(path)
+    out: list[int] = []
+    region, guard_left = [], []
+    for i, ids in enumerate(parts):
+        first, last = i == 0, i == len(parts) - 1
+        head = (0, [], b"") if first else _edge(path, ids, False)
+        tail = (len(ids), [], b"") if last else _edge(path, ids, True)
+        if head is None or tail is None or head[0] > tail[0]:
+            region.append(coder.decode_bytes(ids))
+            continue
+        new = coder.encode(b"".join([*region, head[2]]).decode(), allowed_special="all")
+        if new[: len(guard_left)] != guard_left or (head[1] and new[-len(head[1]) :] != head[1]):
+            break
+        out += new
+        out += ids[head[0] : tail[0]]
+        region, guard_left = [tail[2]], tail[1]
+    else:
+        new = coder.encode(b"".join(region).decode(), allowed_special="all")
+        if new[: len(guard_left)] == guard_left:
+            return out + new
+    return coder.encode(b"".join(coder.decode_bytes(p) for p in parts).decode(), allowed_special="all")
+
+
 def _digest(coder: tiktoken.Encoding, ids: list[int]) -> tuple[int, str, str]:
     named = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
     return len(ids), named, hashlib.sha256(coder.decode_bytes(ids)).hexdigest()
@@ -265,9 +304,7 @@ def _merge_parts(path: str, keep_ids: bool):
             for i in range(0, batch.num_rows, 256):
                 rows = []
                 for doc, parts in zip(*(batch.slice(i, 256).column(c).to_pylist() for c in ("doc_id", "parts")), strict=True):
-                    ids: list[int] = []
-                    for part in sorted(parts, key=lambda p: p["seq"]):
-                        ids = merge(path, ids, part["ids"])
+                    ids = join(path, [p["ids"] for p in sorted(parts, key=lambda p: p["seq"])])
                     rows.append((doc, ids, _digest(coder, ids)))
                 yield pa.RecordBatch.from_arrays(_done_batch(rows, keep_ids), names=names)
 

@@ -215,16 +215,36 @@ def test_bpe_with_a_full_bitmap(docs, rows):
     assert got(bpe.encode(docs, bits=64), "doc_id", "ids_sha256") == got(bpe.encode(docs), "doc_id", "ids_sha256")
 
 
-def test_bpe_merge_at_any_place(library):
+def test_bpe_join_at_any_place(library):
     rnd = random.Random(9)
     path = __import__("public_tokenizers").path(bpe.VOCABULARY)
-    for text in filter(None, texts()):
-        text = text[:2000]
-        at = sorted({0, len(text), *(rnd.randrange(len(text) + 1) for _ in range(5))})
-        ids: list = []
-        for a, b in zip(at, at[1:], strict=False):
-            ids = bpe.merge(path, ids, bpe.encode_text(path, text[a:b]))
-        assert ids == library.encode(text, add_special_tokens=False).ids
+    more = ["漢字、仮名。文字，" * 300, "字" * 3000, "0123456789abcdef" * 300, "a\n\n b \t c  " * 300, "don't 'twas <|endoftext|> x<|endof" * 50, "\u3000\u00a0x \x85y" * 100]
+    for text in [*filter(None, texts()), *more]:
+        text = text[:3000]
+        for n in (1, 5, 60):
+            at = sorted({0, len(text), *(rnd.randrange(len(text) + 1) for _ in range(n))})
+            parts = [bpe.encode_text(path, text[a:b]) for a, b in zip(at, at[1:], strict=False)]
+            assert bpe.join(path, parts) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_join_is_linear():
+    """Twice the text takes about twice the time, and little more than encoding it."""
+    import time
+
+    path = __import__("public_tokenizers").path(bpe.VOCABULARY)
+    rnd = random.Random(3)
+    text = " ".join("".join(rnd.choice("etaoinshr") for _ in range(rnd.randrange(2, 9))) for _ in range(500000))
+    raw = text.encode()
+    parts, begin = [], 0
+    for end in bpe.cuts(raw):
+        parts.append(bpe.encode_text(path, raw[begin:end].decode()))
+        begin = end
+    began = time.process_time()
+    whole = bpe.encode_text(path, text)
+    direct = time.process_time() - began
+    began = time.process_time()
+    assert bpe.join(path, parts) == whole
+    assert len(parts) > 1000 and time.process_time() - began < 3 * direct + 0.5
 
 
 def test_sharding(docs, rows, none):
