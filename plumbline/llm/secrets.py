@@ -29,6 +29,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,7 +71,8 @@ MORE = (
     Rule("pem", 1, "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", 1, "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", 1, "xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
+    # The header's length is bounded, so that a long run without dots costs linear time.
+    Rule("jwt", 2, r"eyJ[A-Za-z0-9_-]{1,1000}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
 )
 RULES = BASE + MORE
 
@@ -97,11 +99,12 @@ class Ledger:
     FINDINGS = "blob binary, rule string, first long, last long"
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(folder):
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def seen(self) -> DataFrame:
         return self._read("seen", self.SEEN)
@@ -139,22 +142,29 @@ def _scan(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return rows.where("good").select("blob", "rule", "first", "last")
 
 
-def scan(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def paths(docs: DataFrame) -> DataFrame:
+    """``(doc_id, blob)`` of each row: which versions there are, without their texts; written as built."""
+    return staged(docs.select("doc_id", _blob(docs["text"]).alias("blob")), "paths")
+
+
+def scan(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, versions: DataFrame | None = None) -> DataFrame:
     """Bring the ledger up to date with ``docs(doc_id, text)``; ``(blob, rule, first, last)`` of the asked rules.
 
-    Offsets are code points, the end exclusive.
+    Offsets are code points, the end exclusive.  ``versions`` are the ``paths`` of
+    ``docs``, where the caller has them.
     """
-    versions = docs.select("doc_id", _blob(docs["text"]).alias("blob"))
+    versions = versions or paths(docs)
     wanted = F.array(*(F.lit(r.key) for r in rules))
     blobs = staged(versions.groupBy("blob").agg(F.min("doc_id").alias("owner")), "blobs")
     seen = ledger.seen().groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("had"))
     todo = blobs.join(seen, "blob", "left")
     todo = todo.select("blob", "owner", F.array_except(wanted, F.coalesce("had", F.array().cast("array<string>"))).alias("rules"))
-    todo = todo.where(F.size("rules") > 0)
+    todo = staged(todo.where(F.size("rules") > 0), "unseen")
     of, blob = F.col("doc_id").eqNullSafe(F.col("owner")), F.col("blob") == F.col("its_blob")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _blob(docs["text"]).alias("its_blob"))
     texts = texts.join(todo, of & blob).select("blob", "rules", "text")
-    ledger.append(todo.select("blob", "rules"), _scan(texts, rules))
+    if not todo.isEmpty():  # else every pair is in the ledger, and no text is read
+        ledger.append(todo.select("blob", "rules"), _scan(texts, rules))
     keys = [r.key for r in rules]
     return ledger.findings().where(F.col("rule").isin(keys)).join(blobs, "blob", "left_semi").distinct()
 
@@ -207,9 +217,11 @@ def _listed(spans: Column) -> Column:
 
 
 def op9_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    paths = staged(docs.select("doc_id", _blob(docs["text"]).alias("blob")), "paths")
-    found = by_blob(scan(docs, Ledger(spark)))
+    """A scan of the history, then one of the table as it is now, which meets its blobs in the ledger."""
+    docs, ledger = table(spark, sf_dir, "documents").select("doc_id", "text"), Ledger(spark)
+    versions = paths(docs)
+    scan(docs, ledger, versions=versions)
+    found = by_blob(scan(docs, ledger, versions=versions))
     base = F.expr(f"filter(spans, s -> s.place < {len(BASE)})")
     found = found.select(
         "blob",
@@ -217,7 +229,7 @@ def op9_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         _listed(base).alias("base"),
         _listed(F.col("spans")).alias("spans"),
     )
-    rows = paths.join(found, "blob", "left")
+    rows = versions.join(found, "blob", "left")
     return rows.select(
         "doc_id",
         *(F.coalesce(f"n_{r.kind}", F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in BASE),

@@ -472,10 +472,10 @@ def test_secrets(spark, docs, rows, none):
     assert blobs == len({r[1] or "" for r in rows})
     secrets.scan(docs, ledger)
     assert ledger.seen().count() == blobs  # nothing is scanned twice
-    newer = (*secrets.RULES[:-1], secrets.Rule("jwt", 2, "eyJ[a-z]+"))
+    newer = (*secrets.RULES[:-1], secrets.Rule("jwt", 3, "eyJ[a-z]+"))
     secrets.scan(docs, ledger, newer)
     assert ledger.seen().count() == 2 * blobs
-    assert {tuple(r["rules"]) for r in ledger.seen().collect()} == {tuple(r.key for r in secrets.RULES), ("jwt@2",)}
+    assert {tuple(r["rules"]) for r in ledger.seen().collect()} == {tuple(r.key for r in secrets.RULES), ("jwt@3",)}
     clean = secrets.redact(docs)
     assert clean.columns == docs.columns
     text = {r[0]: r[1] for r in rows}
@@ -492,6 +492,35 @@ def test_secrets(spark, docs, rows, none):
     assert secrets.scan(none, secrets.Ledger(spark)).count() == 0
 
 
+def test_secrets_in_hostile_runs(spark):
+    """Long runs that begin like a token and never end as one take time in proportion to their length."""
+    import time
+
+    took = []
+    for n in (50_000, 200_000):
+        hostile = ["eyJ" * n, "eyJ" * 300 + "." + "a" * n, "-----BEGIN " + "A " * n, "password" * (n // 4), "ghp_" * n, "0f" * 11 * (n // 22) + "g"]
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(hostile)], "doc_id long, text string")
+        began = time.time()
+        secrets.scan(df, secrets.Ledger(spark)).count()
+        took.append(time.time() - began)
+    assert took[1] < 30, took
+
+
+def test_secrets_by_the_second_scan(spark, monkeypatch):
+    """The second scan of the same texts runs no rule; a new text and its copy are scanned once."""
+    calls = []
+    held = secrets._scan
+    monkeypatch.setattr(secrets, "_scan", lambda texts, rules: calls.append(sorted(r["text"] for r in texts.select("text").collect())) or held(texts, rules))
+    ledger = secrets.Ledger(spark)
+    schema = "doc_id long, text string"
+    first = spark.createDataFrame([(1, "token: abcdefg"), (2, "token: abcdefg"), (None, "x"), (3, None)], schema)
+    one = sorted(map(str, secrets.scan(first, ledger).collect()))
+    assert sorted(map(str, secrets.scan(first, ledger).collect())) == one and len(one) == 1
+    more = spark.createDataFrame([(1, "token: abcdefg"), (1, "AKIA" + "B2" * 8), (7, "AKIA" + "B2" * 8)], schema)
+    assert secrets.scan(more, ledger).count() == 2
+    assert calls == [["", "token: abcdefg", "x"], ["AKIA" + "B2" * 8]]
+
+
 def test_kneser_ney(spark, docs, rows, none):
     rnd = random.Random(6)
     syllables = ["ba", "ko", "ti", "lu", "re", "mo"]
