@@ -7,12 +7,16 @@ are range-sorted by falling length and packed into blocks; queries, a stated
 set, are packed into blocks too and meet every candidate block:
 
 1. the longest candidates give each query a floor, its k-th best score there;
-2. a pair of blocks is skipped if no query's length times the block's longest
-   candidate reaches its floor;
-3. elsewhere the products of the first ``HEAD`` rotated coordinates plus the
+2. a pair of blocks does not meet if the longest query times the longest
+   candidate reaches no query's floor;
+3. candidate blocks come to a query block by falling length, and each raises the
+   floors; a block is skipped once no query's length times its longest candidate
+   reaches that query's floor;
+4. elsewhere the products of the first ``HEAD`` rotated coordinates plus the
    product of the residual lengths bound each score (Cauchy-Schwarz), and only
    pairs at or above the floor are scored, in exact integers;
-4. each block pair emits at most k rows a query; ranks are taken over those.
+5. candidate blocks are dealt to stripes by hash; a query block keeps one running
+   top k for each stripe, and ranks are taken over those.
 
 Bounds carry a margin for rounding, so nothing that could win is pruned.
 
@@ -43,6 +47,8 @@ BLOCK = 1024
 QUERY_BLOCK = 256
 #: Rotated coordinates summed before the residual bound.
 HEAD = 24
+#: No score, and no id.
+_NONE, _LAST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def integers(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -120,18 +126,13 @@ def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return q @ c.T
 
 
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best scores, ties to the smaller id."""
-    return np.lexsort((ids, -score))[:k]
-
-
 def _floors(width: int, k: int, seeds):
     """The k-th best score of each query in one block of candidates, the broadcast ``(ids, ints)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         theirs, c = np.frombuffer(seeds.value[0], np.int64), np.frombuffer(seeds.value[1], np.int64).reshape(-1, width)
         for batch in batches:
-            out = []
+            out, least = [], []
             for q_ids, q_ints in zip(*(batch.column(n).to_pylist() for n in ("ids", "ints")), strict=True):
                 q, mine = np.frombuffer(q_ints, np.int64).reshape(-1, width), np.frombuffer(q_ids, np.int64)
                 score = _exact(q, c).astype(float)
@@ -140,34 +141,82 @@ def _floors(width: int, k: int, seeds):
                 if score.shape[1] >= k:
                     floor = np.partition(score, -k, axis=1)[:, -k]
                 out.append(floor.tobytes())
+                least.append(float(floor.min()))
             kept = [batch.column(n) for n in ("block", "longest", "ids", "ints", "turned")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.binary())], names=["block", "longest", "ids", "ints", "turned", "floors"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.binary()), pa.array(least, pa.float64())], names=["block", "longest", "ids", "ints", "turned", "floors", "floor"])
 
     return run
 
 
+class QueryBlock:
+    """Queries of one block and the best k that they have met, ties to the smaller id."""
+
+    def __init__(self, ids: np.ndarray, ints: np.ndarray, turned: np.ndarray, floors: np.ndarray, head: int, k: int):
+        self.ids, self.ints, self.turned, self.head, self.k = ids, ints, turned, head, k
+        self.length, self.rest = np.sqrt((turned * turned).sum(1)), np.sqrt((turned[:, head:] ** 2).sum(1))
+        self.floors = floors.copy()
+        self.scores, self.found = np.full((len(ids), k), _NONE), np.full((len(ids), k), _LAST)
+        self.skipped = self.scored = 0
+
+    def live(self, longest: float) -> np.ndarray:
+        """Queries that a candidate of that length may still serve."""
+        most = self.length * longest
+        return most + 1e-6 * (1 + most) >= self.floors
+
+    def meet(self, longest: float, ids: np.ndarray, ints: np.ndarray, turned: np.ndarray) -> None:
+        """Score what the bounds leave of a candidate block, and raise the floors."""
+        rows = np.nonzero(self.live(longest))[0]
+        if not len(rows):
+            self.skipped += 1
+            return
+        c_len, c_rest = np.sqrt((turned * turned).sum(1)), np.sqrt((turned[:, self.head :] ** 2).sum(1))
+        bound = self.turned[rows, : self.head] @ turned[:, : self.head].T + self.rest[rows, None] * c_rest[None, :]
+        bound += 1e-6 * (1 + self.length[rows, None] * c_len[None, :])
+        may = (bound >= self.floors[rows, None]) & (self.ids[rows, None] != ids[None, :])
+        keep, cols = may.any(1), np.nonzero(may.any(0))[0]
+        rows, may = rows[keep], may[keep][:, cols]
+        if not len(rows):
+            return
+        self.scored += int(may.sum())
+        score = np.where(may, _exact(self.ints[rows], ints[cols]), _NONE)
+        score = np.concatenate((self.scores[rows], score), axis=1)
+        names = np.concatenate((self.found[rows], np.broadcast_to(ids[cols], may.shape)), axis=1)
+        least = np.partition(score, -self.k, axis=1)[:, -self.k]
+        of, at = np.nonzero((score >= least[:, None]) & (score > _NONE))
+        order = np.lexsort((names[of, at], -score[of, at], of))
+        of, at = of[order], at[order]
+        begins = np.searchsorted(of, np.arange(len(rows)))
+        place = np.arange(len(of)) - begins[of]
+        of, at, place = (x[place < self.k] for x in (of, at, place))
+        best, who = np.full((len(rows), self.k), _NONE), np.full((len(rows), self.k), _LAST)
+        best[of, place], who[of, place] = score[of, at], names[of, at]
+        self.scores[rows], self.found[rows] = best, who
+        full = best[:, -1] > _NONE
+        self.floors[rows[full]] = np.maximum(self.floors[rows[full]], best[full, -1])
+
+    def rows(self) -> pa.RecordBatch:
+        of, at = np.nonzero(self.scores > _NONE)
+        arrays = [pa.array(x) for x in (self.ids[of], self.found[of, at], self.scores[of, at])]
+        return pa.RecordBatch.from_arrays(arrays, names=["query_id", "vec_id", "score"])
+
+
 def _score(width: int, head: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("ids", "ints", "turned", "floors", "c_ids", "c_ints", "c_turned")
+        """One query block at a time, candidate blocks by falling length; a row per query and place."""
+        held, at = None, None
         for batch in batches:
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
-                mine, floors, theirs = np.frombuffer(row[0], np.int64), np.frombuffer(row[3]), np.frombuffer(row[4], np.int64)
-                q, c = (np.frombuffer(x, np.int64).reshape(-1, width) for x in (row[1], row[5]))
-                y, z = (np.frombuffer(x).reshape(-1, width) for x in (row[2], row[6]))
-                q_len, c_len = np.sqrt((y * y).sum(1)), np.sqrt((z * z).sum(1))
-                margin = 1e-6 * (1 + q_len[:, None] * c_len[None, :])
-                live = q_len * c_len.max() + 1e-6 * (1 + q_len * c_len.max()) >= floors
-                bound = y[:, :head] @ z[:, :head].T
-                rest = np.sqrt((y[:, head:] ** 2).sum(1))[:, None] * np.sqrt((z[:, head:] ** 2).sum(1))[None, :]
-                may = (bound + rest + margin >= floors[:, None]) & (mine[:, None] != theirs[None, :]) & live[:, None]
-                for i in np.nonzero(may.any(1))[0]:
-                    at = np.nonzero(may[i])[0]
-                    score = _exact(q[i : i + 1], c[at])[0]
-                    best = _best(score, theirs[at], k)
-                    found.append((np.full(len(best), mine[i]), theirs[at][best], score[best]))
-            columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else [(), (), ()])]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["query_id", "vec_id", "score"])
+            columns = {n: batch.column(n) for n in ("block", "ids", "ints", "turned", "floors", "c_longest", "c_ids", "c_ints", "c_turned")}
+            for i in range(batch.num_rows):
+                row = {n: c[i].as_py() for n, c in columns.items() if n in ("block", "c_longest")}
+                if row["block"] != at:
+                    if held is not None:
+                        yield held.rows()
+                    ids, ints, turned, floors = (np.frombuffer(columns[n][i].as_py(), t) for n, t in (("ids", np.int64), ("ints", np.int64), ("turned", float), ("floors", float)))
+                    held, at = QueryBlock(ids, ints.reshape(-1, width), turned.reshape(-1, width), floors, head, k), row["block"]
+                ids, ints, turned = (np.frombuffer(columns[n][i].as_py(), t) for n, t in (("c_ids", np.int64), ("c_ints", np.int64), ("c_turned", float)))
+                held.meet(row["c_longest"], ids, ints.reshape(-1, width), turned.reshape(-1, width))
+        if held is not None:
+            yield held.rows()
 
     return run
 
@@ -182,17 +231,22 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = TOP, hea
     ordered = vectors.repartitionByRange(F.desc("norm2"), "vec_id").sortWithinPartitions(F.desc("norm2"), "vec_id")
     candidates = staged(ordered.select("vec_id", "v").mapInArrow(_pack(width, turn, BLOCK), _PACKED), "candidates")
     n = queries.count()
-    dealt = queries.coalesce(max(1, -(-n // QUERY_BLOCK))).select("vec_id", "v")  # full blocks, however the table is cut up
+    # full blocks of queries of like length, however the table is cut up
+    dealt = queries.coalesce(max(1, -(-n // QUERY_BLOCK))).sortWithinPartitions(F.desc("norm2"), "vec_id").select("vec_id", "v")
     asked = dealt.mapInArrow(_pack(width, turn, QUERY_BLOCK), _PACKED)
     c = candidates.select("block", F.col("longest").alias("c_longest"), *(F.col(x).alias(f"c_{x}") for x in ("ids", "ints", "turned")))
     first = c.orderBy(F.desc("c_longest"), "block").select("c_ids", "c_ints").first()  # one block: at most BLOCK vectors
     seeds = spark.sparkContext.broadcast((bytes(first["c_ids"]), bytes(first["c_ints"])) if first else (b"", b""))
-    floored = asked.mapInArrow(_floors(width, k, seeds), f"{_PACKED}, floors binary")
+    floored = asked.mapInArrow(_floors(width, k, seeds), f"{_PACKED}, floors binary, floor double")
     floored = staged(floored, "queries")
     stripes = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = floored.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
-    pairs = spread.drop("block").join(c.withColumn("stripe", F.pmod(F.hash("block"), F.lit(stripes))), "stripe")
-    rows = pairs.drop("stripe", "block").mapInArrow(_score(width, head, k), "query_id long, vec_id long, score long")
+    # candidate blocks come by falling length: the merge join hands its right side over in the order it was sorted in
+    falling = c.withColumn("stripe", F.pmod(F.hash("block"), F.lit(stripes))).drop("block").repartition(stripes, "stripe").sortWithinPartitions("stripe", F.desc("c_longest"))
+    # pairs of blocks whose lengths alone rule them out do not meet
+    most = F.col("longest") * F.col("c_longest")
+    pairs = spread.join(falling.hint("merge"), "stripe").where(most + 1e-6 * (1 + most) >= F.col("floor"))
+    rows = pairs.drop("stripe").mapInArrow(_score(width, head, k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
