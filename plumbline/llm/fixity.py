@@ -2,24 +2,33 @@
 
 A page becomes one WARC response record (header block, blank line, payload,
 two line ends).  Records are laid out by id in segments of ``SEGMENT`` ids; a
-record's offset in its segment is the sum of the lengths before it.
+record's offset in its segment is the sum of the lengths before it.  A range of
+ids that holds more than ``CROWD`` records (null ids, repeated ids) is dealt by
+digest to parts of about ``SEGMENT`` records, so a lost record moves only those
+of its own part, and no task orders a hot range alone.
 
 Each replica's segment has a tree: a leaf hashes the record and its offset
 range, an inner node hashes its up to ``FAN_OUT`` children in offset order
-together with the range they span.  The audit compares the roots of two
-replicas, then only children of nodes that differ, level by level, until it
-has the records that are corrupt, missing, added or moved.  Trees are built by
-grouping on (segment, node), so no task holds more than ``FAN_OUT`` hashes of
-one node, and the payloads are read once and never shuffled.
+together with the range they span, until one node is left.  The audit compares
+the roots of two replicas, then only children of nodes that differ, level by
+level, until it has the records that are corrupt, missing, added or moved.
+Trees are built by grouping on (segment, part, node), so no task holds more than
+``FAN_OUT`` hashes of one node, and the payloads are read once and never
+shuffled.
 
 Defined results: null columns count as empty strings; a null id lies in segment
--1.  Repeated rows are records of their own and lie one after the other.  An
+-1.  Repeated rows are records of their own and lie one after the other (equal
+records share a part, the only way in which one can outgrow its size).  An
 empty table gives an empty result.  Other columns are not read, so their names
 cannot clash.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +36,10 @@ from plumbline.staging import staged, table
 
 SEGMENT = 1024
 FAN_OUT = 16
-LEVELS = 3  # FAN_OUT ** LEVELS positions a tree at least; higher positions share the root
+LEVELS = 3  # at least; more where a segment has more than FAN_OUT ** LEVELS records
+#: Records of a range of ids beyond which it is dealt to several segments.
+CROWD = 8 * SEGMENT
+KEY = ("segment", "part")
 WARC_DATE = "2024-01-01T00:00:00Z"
 END = "\r\n"
 
@@ -56,81 +68,154 @@ def write_warc(pages: DataFrame, path: str, records_per_file: int = 10000) -> No
     body.write.option("lineSep", END + END).option("maxRecordsPerFile", records_per_file).text(path)
 
 
+_READ = "file string, offset long, length long, type string, uri string, payload binary, error string"
+
+
+def _members(raw: bytes) -> bytes:
+    """A WARC file's bytes; gzip members are opened one after the other, as far as they go."""
+    if raw[:2] != b"\x1f\x8b":
+        return raw
+    out = []
+    while raw:
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(raw))
+        except zlib.error:
+            break
+        if not member.eof:
+            break
+        raw = member.unused_data
+    return b"".join(out)
+
+
+def parse_warc(file: str, raw: bytes) -> Iterator[tuple]:
+    """Rows of ``read_warc`` for one file.  What cannot be read to its end is one row with an ``error``."""
+    raw, at = _members(raw), 0
+    while at < len(raw):
+        body = raw.find(b"\r\n\r\n", at) + 4
+        lines = raw[at : body - 4].split(b"\r\n")
+        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in lines[1:])}
+        size = head.get(b"content-length", b"")
+        kind, uri = (v.decode("utf-8", "replace") if (v := head.get(k)) is not None else None for k in (b"warc-type", b"warc-target-uri"))
+        if body < 4 or not lines[0].startswith(b"WARC/") or not size.isdigit():
+            yield file, at, len(raw) - at, None, None, raw[at:], "no record header"
+            return
+        end = body + int(size)
+        if end > len(raw):
+            yield file, at, len(raw) - at, kind, uri, raw[body:], f"truncated: {len(raw) - body} of {int(size)} bytes"
+            return
+        last = end + 4 if raw[end : end + 4] == b"\r\n\r\n" else end
+        yield file, at, last - at, kind, uri, raw[body:end], None
+        at = last
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, offset, length, uri, payload)`` of the records in the WARC files under ``path``."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for file, content in zip(frame["path"], frame["content"], strict=True):
-                rows, at, raw = [], 0, bytes(content)
-                while at < len(raw):
-                    body = raw.index(b"\r\n\r\n", at) + 4
-                    head = dict(x.split(b": ", 1) for x in raw[at : body - 4].split(b"\r\n")[1:])
-                    end = body + int(head[b"Content-Length"])
-                    rows.append((file, at, end + 4 - at, head[b"WARC-Target-URI"].decode(), raw[body:end].decode()))
-                    at = end + 4
-                yield pd.DataFrame(rows, columns=["file", "offset", "length", "uri", "payload"])
+    """``(file, offset, length, type, uri, payload, error)`` of the records in the WARC files under ``path``.
+
+    Payloads are bytes.  Offsets are those in the plain file, also of gzipped ones.  A
+    record without a target URI (``warcinfo``) has a null there; a cut or broken one ends its file
+    with an error row.  A file is read by one task, so files should stay near the usual gigabyte.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _READ.split(", ")]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+        for batch in batches:
+            for file, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                rows, held = [], 0
+                for row in parse_warc(file.as_py(), content.as_py()):
+                    rows.append(row)
+                    held += len(row[5])
+                    if held > 4 << 20:
+                        yield batch_of(rows)
+                        rows, held = [], 0
+                yield batch_of(rows)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "file string, offset long, length long, uri string, payload string")
+    return files.mapInArrow(run, _READ)
 
 
-def leaves(records: DataFrame) -> DataFrame:
-    """``records(page_id, record)`` -> ``(page_id, segment, slot, offset, length, hash)``."""
+def _slim(records: DataFrame) -> DataFrame:
     raw = records["record"].cast("binary")
     slim = records.select("page_id", F.sha2(raw, 256).alias("digest"), F.octet_length(raw).cast("long").alias("length"))
-    slim = slim.withColumn("segment", F.coalesce(F.floor(F.col("page_id") / SEGMENT), F.lit(-1)))
-    order = Window.partitionBy("segment").orderBy("page_id", "digest")
+    return slim.withColumn("range", F.coalesce(F.floor(F.col("page_id") / SEGMENT), F.lit(-1)))
+
+
+def layout(records: DataFrame) -> DataFrame:
+    """``(range, parts)`` of the ranges of ids that hold far more than ``SEGMENT`` records, by null or repeated ids.
+
+    At most one row for each ``CROWD`` records.  Replicas are compared under one layout.
+    """
+    crowded = _slim(records).groupBy("range").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
+    return crowded.select("range", F.ceil(F.col("n") / SEGMENT).cast("long").alias("parts"))
+
+
+def leaves(records: DataFrame, cut: DataFrame | None = None) -> DataFrame:
+    """``records(page_id, record)`` -> ``(page_id, segment, part, slot, offset, length, hash)``; ``cut`` is a ``layout``."""
+    slim = _slim(records).join(cut if cut is not None else layout(records), "range", "left")
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("page_id", "digest"), F.col("parts")) + 1).otherwise(0)
+    slim = slim.withColumnRenamed("range", "segment").withColumn("part", part.cast("long"))
+    order = Window.partitionBy(*KEY).orderBy("page_id", "digest")
     slim = slim.withColumn("slot", F.row_number().over(order) - 1)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     slim = slim.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
     named = F.concat_ws(":", "digest", "offset", "length")
-    return slim.select("page_id", "segment", "slot", "offset", "length", F.sha2(named.cast("binary"), 256).alias("hash"))
+    return slim.select("page_id", *KEY, "slot", "offset", "length", F.sha2(named.cast("binary"), 256).alias("hash"))
 
 
-def _level(nodes: DataFrame, top: bool) -> DataFrame:
-    """Parents of ``nodes(segment, node, offset, length, hash)``."""
-    up = F.lit(0) if top else F.floor(F.col("node") / FAN_OUT)
-    kids = nodes.groupBy("segment", up.cast("long").alias("up")).agg(
+def _level(nodes: DataFrame) -> DataFrame:
+    """Parents of ``nodes(segment, part, node, offset, length, hash)``."""
+    up = F.floor(F.col("node") / FAN_OUT)
+    kids = nodes.groupBy(*KEY, up.cast("long").alias("up")).agg(
         F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("kids"), F.min("offset").alias("offset"), F.max(F.col("offset") + F.col("length")).alias("end")
     )
     named = F.concat_ws(":", F.concat_ws("", F.col("kids.hash")), "offset", "end")
-    return kids.select("segment", F.col("up").alias("node"), "offset", (F.col("end") - F.col("offset")).alias("length"), F.sha2(named.cast("binary"), 256).alias("hash"))
+    return kids.select(*KEY, F.col("up").alias("node"), "offset", (F.col("end") - F.col("offset")).alias("length"), F.sha2(named.cast("binary"), 256).alias("hash"))
 
 
-def tree(leaf: DataFrame) -> list[DataFrame]:
-    """Levels of the trees, leaves first, roots (node 0) last; written as built."""
-    levels = [leaf.select("segment", F.col("slot").cast("long").alias("node"), "offset", "length", "hash")]
-    for k in range(LEVELS):
-        levels.append(staged(_level(levels[-1], k == LEVELS - 1), "merkle"))
+def height(*replicas: DataFrame) -> int:
+    """Levels above the leaves until each tree has one node."""
+    last = max(r.agg(F.max("slot").alias("s")).first()["s"] or 0 for r in replicas)
+    levels = LEVELS
+    while last // FAN_OUT**levels:
+        levels += 1
     return levels
 
 
+def tree(leaf: DataFrame, levels: int) -> list[DataFrame]:
+    """Levels of the trees, leaves first, roots (node 0) last; written as built."""
+    found = [leaf.select(*KEY, F.col("slot").cast("long").alias("node"), "offset", "length", "hash")]
+    for _ in range(levels):
+        found.append(staged(_level(found[-1]), "merkle"))
+    return found
+
+
 def audit(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Compare two replicas' ``leaves``.
+    """Compare two replicas' ``leaves``, made under one layout.
 
-    Returns the slots at which they differ, ``(segment, slot)``, and the roots,
-    ``(segment, root_a, root_b)``.
+    Returns the slots at which they differ, ``(segment, part, slot)``, and the roots,
+    ``(segment, part, root_a, root_b)``.
     """
-    one, two = tree(a), tree(b)
+    levels = height(a, b)
+    one, two = tree(a, levels), tree(b, levels)
 
     def differing(x: DataFrame, y: DataFrame) -> DataFrame:
-        x, y = (d.select("segment", "node", F.col("hash").alias(n)) for d, n in ((x, "x"), (y, "y")))
-        return x.join(y, ["segment", "node"], "full_outer")
+        x, y = (d.select(*KEY, "node", F.col("hash").alias(n)) for d, n in ((x, "x"), (y, "y")))
+        return x.join(y, [*KEY, "node"], "full_outer")
 
     roots = differing(one[-1], two[-1])
-    open_nodes = roots.where(~F.col("x").eqNullSafe(F.col("y"))).select("segment", "node")
-    for k in range(LEVELS - 1, -1, -1):
-        top = k == LEVELS - 1
-        up = F.lit(0).cast("long") if top else F.floor(F.col("node") / FAN_OUT)
-        parent = open_nodes.select("segment", F.col("node").alias("up"))
-        x, y = (d[k].withColumn("up", up).join(parent, ["segment", "up"], "left_semi") for d in (one, two))
-        open_nodes = differing(x, y).where(~F.col("x").eqNullSafe(F.col("y"))).select("segment", "node")
-    found = open_nodes.select("segment", F.col("node").cast("int").alias("slot"))
-    return found, roots.select("segment", F.col("x").alias("root_a"), F.col("y").alias("root_b"))
+    open_nodes = roots.where(~F.col("x").eqNullSafe(F.col("y"))).select(*KEY, "node")
+    for k in range(levels - 1, -1, -1):
+        up = F.floor(F.col("node") / FAN_OUT)
+        parent = open_nodes.select(*KEY, F.col("node").alias("up"))
+        x, y = (d[k].withColumn("up", up).join(parent, [*KEY, "up"], "left_semi") for d in (one, two))
+        open_nodes = differing(x, y).where(~F.col("x").eqNullSafe(F.col("y"))).select(*KEY, "node")
+    found = open_nodes.select(*KEY, F.col("node").cast("int").alias("slot"))
+    return found, roots.select(*KEY, F.col("x").alias("root_a"), F.col("y").alias("root_b"))
 
 
 def damaged(records: DataFrame) -> DataFrame:
@@ -150,13 +235,14 @@ def op7_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record with where it lies, its leaf in either replica, and whether the audit found it."""
     pages = table(spark, sf_dir, "pages")
     records = pages.select("page_id", record(pages).alias("record"))
-    a, b = staged(leaves(records), "leaves"), staged(leaves(damaged(records)), "leaves")
+    cut = staged(layout(records), "layout")
+    a, b = staged(leaves(records, cut), "leaves"), staged(leaves(damaged(records), cut), "leaves")
     found, roots = audit(a, b)
     found = found.withColumn("differs", F.lit(True))
-    other = b.select("segment", "slot", F.col("hash").alias("hash_b"))
-    rows = a.join(other, ["segment", "slot"], "left").join(found, ["segment", "slot"], "left").join(roots, "segment", "left")
+    other = b.select(*KEY, "slot", F.col("hash").alias("hash_b"))
+    rows = a.join(other, [*KEY, "slot"], "left").join(found, [*KEY, "slot"], "left").join(roots, list(KEY), "left")
     return rows.select(
-        "page_id", "segment", F.col("slot").cast("long").alias("slot"), "offset", "length", F.col("hash").alias("hash_a"), "hash_b",
+        "page_id", *KEY, F.col("slot").cast("long").alias("slot"), "offset", "length", F.col("hash").alias("hash_a"), "hash_b",
         F.coalesce("differs", F.lit(False)).alias("differs"), "root_a", "root_b",
     )
 
@@ -185,6 +271,6 @@ ORACLE_SQL = (
     f" WHEN '01' THEN {_FLIP} || chr(13) || chr(10) || chr(13) || chr(10) ELSE r END AS d FROM (SELECT page_id, {_RECORD_SQL} AS r FROM pages)),"
     + _tree_sql("a", "r") + "," + _tree_sql("b", "d")
     + """
-SELECT a2.page_id, a2.segment, a2.slot, a2."offset", a2.length, a2.hash AS hash_a, b2.hash AS hash_b, a2.hash IS DISTINCT FROM b2.hash AS differs, a5.root AS root_a, b5.root AS root_b
+SELECT a2.page_id, a2.segment, 0::bigint AS part, a2.slot, a2."offset", a2.length, a2.hash AS hash_a, b2.hash AS hash_b, a2.hash IS DISTINCT FROM b2.hash AS differs, a5.root AS root_a, b5.root AS root_b
 FROM a2 LEFT JOIN b2 USING (segment, slot) LEFT JOIN a5 USING (segment) LEFT JOIN b5 USING (segment)"""
 )
