@@ -581,28 +581,91 @@ def test_secrets_by_the_second_scan(spark, monkeypatch):
     assert calls == [["", "token: abcdefg", "x"], ["AKIA" + "B2" * 8]]
 
 
+class BruteKneserNey:
+    """Interpolated modified Kneser-Ney by dictionaries, straight from the formula."""
+
+    def __init__(self, texts: list, order: int):
+        self.order = order
+        self.levels = {order: Counter(g for t in texts for g in self.grams(t))}
+        for k in range(order, 1, -1):
+            self.levels[k - 1] = Counter(g[1:] for g in self.levels[k])
+        self.given = {}
+        for k, level in self.levels.items():
+            n = Counter(level.values())
+            y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+            d = tuple(i - (i + 1) * y * n[i + 1] / n[i] for i in (1, 2, 3)) if n[1] and n[2] and n[3] else kneser_ney.DISCOUNTS
+            self.given[k] = d if all(0 < x < i + 1 for i, x in enumerate(d)) else kneser_ney.DISCOUNTS
+
+    def grams(self, text):
+        t = chr(kneser_ney.EDGE) * (self.order - 1) + (text or "") + chr(kneser_ney.EDGE)
+        return [t[i : i + self.order] for i in range(len(t) - self.order + 1)]
+
+    def p(self, gram):
+        if not gram:
+            return kneser_ney.UNIFORM
+        level, d = self.levels[len(gram)], self.given[len(gram)]
+        same = [c for g, c in level.items() if g[:-1] == gram[:-1]]
+        if not same:
+            return self.p(gram[1:])
+        lost = lambda c: d[min(c, 3) - 1] if c else 0
+        return (level[gram] - lost(level[gram])) / sum(same) + sum(map(lost, same)) / sum(same) * self.p(gram[1:])
+
+    def measures(self, text):
+        logs = [math.log(self.p(g)) for g in self.grams(text)]
+        units, begin = [], 0
+        for i, c in enumerate([*(text or ""), " "]):
+            if c in " \t\n\v\f\r":
+                units.append(logs[begin : i + 1])
+                begin = i + 1
+        passages = [sum(units[i : i + 8], []) for i in range(0, len(units), 8)]
+        worst = lambda parts, least: max((-sum(x) / len(x) for x in parts if len(x) >= least), default=None)
+        return -sum(logs) / len(logs), worst(passages, 20), worst(units, 5)
+
+
+@pytest.mark.parametrize("cache, slots", [(1 << 19, 1 << 20), (7, 1 << 20), (200, 64), (0, 64)])
+def test_kneser_ney_by_the_formula(spark, monkeypatch, cache, slots):
+    """Counts, probabilities and measures against dictionaries, whatever share of the n-grams the cache holds."""
+    monkeypatch.setattr(kneser_ney, "HELD", 50)
+    monkeypatch.setattr(kneser_ney, "STEP", 300)
+    rnd = random.Random(2)
+    words = ["ab", "ba", "abba", "漢字", "漢", "é\U0001f600", "c"]
+    fitted = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 12))) for _ in range(12)]
+    others = [None, "", " \n", "zz zz zzzz", "字漢 abab\tab", " ".join(rnd.choice([*words, "漢字漢字漢字", "xyzzyx"]) for _ in range(40)), fitted[0]]
+    rows = [(i, t, True) for i, t in enumerate(fitted)] + [(100 + i, t, False) for i, t in enumerate(others)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fits boolean").repartition(3)
+    brute = BruteKneserNey(fitted, kneser_ney.ORDER)
+    grams = kneser_ney.counts(docs)
+    assert {r["gram"]: r["c"] for r in grams.where("c > 0").collect()} == dict(brute.levels[kneser_ney.ORDER])
+    assert {r["gram"]: r["seen"] for r in grams.collect()} == dict(Counter(g for _, t, _ in rows for g in brute.grams(t)))
+    model = kneser_ney.fit(grams.where("c > 0").select("gram", "c"))
+    lps = kneser_ney.log_probabilities(grams, model)
+    found = {r["gram"]: r["lp"] for r in lps.collect()}
+    assert found == pytest.approx({g: math.log(brute.p(g)) for g in found})
+    held = sorted(found)[:cache]
+    table_ = kneser_ney.Cache(held, np.array([found[g] for g in held]), slots)
+    for r in kneser_ney.measured(docs, lps, table_).collect():
+        want = brute.measures({i: t for i, t, _ in rows}[r["doc_id"]])
+        for name, value in zip(kneser_ney.MEASURES, want, strict=True):
+            assert r[name] == (None if value is None else pytest.approx(value)), (r, name)
+    letters = {g[-1] for g in found} | {"q"}
+    for context in ("", "ab", " ab漢", "qqqq"):
+        total = sum(brute.p(context + c) for c in letters)
+        unseen = (0x110000 - len(letters)) * brute.p(context + "\u1234")
+        assert total + unseen == pytest.approx(1)
+
+
 def test_kneser_ney(spark, docs, rows, none):
     rnd = random.Random(6)
     syllables = ["ba", "ko", "ti", "lu", "re", "mo"]
     clean = lambda n: " ".join("".join(rnd.choice(syllables) for _ in range(3)) for _ in range(n)) + "."
     good = [(1000 + i, clean(60), "en" if i % 2 else None, "s", 0) for i in range(200)]
     bad = [(3000 + i, "".join(rnd.choice("qxz#$%&|QXZ 0123") for _ in range(300)), "en", "s", 0) for i in range(40)]
-    more = spark.createDataFrame(good + bad, SCHEMA)
+    planted = [(5000 + i, clean(30) + " you stupid clown " + clean(30), "en", "s", 0) for i in range(20)]  # fluent but for two words
+    more = spark.createDataFrame(good + bad + planted, SCHEMA)
     labels = spark.createDataFrame([(r[0], 1, 0) for r in good[:150]] + [(r[0], 0, 0) for r in bad[:20]] + [(None, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")
     found = {r["doc_id"]: r["kept"] for r in kneser_ney.classify(more, labels).collect()}
-    assert np.mean([found[r[0]] for r in good[150:]]) >= 0.95 and not any(found[r[0]] for r in bad)
-    model = kneser_ney.fit(more.where("doc_id < 3000").select("text"))
-    p = np.exp(model.astype(float)).reshape(-1, kneser_ney.CLASSES)
-    assert p.sum(1) == pytest.approx(np.ones(len(p)), abs=1e-4)  # a distribution after every context
+    assert np.mean([found[r[0]] for r in good[150:]]) >= 0.95 and not any(found[r[0]] for r in bad + planted)
     few = kneser_ney.classify(docs, labels)
     assert few.count() == len(rows) and all(r["perplexity"] > 0 for r in few.collect())
     assert all(r["kept"] for r in kneser_ney.classify(docs, labels.limit(0)).collect())
     assert kneser_ney.classify(none, labels).count() == 0
-
-
-def test_kneser_ney_counts_and_probabilities(spark):
-    """The bigram level of a tiny corpus by the formula."""
-    codes, starts = kneser_ney.grams(["ab", None, "bあ"])
-    assert len(codes) == 3 + 1 + 3 and starts.tolist() == [0, 3, 4]
-    table = {r["gram"]: r["c"] for r in kneser_ney.counts(spark.createDataFrame([("ab",), ("ab",)], "text string")).collect()}
-    assert sorted(table.values()) == [2, 2, 2]
