@@ -50,7 +50,7 @@ from plumbline.llm.text import append_columns
 from plumbline.operators.ranks import percentile
 from plumbline.staging import staged, table
 
-ORDER = 5
+ORDER = 4
 QUANTILE = 0.995
 HELD_OUT = 5
 FEW, SPREAD = 1200, 3.0
