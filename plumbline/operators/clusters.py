@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.scalars import hamming
 from plumbline.functions.vectors import dot
 from plumbline.operators.components import connected_components
+from plumbline.operators.ranks import positions, value_bins
 
 MOST_BITS = 8
 LEAST_COSINE = 0.95
@@ -55,8 +56,8 @@ def numbered(members: DataFrame, prefix: str = "h") -> DataFrame:
     per = sizes.groupBy("n").agg(F.count("*").alias("k"))
     before = F.coalesce(F.sum("k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = per.select("n", before.alias("before"))
-    at = F.row_number().over(Window.partitionBy("n").orderBy("component")) - 1
-    rows = sizes.withColumn("at", at).join(offsets, "n").withColumn("number", F.col("at") + F.col("before"))
+    ranked = positions(sizes, ["n"], [F.col("component")], value_bins(sizes, "component")).withColumn("at", F.col("at") - 1).drop("of")
+    rows = ranked.join(offsets, "n").withColumn("number", F.col("at") + F.col("before"))
     digits = F.col("number").cast("string")
     padded = F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits)
     return rows.select(F.concat(F.lit(prefix), padded).alias("cluster_id"), "component", "n")
@@ -91,5 +92,5 @@ def mixed_source(info: DataFrame) -> DataFrame:
 
 def nearest_of_palette(colours: DataFrame, palette: DataFrame, distance: Column) -> DataFrame:
     """Each colour with the palette entry (a small dimension table) at the least distance; ties to the smaller entry."""
-    met = colours.withColumn("_one", F.lit(1)).join(palette.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    met = colours.join(F.broadcast(palette))
     return met.withColumn("distance", distance).groupBy("colour_id").agg(F.min(F.struct("distance", "entry")).alias("m")).select("colour_id", "m.entry", "m.distance")

@@ -28,8 +28,7 @@ def centroid(df: DataFrame, by: list[str], vec: str = "vec") -> DataFrame:
 
 def similarity(df: DataFrame, to: DataFrame, vec: str = "vec", name: str = "centroid") -> DataFrame:
     """Rows of ``df`` with their inner product with each row of ``to`` (a small dimension table)."""
-    dims = to.withColumn("_one", F.lit(1))
-    return df.withColumn("_one", F.lit(1)).join(dims, "_one").drop("_one").withColumn("similarity", dot(vec, name))
+    return df.join(F.broadcast(to)).withColumn("similarity", dot(vec, name))
 
 
 def embedding_scores(df: DataFrame, params: DataFrame, vec: str = "vec") -> DataFrame:
@@ -46,8 +45,7 @@ def difference_of_means(df: DataFrame, positive: Column | str, vec: str = "vec")
 
 def without_direction(df: DataFrame, direction: DataFrame, vec: str = "vec", out: str = "projected") -> DataFrame:
     """Vectors with the direction taken out, made unit again (length + 1e-9)."""
-    one = direction.withColumn("_one", F.lit(1))
-    rows = df.withColumn("_one", F.lit(1)).join(one, "_one").drop("_one")
+    rows = df.join(F.broadcast(direction))  # one row
     rows = rows.withColumn(out, project_out(vec, "direction"))
     return rows.withColumn(out, let(F.col(out), lambda v: normalised(v, 1e-9))).drop("direction")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.staging import staged
@@ -26,7 +28,7 @@ def zscores(scores: DataFrame) -> DataFrame:
 def panels(judges: DataFrame, strict: bool = False) -> DataFrame:
     """``judges(judge, family)`` -> ``(selector, judge)``: a selector's panel is all others, or all of other families."""
     a, b = judges.select(F.col("judge").alias("selector"), F.col("family").alias("f")), judges
-    met = a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").where("selector <> judge")
+    met = a.join(F.broadcast(b)).where("selector <> judge")  # a row a judge
     return (met.where("f <> family") if strict else met).select("selector", "judge")
 
 
@@ -44,10 +46,12 @@ def gold(scores: DataFrame, manifest: DataFrame, panel: DataFrame) -> DataFrame:
     return rows.join(manifest.select("item_id", "prompt_idx"), "item_id").select("selector", "prompt_idx", "item_id", "score", "gold")
 
 
-def _log_factorials(spark, most: int) -> DataFrame:
-    """``(n, lf)`` for 0..most, most being a pool size."""
-    k = spark.range(0, most + 1).select(F.col("id").alias("n"), F.when(F.col("id") > 1, F.ln(F.col("id").cast("double"))).otherwise(0.0).alias("l"))
-    return k.select("n", F.sum("l").over(Window.orderBy("n")).alias("lf"))
+def log_factorial(n: Column) -> Column:
+    """ln n!: exact to rounding below 32, from there by Stirling's series (its error is under 1e-13)."""
+    small = F.array(*(F.lit(math.lgamma(k + 1)) for k in range(32)))
+    x = F.greatest(n, F.lit(1)).cast("double")
+    series = x * F.ln(x) - x + F.ln(x * (2 * math.pi)) / 2 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(n < 32, F.get(small, F.greatest(n, F.lit(0)).cast("int"))).otherwise(series)
 
 
 def bon_curves(pool: DataFrame, deep_judges: list[str] | None = None, sizes: tuple = BROAD + DEEP) -> DataFrame:
@@ -57,21 +61,18 @@ def bon_curves(pool: DataFrame, deep_judges: list[str] | None = None, sizes: tup
     ``(C(items <= v, N) - C(items < v, N)) / C(n, N)`` and is any item of that
     score alike.  Means and deviations follow without resampling.
     """
-    spark = pool.sparkSession
     by = ["selector", "prompt_idx"]
     tied = pool.groupBy(*by, "score").agg(F.count("*").alias("c"), F.avg("gold").alias("g"), F.avg(F.col("gold") * F.col("gold")).alias("g2"))
     w = Window.partitionBy(*by)
     tied = tied.withColumn("le", F.sum("c").over(w.orderBy("score"))).withColumn("all", F.sum("c").over(w))
     tied = staged(tied.withColumn("lt", F.col("le") - F.col("c")), "bon-classes")
-    most = tied.agg(F.max("all")).first()[0] or 0
     arms = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(arm).alias("arm")) for arm, grid in (("broad", [s for s in sizes if s <= DEEP_POOL]), ("deep", sizes)) for n in grid))
     rows = tied.select("*", F.explode(arms).alias("x")).select(*tied.columns, "x.n", "x.arm").where(F.col("all") >= F.col("n"))
     rows = rows.where((F.col("arm") == "broad") | (F.col("all") > DEEP_POOL))
     if deep_judges is not None:
         rows = rows.where((F.col("arm") == "broad") | F.col("selector").isin(deep_judges))
-    facts = F.broadcast(_log_factorials(spark, most))  # one row for each count up to the largest pool of a prompt
     for name, of in (("f_le", F.col("le")), ("f_lt", F.col("lt")), ("f_all", F.col("all")), ("f_le_n", F.col("le") - F.col("n")), ("f_lt_n", F.col("lt") - F.col("n")), ("f_all_n", F.col("all") - F.col("n"))):
-        rows = rows.withColumn("_k", F.greatest(of, F.lit(0))).join(facts.select(F.col("n").alias("_k"), F.col("lf").alias(name)), "_k").drop("_k")
+        rows = rows.withColumn(name, log_factorial(of))
     share = lambda side: F.when(F.col(side) >= F.col("n"), F.exp(F.col(f"f_{side}") - F.col(f"f_{side}_n") - F.col("f_all") + F.col("f_all_n"))).otherwise(0.0)
     rows = rows.withColumn("p", share("le") - share("lt"))
     prompts = rows.groupBy("selector", "arm", "n", "prompt_idx").agg(

@@ -23,7 +23,7 @@ def source_probe(train: DataFrame, test: DataFrame, features: str = "vec", c: fl
     weighted = train.withColumn("w", balanced_weight(F.col("label"), n, p))
     w, b = logistic(weighted, features, penalty=1.0 / (c * max(n, 1)), weight="w")
     scored = probabilities(test, features, w, b)
-    one = balanced_accuracy(scored).join(auc(scored, [], F.col("label") == 1).select("n_pos", "n_neg", "auc"))
+    one = balanced_accuracy(scored).join(F.broadcast(auc(scored, [], F.col("label") == 1).select("n_pos", "n_neg", "auc")))  # a row each
     return one.select(F.lit(n).alias("n_train"), (F.col("n_pos") + F.col("n_neg")).alias("n_test"), "balanced_accuracy", "auc")
 
 

@@ -9,7 +9,7 @@ over a whole group only ever sees ``buckets`` rows of that group.
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 64
@@ -61,3 +61,26 @@ def percentile(df: DataFrame, by: list[str], value: str, p: float, out: str = "p
         F.max(at - F.floor(at)).alias("_f"),
     )
     return picked.select(*by, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias(out))
+
+
+def positions(df: DataFrame, by: list[str], order: list[Column], bin_: Column, at: str = "at", of: str = "of") -> DataFrame:
+    """Rows with their position in the group (from 1) and the group's size.
+
+    ``bin_`` must rise with ``order``: rows are numbered inside a bin, and bins by their counts, so a
+    task sees one bin of a group and a window over a group sees a row a bin.
+    """
+    rows = df.withColumn("_bin", bin_)
+    counts = rows.groupBy(*by, "_bin").agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*by, "_bin", before.alias("_before"), F.sum("_n").over(group).alias(of))
+    inside = F.row_number().over(Window.partitionBy(*by, "_bin").orderBy(*order))
+    return rows.withColumn("_inside", inside).join(counts, [*by, "_bin"]).withColumn(at, F.col("_before") + F.col("_inside")).drop("_bin", "_before", "_inside")
+
+
+def value_bins(df: DataFrame, value: str, rows: int = 50_000) -> Column:
+    """A bin of about ``rows`` rows for each value, rising with it, by approximate quantiles."""
+    bins = max(1, -(-df.count() // rows))
+    points = sorted(set(df.approxQuantile(value, [i / bins for i in range(1, bins)], 1 / (4 * bins)))) if bins > 1 else []
+    edges = F.array(*(F.lit(float(x)) for x in points)).cast("array<double>")
+    return F.size(F.filter(edges, lambda x: x < F.col(value).cast("double")))

@@ -13,11 +13,10 @@ from plumbline.staging import table
 PAGES = {"en": "north", "de": "south", "fr": "west"}
 
 
-def _ads(spark, sf, whole=False):
-    """Documents as ads: the language is the page, and words (the first six, or all) become image URLs, some of them empty."""
+def _ads(spark, sf):
+    """Documents as ads: the language is the page, and its words become image URLs, some of them empty: two images, all others cards."""
     d = table(spark, sf, "documents")
     words = F.split("text", " ")
-    words = words if whole else F.slice(words, 1, 6)
     image = lambda w: F.struct(F.when(F.length(w) % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("http://x/"), w, F.lit("?v=1"))).alias("originalImageUrl"), F.concat(F.lit("http://y/"), w).alias("resizedImageUrl"))
     made = F.transform(words, image)
     return d.select(
@@ -27,7 +26,7 @@ def _ads(spark, sf, whole=False):
     )
 
 
-_ADS_SQL = """wo AS (SELECT doc_id, lang, source, n_chars, string_split(text, ' ')[1:6] AS w FROM documents WHERE lang IN ('en', 'de', 'fr')),
+_ADS_SQL = """wo AS (SELECT doc_id, lang, source, n_chars, string_split(text, ' ') AS w FROM documents WHERE lang IN ('en', 'de', 'fr')),
   ur AS (SELECT doc_id, lang, source, n_chars, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS idx FROM wo),
   us AS (SELECT *, CASE WHEN length(w) % 3 = 0 THEN 'http://y/' || w ELSE 'http://x/' || w || '?v=1' END AS url FROM ur),
   fs AS (SELECT *, row_number() OVER (PARTITION BY split_part(url, '?', 1) ORDER BY doc_id, idx) AS nth FROM us)"""
@@ -40,17 +39,6 @@ def flatten_media(spark, sf):
     return ingest.ad_images(_ads(spark, sf), PAGES, ("adArchiveId", "otherId")).drop("ad_pos", "file")
 
 
-#: ``flatten_media`` keeps the six words of its SQL; this is the same over all words.
-_ALL_ADS_SQL = _ADS_SQL.replace("string_split(text, ' ')[1:6]", "string_split(text, ' ')")
-
-
-@query(f"""WITH {_ALL_ADS_SQL} SELECT CASE lang WHEN 'en' THEN 'north' WHEN 'de' THEN 'south' ELSE 'west' END AS brand, CASE WHEN doc_id % 4 <> 0 THEN doc_id::varchar WHEN doc_id % 8 <> 0 THEN 'z' || doc_id ELSE 'unknown' END AS ad_id,
-  n_chars AS start_date, source AS display_format, doc_id % 2 = 0 AS is_active, idx::int AS idx, url FROM fs WHERE nth = 1""")
-def flatten_media_whole(spark, sf):
-    """``flatten_media`` over all words of each document: two images, all others cards."""
-    return ingest.ad_images(_ads(spark, sf, whole=True), PAGES, ("adArchiveId", "otherId")).drop("ad_pos", "file")
-
-
 @query("""WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS texts, count(*) AS n FROM conversations GROUP BY conv_id),
   u AS (SELECT conv_id, unnest(CASE WHEN n % 2 = 0 THEN texts ELSE texts[1:1] END) AS url, generate_subscripts(CASE WHEN n % 2 = 0 THEN texts ELSE texts[1:1] END, 1) - 1 AS idx FROM c WHERE conv_id % 3 <> 2),
   f AS (SELECT *, row_number() OVER (PARTITION BY split_part(url, '?', 1) ORDER BY conv_id, idx) AS nth FROM u WHERE url <> '')
@@ -116,14 +104,8 @@ def last_row_wins(spark, sf):
     return rows.select("user_id", F.col("value").alias("max_value"), F.col("event_type").alias("last_type"))
 
 
-@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events WHERE value < 64) WHERE nth = 1")
-def first_row_wins(spark, sf):
-    return sampling.first_wins(table(spark, sf, "events").where("value < 64"), ["user_id"], ["event_id"]).select("user_id", "event_id")
-
-
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events) WHERE nth = 1")
-def first_row_wins_whole(spark, sf):
-    """``first_row_wins`` over all events; that one keeps the filter of its SQL."""
+def first_row_wins(spark, sf):
     return sampling.first_wins(table(spark, sf, "events"), ["user_id"], ["event_id"]).select("user_id", "event_id")
 
 

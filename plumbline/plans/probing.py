@@ -50,7 +50,7 @@ def gold_mixed_auc(spark, sf):
     groups = rows.groupBy("label").agg(F.countDistinct(F.col("item_id") % 3).alias("s")).where("s > 1")
     scored = rows.join(groups, "label").select("label", "item_id", F.get("vec", F.lit(0)).cast("double").alias("score"))
     area = metrics.auc(scored, [], F.col("item_id") % 2 == 0)
-    return area.withColumn("_one", F.lit(1)).join(groups.agg(F.count("*").alias("mixed")).withColumn("_one", F.lit(1)), "_one").select("mixed", "n_pos", "n_neg", r6("auc").alias("auc"))
+    return area.join(F.broadcast(groups.agg(F.count("*").alias("mixed")))).select("mixed", "n_pos", "n_neg", r6("auc").alias("auc"))
 
 
 def _colours(spark, sf):

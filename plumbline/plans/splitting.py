@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import clusters, sampling, splits
 from plumbline.plans.embedding import COMPONENTS_SQL, members
 from plumbline.plans.registry import query
-from plumbline.staging import table
+from plumbline.staging import staged, table
 
 ANCHOR = "b0"
 
@@ -16,13 +16,13 @@ _MEMBERS = """me AS (SELECT cc.item_id, component, 'b' || label AS brand, CASE W
 INFO_SQL = f"{COMPONENTS_SQL}, {_MEMBERS}"
 
 
-def info(spark, sf):
+def info(spark, sf, held=None):
     """Clusters with brand by label, source by id, and dates from events (a seventh have none)."""
     dates = table(spark, sf, "events").where("event_id % 7 <> 0").select(F.col("event_id").alias("item_id"), F.unix_timestamp("ts").alias("date"))
     items = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("item_id"), F.concat(F.lit("b"), F.col("label").cast("string")).alias("brand"), F.when(F.col("vec_id") % 3 == 0, "ig").otherwise("fb").alias("src")
     )
-    return clusters.cluster_info(members(spark, sf).join(items, "item_id").join(dates, "item_id", "left"))
+    return clusters.cluster_info((held or members(spark, sf)).join(items, "item_id").join(dates, "item_id", "left"))
 
 
 @query(f"WITH RECURSIVE {INFO_SQL} SELECT * FROM cf")
@@ -40,6 +40,11 @@ def mixed_source_clusters(spark, sf):
     return clusters.mixed_source(info(spark, sf)).select("component", "n", "n_src")
 
 
+def _found(spark, sf, held=None):
+    """``info``, written once for its several readers."""
+    return staged(info(spark, sf, held), "clusters")
+
+
 _HOLD = f"ho AS (SELECT component FROM (SELECT component, row_number() OVER (ORDER BY date DESC, component DESC) AS pos, count(*) OVER () AS total FROM cf WHERE brand = '{ANCHOR}') WHERE pos <= greatest(1, 15 * total // 100))"
 _SPLIT = """sp AS (SELECT component, CASE WHEN pos <= 60 * total // 100 THEN 'train' WHEN pos <= 75 * total // 100 THEN 'val' ELSE 'test' END AS split
     FROM (SELECT component, row_number() OVER (PARTITION BY brand, src ORDER BY md5('42:' || component), component) AS pos, count(*) OVER (PARTITION BY brand, src) AS total FROM cf WHERE component NOT IN (FROM ho))
@@ -53,24 +58,25 @@ def temporal_holdout(spark, sf):
 
 @query(f"WITH RECURSIVE {INFO_SQL}, {_HOLD}, {_SPLIT} SELECT component, split FROM sp")
 def cluster_splits(spark, sf):
-    return splits.cluster_splits(info(spark, sf), ANCHOR)
+    return splits.cluster_splits(_found(spark, sf), ANCHOR)
 
 
 @query(f"WITH RECURSIVE {INFO_SQL}, {_HOLD}, {_SPLIT} SELECT component, count(DISTINCT split) AS n_splits FROM sp GROUP BY 1 HAVING count(DISTINCT split) > 1")
 def split_leak_check(spark, sf):
     """Must be empty."""
-    return splits.split_leaks(splits.cluster_splits(info(spark, sf), ANCHOR))
+    return splits.split_leaks(splits.cluster_splits(_found(spark, sf), ANCHOR))
 
 
 @query(f"WITH RECURSIVE {INFO_SQL}, {_HOLD}, {_SPLIT} SELECT split, brand, count(*) AS clusters, sum(n)::bigint AS items FROM cf JOIN sp USING (component) GROUP BY ALL")
 def split_counts(spark, sf):
-    found = info(spark, sf)
+    found = _found(spark, sf)
     return splits.split_counts(found, splits.cluster_splits(found, ANCHOR))
 
 
 @query(f"WITH RECURSIVE {INFO_SQL}, {_HOLD}, {_SPLIT} SELECT item_id, split FROM cc JOIN sp USING (component)")
 def image_split_index(spark, sf):
-    return splits.image_index(members(spark, sf), splits.cluster_splits(info(spark, sf), ANCHOR))
+    held = staged(members(spark, sf), "members")
+    return splits.image_index(held, splits.cluster_splits(_found(spark, sf, held), ANCHOR))
 
 
 _TEXTS = "gr AS (SELECT doc_id, source, min(doc_id) OVER (PARTITION BY text) AS component FROM documents)"

@@ -17,8 +17,7 @@ def shared_root(spark: SparkSession) -> str:
     """The session's checkpoint folder; one is made only where none is set and the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else None
+        root = spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")

@@ -1,4 +1,4 @@
-"""The whole-table twins see rows and words that the bounded queries drop."""
+"""Queries see whole texts."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_long_arrays_reach_the_flattening(spark):
-    found = catalogue.QUERIES["flatten_media_whole"](spark, FOLDER)
+    found = catalogue.QUERIES["flatten_media"](spark, FOLDER)
     texts = {r["doc_id"]: r for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     seen, want = set(), 0
     for i in sorted(texts):
