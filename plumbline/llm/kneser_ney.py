@@ -4,8 +4,9 @@ The model is over characters as they are (n-grams of ``ORDER`` code points, the
 first preceded by edges, one edge at the end), so its tables grow with the
 trusted text and keep every script apart.
 
-1. One pass over all documents counts n-grams in tasks: how often trusted text
-   holds each, and how often any text does.
+1. N-grams are counted in tasks: how often trusted text holds each, and how
+   often any text does.  Finding trusted text by its id moves each text once;
+   nothing else does.
 2. Sharded joins on n-grams make the model: discounts come from counts of
    counts; each n-gram joins its context's totals and its suffix's lower-order
    probability; lower orders count distinct left extensions.  N-grams that
@@ -321,14 +322,17 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     ``threshold`` is the limit of the perplexity; those of passages and words are in ``passage_limit`` and ``word_limit``.
     """
     trusted = trusted_ids(labels).withColumn("fits", F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD_OUT)) > 0)
-    docs = docs.select("doc_id", "lang", "text").join(trusted, "doc_id", "left")
-    grams = staged(counts(docs.select("text", F.coalesce("fits", F.lit(False)).alias("fits"))), "grams")
+    docs = docs.select("doc_id", "lang", "text")
+    # texts move once, to find those that the model fits; the hint keeps one plan at every size.
+    # They are counted again with all, which only moves them forward in the cache.
+    fitted = docs.join(trusted.where("fits").hint("merge"), "doc_id", "left_semi")
+    grams = staged(counts(docs.select("text", F.lit(False).alias("fits")).unionByName(fitted.select("text", F.lit(True).alias("fits")))), "grams")
     model = fit(grams.where("c > 0").select("gram", "c"))
     lps = staged(log_probabilities(grams, model), "log-probabilities")
     often = grams.orderBy(F.desc("seen"), "gram").limit(CACHE).select("gram", "seen").join(lps, "gram").orderBy(F.desc("seen"), "gram").select("gram", "lp").toArrow()
     cache = Cache(often.column("gram").to_pylist(), often.column("lp").to_numpy())
     key = F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))
-    scored = staged(measured(docs, lps, cache).withColumn("key", key), "measured")
+    scored = staged(measured(docs, lps, cache).join(trusted, "doc_id", "left").withColumn("key", key), "measured")
     held = scored.where("not fits")
     limit = staged(limits(held if not held.isEmpty() else scored.where("fits"), quantile), "limits")
     overall = limit.where("key is null").first()
