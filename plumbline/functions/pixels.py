@@ -1,41 +1,21 @@
-"""Pixel work on numpy arrays of shape (height, width, 3), 8 bits a channel."""
+"""Changes of one image, a numpy array of shape (height, width, 3) with 8 bits a channel.
+
+Only what makes or resamples pixels is here; measurements of images are column
+expressions (``functions.colour``, ``operators.imaging``).
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-from plumbline.functions.colour import RGB_TO_XYZ, WHITE
-
 #: Severity ladders of the perturbations.
 HUE_DEGREES = {1: 18, 2: 40, 3: 80}
 SATURATE = {1: 1.6, 2: 2.3, 3: 3.2}
 DESATURATE = {1: 0.55, 2: 0.30, 3: 0.08}
-REMAP_BLEND = {1: 0.45, 2: 0.75, 3: 1.0}
-REMAP_REACH = 25.0
 CROP_AREA = {1: 0.18, 2: 0.38, 3: 0.58}
 ASPECT = {1: 1.18, 2: 1.45, 3: 1.9}
 ANCHORS = ("tl", "tr", "bl", "br", "l", "r", "t", "b")
 
-_M = np.array(RGB_TO_XYZ)
-_W = np.array(WHITE)
-
-
-def lab(rgb: np.ndarray) -> np.ndarray:
-    v = np.asarray(rgb, float) / 255
-    v = np.where(v <= 0.04045, v / 12.92, ((v + 0.055) / 1.055) ** 2.4)
-    t = v @ _M.T / _W
-    f = np.where(t > (6 / 29) ** 3, np.cbrt(t), t / (3 * (6 / 29) ** 2) + 4 / 29)
-    return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], -1)
-
-
-def unlab(x: np.ndarray) -> np.ndarray:
-    fy = (x[..., 0] + 16) / 116
-    f = np.stack([fy + x[..., 1] / 500, fy, fy - x[..., 2] / 200], -1)
-    v = (np.where(f > 6 / 29, f**3, 3 * (6 / 29) ** 2 * (f - 4 / 29)) * _W) @ np.linalg.inv(_M).T
-    v = np.where(v <= 0.0031308, v * 12.92, 1.055 * np.clip(v, 0, None) ** (1 / 2.4) - 0.055)
-    return np.clip(v * 255, 0, 255)
-
-
 def hsv(rgb: np.ndarray) -> np.ndarray:
     """Hue, saturation, value, 0 to 255 each, truncated."""
     x = np.asarray(rgb, float)
@@ -83,29 +63,27 @@ def bounded(img: np.ndarray, most: int = 1024) -> np.ndarray:
     return resize(img, max(1, round(img.shape[0] * most / side)), max(1, round(img.shape[1] * most / side)))
 
 
-def hue_rotation(img: np.ndarray, severity: int, rng: np.random.Generator) -> tuple[np.ndarray, dict]:
-    degrees = HUE_DEGREES[severity]
-    x = hsv(img)
-    x[..., 0] = (x[..., 0] + round(degrees * 255 / 360)) % 256
-    return rgb(x), {"degrees": degrees}
+def recoloured(img: np.ndarray, turn: int = 0, gain: float = 1.0) -> np.ndarray:
+    """The image with hues turned by ``turn`` of 256 steps and saturations times ``gain``.
 
+    An image has far fewer colours than pixels, so each colour is worked out once.
+    """
+    packed = img.astype(np.uint32) @ np.array([1 << 16, 1 << 8, 1], np.uint32)
+    colours, where = np.unique(packed, return_inverse=True)
+    table = hsv((colours[:, None] >> np.array([16, 8, 0], np.uint32)) & 255)
+    table[:, 0] = (table[:, 0] + turn) % 256
+    table[:, 1] = np.minimum(np.floor(table[:, 1] * gain), 255)
+    return rgb(table)[where.reshape(packed.shape)]
 
-def saturation(img: np.ndarray, severity: int, rng: np.random.Generator) -> tuple[np.ndarray, dict]:
-    up = bool(rng.integers(2))
-    factor = (SATURATE if up else DESATURATE)[severity]
-    x = hsv(img).astype(float)
-    x[..., 1] = np.floor(np.clip(x[..., 1] * factor, 0, 255))
-    return rgb(x), {"direction": "up" if up else "down", "factor": factor}
 
+def hue_rotation(img: np.ndarray, severity: int, rng: np.random.Generator) -> tuple[np.ndarray, dict]:
+    turn = round(HUE_DEGREES[severity] / 360 * 255)
+    return recoloured(img, turn=turn), {"turn": turn}
 
-def colour_remap(img: np.ndarray, severity: int, rng: np.random.Generator, own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, dict]:
-    """Move pixels near the brand's palette towards the nearest colour of another palette (both in Lab)."""
-    blend = REMAP_BLEND[severity]
-    flat = lab(img).reshape(-1, 3)
-    near = np.linalg.norm(flat[:, None] - own[None], axis=-1).min(1) < REMAP_REACH
-    goal = other[np.linalg.norm(flat[near][:, None] - other[None], axis=-1).argmin(1)]
-    flat[near] += (goal - flat[near]) * np.array([0.15, blend, blend])
-    return np.round(unlab(flat)).astype(np.uint8).reshape(img.shape), {"blend": blend, "remap_frac": float(near.mean())}
+
+def saturation(img: np.ndarray, severity: int, rng: np.random.Generator) -> tuple[np.ndarray, dict]:
+    gain = rng.choice([SATURATE[severity], DESATURATE[severity]])
+    return recoloured(img, gain=float(gain)), {"gain": float(gain)}
 
 
 def crop_violation(img: np.ndarray, severity: int, rng: np.random.Generator) -> tuple[np.ndarray, dict]:
@@ -126,7 +104,7 @@ def aspect_distortion(img: np.ndarray, severity: int, rng: np.random.Generator)
     return big[y0 : y0 + h, x0 : x0 + w], {"factor": ASPECT[severity], "axis": "x" if wide else "y"}
 
 
-def fill_box(img: np.ndarray, box: tuple[int, int, int, int], ring: int = 4) -> np.ndarray:
+def fill_box(img: np.ndarray, box: tuple[int, int, int, int], ring: int = 6) -> np.ndarray:
     """The image with a box painted in the median colour of the ring around it."""
     x0, y0, x1, y1 = box
     out = img.copy()
@@ -138,14 +116,15 @@ def fill_box(img: np.ndarray, box: tuple[int, int, int, int], ring: int = 4) ->
     return out
 
 
-def ink_colour(img: np.ndarray, box: tuple[int, int, int, int]) -> list[float]:
-    """Mean of the quarter of a box's pixels that differ most from the box's median colour."""
+def ink_colour(img: np.ndarray, box: tuple[int, int, int, int], ring: int = 6) -> list[float]:
+    """Median of the quarter of a box's pixels that lie farthest from the colour around the box (its own, where nothing is around)."""
     x0, y0, x1, y1 = box
-    px = img[y0:y1, x0:x1].reshape(-1, 3).astype(float)
-    if not len(px):
+    inside = img[y0:y1, x0:x1].reshape(-1, 3).astype(float)
+    if not len(inside):
         return [0.0, 0.0, 0.0]
-    far = np.linalg.norm(px - np.median(px, axis=0), axis=1)
-    return px[far >= np.percentile(far, 75)].mean(0).tolist()
+    ground = fill_box(img, box, ring)[y0, x0] if inside.size < img.size else np.median(inside, axis=0)
+    far = ((inside - ground) ** 2).sum(1)
+    return np.median(inside[far >= np.quantile(far, 0.75)], axis=0).tolist()
 
 
 def mask_share(height: int, width: int, boxes: list, pad: int = 4) -> float:
@@ -155,45 +134,6 @@ def mask_share(height: int, width: int, boxes: list, pad: int = 4) -> float:
     return float(held.mean())
 
 
-def chroma(img: np.ndarray) -> np.ndarray:
-    px = img.reshape(-1, 3).astype(float)
-    top, low = px.max(1), px.min(1)
-    return np.where(top > 0, (top - low) / np.maximum(top, 1e-6), 0)
-
-
-def palette_of(points: np.ndarray, k: int, steps: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Lloyd's k-means over Lab points: centres by falling share, and shares."""
-    rng = np.random.default_rng(seed)
-    centres = points[rng.choice(len(points), k, replace=len(points) < k)]
-    near = np.zeros(len(points), int)
-    for _ in range(steps):
-        near = np.linalg.norm(points[:, None] - centres[None], axis=-1).argmin(1)
-        sums = np.stack([np.bincount(near, points[:, c], k) for c in range(3)], 1)
-        counts = np.bincount(near, minlength=k)
-        centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
-    order = np.argsort(-counts, kind="stable")
-    return centres[order], counts[order] / max(1, len(points))
-
-
-def dominant_colours(img: np.ndarray, k: int = 5, steps: int = 15, most: int = 6000, least_chroma: float = 0.06, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    px = img.reshape(-1, 3)
-    kept = px[chroma(img) >= least_chroma]
-    kept = px if len(kept) < 100 else kept
-    rng = np.random.default_rng(seed)
-    return palette_of(lab(kept[rng.choice(len(kept), min(most, len(kept)), replace=False)]), k, steps, seed)
-
-
-def colourfulness(img: np.ndarray) -> float:
-    """Hasler and Suesstrunk's measure; the division by 255 covers the whole sum."""
-    r, g, b = (img[..., i].astype(float) for i in range(3))
-    a, c = r - g, (r + g) / 2 - b
-    return float((np.hypot(a.std(), c.std()) + 0.3 * np.hypot(a.mean(), c.mean())) / 255)
-
-
-def mean_saturation(img: np.ndarray) -> float:
-    return float(hsv(img)[..., 1].mean() / 255)
-
-
 def perceptual_hash(img: np.ndarray) -> int:
     """64-bit DCT hash of the grey image, as a signed long."""
     grey = img.astype(float) @ np.array([0.299, 0.587, 0.114])
@@ -207,11 +147,11 @@ def perceptual_hash(img: np.ndarray) -> int:
 
 #: Pasted items, and their size against the shorter side, by severity.
 CLUTTER = {1: (1, 0.12), 2: (3, 0.18), 3: (6, 0.26)}
-LOUD = ((255, 30, 30), (255, 212, 0), (0, 194, 45), (255, 106, 0), (230, 0, 255))
 
 
 def clutter(img: np.ndarray, severity: int, rng: np.random.Generator) -> tuple[np.ndarray, dict]:
-    """Loud many-pointed badges, and a banner at the highest severity; without lettering."""
+    """Badges in vivid hues a fifth of the circle apart, and a banner at the highest severity; without lettering."""
+    vivid = rgb(np.array([[51 * i, 255, 255] for i in range(5)]))
     h, w = img.shape[:2]
     count, share = CLUTTER[severity]
     out, radius = img.copy(), max(1.0, min(h, w) * share / 2)
@@ -220,9 +160,9 @@ def clutter(img: np.ndarray, severity: int, rng: np.random.Generator) -> tuple[n
         cy, cx = rng.random() * h, rng.random() * w
         angle = np.arctan2(yy - cy, xx - cx)
         edge = radius * (0.85 + 0.15 * np.sign(np.cos(12 * angle)))
-        out[np.hypot(yy - cy, xx - cx) <= edge] = LOUD[int(rng.integers(len(LOUD)))]
+        out[np.hypot(yy - cy, xx - cx) <= edge] = vivid[int(rng.integers(len(vivid)))]
     if severity == 3:
-        out[h - max(1, h // 8) :] = LOUD[0]
+        out[h - max(1, h // 8) :] = vivid[0]
     return out, {"items": count, "scale": share}
 
 

@@ -1,6 +1,8 @@
-"""Image operators: rows of pixels in, rows of pixels or numbers out, an Arrow batch at a time.
+"""Image operators: rows of pixels in, rows of pixels or numbers out.
 
-Rows carry ``(item_id, height, width, pixels)``, pixels being RGB bytes; rows
+Measurements are aggregates over the colours of an image with their counts
+(``colour_counts``); only changed pixels and the DCT hash are made in numpy, an
+Arrow batch at a time.  Rows carry ``(item_id, height, width, pixels)``, pixels being RGB bytes; rows
 of Spark's image source hold BGR and go through ``from_image_source`` first.
 """
 
@@ -12,10 +14,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import colour
 from plumbline.functions import pixels as px
+from plumbline.functions.vectors import let
+from plumbline.operators.masks import wordmarks
+from plumbline.staging import staged
 
 SEVERITIES = (1, 2, 3)
 
@@ -39,7 +45,7 @@ def _array(data: bytes, height: int, width: int) -> np.ndarray:
 
 
 def ladder(images: DataFrame, generators: dict[str, Callable] | None = None, severities: tuple = SEVERITIES) -> DataFrame:
-    """Each image under each generator and severity, with a construction record.
+    """Each image under each generator and severity, with its ``base`` pixels and a construction record.
 
     The random state of a base is set anew for each severity, so that severity
     is all that varies along a ladder.
@@ -50,74 +56,193 @@ def ladder(images: DataFrame, generators: dict[str, Callable] | None = None, sev
         for f in frames:
             for r in f.itertuples(index=False):
                 img, out = _array(r.pixels, r.height, r.width), []
-                before = px.lab(img)
                 for name, make in generators.items():
                     seed = zlib.crc32(f"{r.item_id}|{name}".encode()) & 0x7FFFFFFF
                     for s in severities:
                         made, params = make(img, s, np.random.default_rng(seed))
-                        change = float(np.linalg.norm(px.lab(made) - before, axis=-1).mean())
-                        out.append((r.item_id, name, s, seed, json.dumps(params), change, r.height, r.width, made.tobytes()))
+                        out.append((r.item_id, name, s, seed, json.dumps(params), r.height, r.width, bytes(r.pixels), made.tobytes()))
                 yield pd.DataFrame(out, columns=_LADDER_NAMES)
 
     return images.select(F.col("item_id").cast("string").alias("item_id"), "height", "width", "pixels").mapInPandas(run, _LADDER)
 
 
-_LADDER = "source_id string, corruption string, severity int, seed long, params string, delta_e double, height int, width int, pixels binary"
+_LADDER = "source_id string, corruption string, severity int, seed long, params string, height int, width int, base binary, pixels binary"
 _LADDER_NAMES = [c.split()[0] for c in _LADDER.split(", ")]
 
 
-def rule_features(images: DataFrame, palette: list[list[float]]) -> DataFrame:
-    """``(item_id, palette_de, sat_mean, colorfulness, phash)``; the palette is in Lab.
+def _pixel(i: Column, name: str = "pixels") -> Column:
+    return F.substring(F.col(name), i * 3 + 1, F.lit(3))
 
-    ``palette_de`` is the share-weighted CIEDE2000 distance of the dominant
-    colours to the nearest palette colour.
+
+def _channels(code: Column) -> tuple[Column, Column, Column]:
+    """Red, green and blue of three bytes."""
+    r, g, b = (F.conv(F.hex(F.substring(code, i, 1)), 16, 10).cast("int") for i in (1, 2, 3))
+    return r, g, b
+
+
+def _pixel_numbers() -> Column:
+    return F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)
+
+
+def colour_changes(made: DataFrame, by: list[str], before: str = "base", after: str = "pixels") -> DataFrame:
+    """``(by, delta_e)``: mean Lab distance of the pixels of two images of one size.
+
+    Pairs of colours are counted before their distance is taken.  Rows without pixels give nothing.
     """
-    from plumbline.functions.colour import ciede2000
+    both = F.transform(_pixel_numbers(), lambda i: F.struct(_pixel(i, before).alias("x"), _pixel(i, after).alias("y")))
+    pairs = made.where("height * width > 0").select(*by, F.explode(both).alias("p")).groupBy(*by, "p").agg(F.count("*").alias("n"))
+    change = colour.delta_e76(*(colour.rgb_to_lab(*_channels(F.col(c))) for c in ("p.x", "p.y")))
+    return pairs.groupBy(*by).agg((F.sum(change * F.col("n")) / F.sum("n")).alias("delta_e"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for r in f.itertuples(index=False):
-                img = _array(r.pixels, r.height, r.width)
-                centres, share = px.dominant_colours(img)
-                out.append((r.item_id, centres.tolist(), share.tolist(), px.mean_saturation(img), px.colourfulness(img), px.perceptual_hash(img)))
-            yield pd.DataFrame(out, columns=["item_id", "centres", "share", "sat_mean", "colorfulness", "phash"])
-
-    rows = images.select(F.col("item_id").cast("string").alias("item_id"), "height", "width", "pixels").mapInPandas(
-        run, "item_id string, centres array<array<double>>, share array<double>, sat_mean double, colorfulness double, phash long"
-    )
-    point = lambda c: (c[0], c[1], c[2])
-    nearest = lambda c: F.least(*(ciede2000(point(c), tuple(map(F.lit, p))) for p in palette), *([F.lit(float("inf"))] if len(palette) == 1 else []))
-    weighted = F.zip_with("centres", "share", lambda c, s: nearest(c) * s)
-    total = F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x)
-    return rows.select("item_id", total.alias("palette_de"), "sat_mean", "colorfulness", "phash")
+
+def colour_counts(images: DataFrame, by: list[str]) -> DataFrame:
+    """``(by, r, g, b, n)``: the colours of each group of images with their number of pixels."""
+    codes = F.transform(_pixel_numbers(), lambda i: _pixel(i))
+    counted = images.where("height * width > 0").select(*by, F.explode(codes).alias("code")).groupBy(*by, "code").agg(F.count("*").alias("n"))
+    return counted.select(*by, *(c.alias(n) for n, c in zip("rgb", _channels(F.col("code")), strict=True)), "n")
 
 
-def brand_palette(images: DataFrame, by: str, k: int = 6, steps: int = 25, sample: int = 4000, least_chroma: float = 0.08) -> DataFrame:
-    """Palette of each brand from the coloured pixels of its images: ``(brand, lab, share)``.
+def _top_and_low() -> tuple[Column, Column]:
+    return F.greatest("r", "g", "b"), F.least("r", "g", "b")
 
-    At most ``sample`` pixels of an image are kept in its own task; a brand's
-    points then meet in one group, so choose a bounded set of training images.
+
+def colour_stats(counts: DataFrame, by: list[str]) -> DataFrame:
+    """``(by, sat_mean, colorfulness)`` of ``colour_counts``; all sums are whole numbers, so exact in any order.
+
+    Saturation is that of HSV in whole 255ths.  Colourfulness is Hasler and
+    Suesstrunk's, the whole sum divided by 255.
+    """
+    top, low = _top_and_low()
+    sat = F.when(top > 0, F.floor((top - low) * 255 / top)).otherwise(0)
+    rg, yb2 = F.col("r") - F.col("g"), F.col("r") + F.col("g") - 2 * F.col("b")  # the second is doubled
+    sums = {"sat": sat, "x": rg, "xx": rg * rg, "y": yb2, "yy": yb2 * yb2}
+    rows = counts.groupBy(*by).agg(F.sum("n").alias("all"), *(F.sum(c.cast("long") * F.col("n")).alias(n) for n, c in sums.items()))
+    square = lambda c: F.col(c).cast("double") / F.col("all") * F.col(c) / F.col("all")
+    spread = F.col("xx") / F.col("all") - square("x") + (F.col("yy") / F.col("all") - square("y")) / 4
+    shift = square("x") + square("y") / 4
+    score = (F.sqrt(F.greatest(spread, F.lit(0.0))) + 0.3 * F.sqrt(shift)) / 255
+    return rows.select(*by, (F.col("sat") / F.col("all") / 255).alias("sat_mean"), score.alias("colorfulness"))
+
+
+def palettes(counts: DataFrame, by: list[str], k: int, steps: int, least_chroma: float, least_pixels: int = 0) -> DataFrame:
+    """``(by, centres, share)``: k-means in Lab over the coloured pixels of each group, by falling share.
+
+    Colours are points weighted by their pixels, so no pixel is left out and no
+    group meets in one task: a step is a join with the group's centres and two
+    aggregates of map-side combined sums.  Lab is held in whole thousandths, so
+    sums and hence centres do not depend on the order of rows.  The first
+    centres are the most frequent colours (ties to the smaller); a group with
+    fewer colours has fewer centres, and one without coloured pixels is absent.
+    Where less than ``least_pixels`` of a group are coloured, all count.
     """
+    top, low = _top_and_low()
+    coloured = F.when(top > 0, (top - low) / top).otherwise(0.0) >= least_chroma
+    lab = [F.round(c * 1000).cast("long").alias(n) for n, c in zip("lab", colour.rgb_to_lab(*(F.col(c).cast("double") for c in "rgb")), strict=True)]
+    code = F.col("r") * 65536 + F.col("g") * 256 + F.col("b")
+    points = counts.withColumn("coloured", coloured).select(*by, "coloured", code.alias("code"), "n", *lab)
+    if least_pixels:
+        many = points.groupBy(*by).agg((F.coalesce(F.sum(F.when(F.col("coloured"), F.col("n"))), F.lit(0)) >= least_pixels).alias("many"))
+        points = points.join(many, by).where("coloured or not many").drop("many")
+    else:
+        points = points.where("coloured")
+    points = staged(points.drop("coloured"), "colours")
+    first = points.withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "code"))).where(F.col("at") <= k)
+    where = F.struct(*(F.col(c).cast("double").alias(c) for c in "lab"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", where.alias("c")))), lambda x: x["c"])
+    centres = staged(first.groupBy(*by).agg(in_order.alias("centres")), "centres")
+    for _ in range(steps):
+        sums = _assigned(points, centres, by, k).agg(F.any_value("centres").alias("centres"), F.sum("n").alias("n"), *(F.sum(F.col(c) * F.col("n")).alias(c) for c in "lab"))
+        mean = F.struct(*((F.col(c) / F.col("n")).alias(c) for c in "lab"))
+        moved = sums.groupBy(*by).agg(F.any_value("centres").alias("centres"), F.map_from_entries(F.collect_list(F.struct("j", mean.alias("c")))).alias("moved"))
+        step = F.transform("centres", lambda c, j: F.coalesce(F.try_element_at("moved", j), c))
+        centres = staged(moved.select(*by, step.alias("centres")), "centres")
+    held = _assigned(points, centres, by, k).agg(F.sum("n").alias("n")).join(centres, by)
+    entry = F.struct((-F.col("n")).alias("n"), "j", F.get("centres", F.col("j")).alias("c"))
+    rows = held.groupBy(*by).agg(F.sum("n").alias("all"), F.array_sort(F.collect_list(entry)).alias("e"))
+    centre = F.transform("e", lambda x: F.array(*(x["c"][c] / 1000 for c in "lab")))
+    return rows.select(*by, centre.alias("centres"), F.transform("e", lambda x: -x["n"] / F.col("all")).alias("share"))
+
+
+def _assigned(points: DataFrame, centres: DataFrame, by: list[str], k: int):
+    """Points grouped by their nearest centre ``j``, ties to the first."""
+
+    def reach(j: int) -> Column:
+        c = F.get("centres", F.lit(j))
+        gaps = [F.col(n) - c[n] for n in "lab"]
+        return F.when(c.isNotNull(), F.struct((gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]).alias("d"), F.lit(j).alias("j")))
+
+    nearest = F.least(*map(reach, range(k)), reach(0))
+    return points.join(centres, by).withColumn("j", nearest["j"]).groupBy(*by, "j")
+
+
+def rule_features(images: DataFrame, palette: list[list[float]], words: DataFrame | None = None, marks: list[str] | None = None) -> DataFrame:
+    """``(item_id, palette_de, sat_mean, colorfulness, wordmark, text_frac)``; the palette is in Lab.
+
+    ``palette_de`` is the share-weighted CIEDE2000 distance of the five dominant
+    colours to the nearest palette colour.  ``wordmark`` and ``text_frac`` (the
+    share of the image that sure words cover) come from recognised
+    ``words(item_id, word, conf, x0, y0, x1, y1)`` and are 0 without any.
+    """
+    counts = staged(colour_counts(images, ["item_id"]), "colours")
+    point = lambda c: (c[0], c[1], c[2])
+    first = point(list(map(F.lit, palette[0])))
+    nearest = lambda c: F.least(*(colour.ciede2000(point(c), tuple(map(F.lit, p))) for p in palette), colour.ciede2000(point(c), first))
+    total = F.aggregate(F.zip_with("centres", "share", lambda c, s: nearest(c) * s), F.lit(0.0), lambda a, x: a + x)
+    distance = palettes(counts, ["item_id"], 5, 15, 0.06, 100).select("item_id", total.alias("palette_de"))
+    rows = distance.join(colour_stats(counts, ["item_id"]), "item_id")
+    if words is None:
+        return rows.withColumns({"wordmark": F.lit(0.0), "text_frac": F.lit(0.0)})
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    covered = words.where("conf >= 50").groupBy("item_id").agg(F.sum(area).alias("covered"))
+    marked = wordmarks(words, marks or []).select("item_id", F.lit(1.0).alias("wordmark")).distinct()
+    sizes = images.select("item_id", (F.col("height") * F.col("width")).alias("size"))
+    rows = rows.join(sizes, "item_id").join(covered, "item_id", "left").join(marked, "item_id", "left")
+    return rows.select(*distance.columns, "sat_mean", "colorfulness", F.coalesce("wordmark", F.lit(0.0)).alias("wordmark"), (F.coalesce("covered", F.lit(0)) / F.col("size")).alias("text_frac"))
+
+
+def perceptual_hashes(images: DataFrame) -> DataFrame:
+    """``(item_id, phash)``."""
 
-    def points(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for r in f.itertuples(index=False):
-                img = _array(r.pixels, r.height, r.width)
-                kept = img.reshape(-1, 3)[px.chroma(img) >= least_chroma]
-                rng = np.random.default_rng(zlib.crc32(str(r.item_id).encode()))
-                kept = kept[rng.choice(len(kept), min(sample, len(kept)), replace=False)] if len(kept) else kept
-                out.append((r.brand, px.lab(kept).ravel().tolist()))
-            yield pd.DataFrame(out, columns=["brand", "lab"])
-
-    def fit(f: pd.DataFrame) -> pd.DataFrame:
-        held = np.concatenate([np.array(x, float) for x in f["lab"]]).reshape(-1, 3)
-        if not len(held):
-            return pd.DataFrame({"brand": [f["brand"].iloc[0]], "lab": [[]], "share": [[]]})
-        centres, share = px.palette_of(held[np.lexsort(held.T)], k, steps)
-        return pd.DataFrame({"brand": [f["brand"].iloc[0]], "lab": [centres.tolist()], "share": [share.tolist()]})
-
-    rows = images.select(F.col(by).cast("string").alias("brand"), F.col("item_id").cast("string").alias("item_id"), "height", "width", "pixels")
-    rows = rows.mapInPandas(points, "brand string, lab array<double>")
-    return rows.groupBy("brand").applyInPandas(fit, "brand string, lab array<array<double>>, share array<double>")
+            found = [px.perceptual_hash(_array(r.pixels, r.height, r.width)) for r in f.itertuples(index=False)]
+            yield pd.DataFrame({"item_id": f["item_id"], "phash": found})
+
+    kind = images.schema["item_id"].dataType.simpleString()
+    return images.select("item_id", "height", "width", "pixels").mapInPandas(run, f"item_id {kind}, phash long")
+
+
+def brand_palette(images: DataFrame, by: str, k: int = 6, steps: int = 25, least_chroma: float = 0.08) -> DataFrame:
+    """Palette of each brand from all coloured pixels of its images: ``(brand, lab, share)``."""
+    rows = images.withColumn("brand", F.col(by).cast("string"))
+    found = palettes(colour_counts(rows, ["brand"]), ["brand"], k, steps, least_chroma)
+    return found.select("brand", F.col("centres").alias("lab"), "share")
+
+
+#: How far a colour moves by severity, and how near it must lie to the own palette.
+REMAP_BLEND = {1: 0.45, 2: 0.75, 3: 1.0}
+REMAP_REACH = 25.0
+
+
+def colour_remap(images: DataFrame, own: list[list[float]], other: list[list[float]], severity: int) -> DataFrame:
+    """Images with the colours near the own palette moved towards the nearest colour of another (both in Lab).
+
+    Lightness moves by 15 %, so that shading stays.
+    """
+    fixed = lambda p: tuple(F.lit(float(x)) for x in p)
+    share = (0.15, REMAP_BLEND[severity], REMAP_BLEND[severity])
+
+    def moved(old: Column) -> Column:
+        return let(F.array(*colour.rgb_to_lab(old[0], old[1], old[2])), lambda at: recoded_at(old, (at[0], at[1], at[2])))
+
+    def recoded_at(old: Column, at: tuple) -> Column:
+        gap = lambda p: colour.delta_e76(at, fixed(p))
+        near = F.array_min(F.array(*map(gap, own))) < REMAP_REACH
+        goal = F.array_min(F.array(*(F.struct(gap(p).alias("d"), F.array(*fixed(p)).alias("p")) for p in other)))["p"]
+        lab = let(goal, lambda g: F.array(*(x + (g[c] - x) * share[c] for c, x in enumerate(at))))
+        new = let(lab, lambda x: F.array(*colour.lab_to_rgb(x[0], x[1], x[2])))
+        kept = let(F.when(near, new).otherwise(old), lambda x: F.concat(*(F.lpad(F.hex(F.round(x[c]).cast("long")), 2, "0") for c in range(3))))
+        return kept
+
+    recoded = F.unhex(F.array_join(F.transform(_pixel_numbers(), lambda i: let(F.array(*(c.cast("double") for c in _channels(_pixel(i)))), moved)), ""))
+    return images.withColumn("pixels", F.when(F.col("height") * F.col("width") > 0, recoded).otherwise(F.col("pixels")))

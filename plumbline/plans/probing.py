@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import colour
-from plumbline.operators import imaging, metrics, probes
+from plumbline.operators import clusters, imaging, metrics, probes
 from plumbline.operators.calibrate import logistic, probabilities, standardised
 from plumbline.plans.carriers import VECTORS_SQL, vectors
 from plumbline.plans.judging import auc_sql
 from plumbline.plans.registry import query, r6, rounded
-from plumbline.staging import table
+from plumbline.staging import staged, table
 
 
 def _sides(spark, sf):
@@ -106,28 +106,88 @@ def ciede2000(spark, sf):
 
 def images(spark, sf):
     """Embeddings as images of 16 by 16: each component a block of four pixels' shade, tinted by its neighbours."""
-    shade = lambda i: F.least(F.greatest(F.floor(128 + 400 * F.get("vec", F.lit(i))), F.lit(0)), F.lit(255)).cast("int")
-    two = lambda n: F.lpad(F.hex(n.cast("long")), 2, "0")
-    row = lambda y: F.concat(*(two(shade((y * 16 + x + c * 7) % 64)) for x in range(16) for c in range(3)))
-    return vectors(spark, sf).select("item_id", "label", F.lit(16).alias("height"), F.lit(16).alias("width"), F.unhex(F.concat(*(row(y % 4) for y in range(16)))).alias("pixels"))
+    shade = lambda i: F.least(F.greatest(F.floor(128 + 400 * F.get("vec", i % 64).cast("double")), F.lit(0)), F.lit(255))
+    place = lambda p: F.concat(*(F.lpad(F.hex(shade(p + 7 * c).cast("long")), 2, "0") for c in range(3)))
+    four_rows = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), place), "")
+    return vectors(spark, sf).select("item_id", "label", F.lit(16).alias("height"), F.lit(16).alias("width"), F.unhex(F.repeat(four_rows, F.lit(4))).alias("pixels"))
+
+
+def _counts_sql(key: str) -> str:
+    """The images' colours by ``key``: 64 places an image, four pixels each."""
+    return f"""sh AS (SELECT vec_id AS item_id, label::varchar AS brand, [least(greatest(floor(128 + 400 * x::double), 0), 255)::int for x in embedding] AS s FROM embeddings),
+  cc AS (SELECT {key} AS k, s[p + 1] AS r, s[(p + 7) % 64 + 1] AS g, s[(p + 14) % 64 + 1] AS b, 4 * count(*) AS n FROM sh, range(64) t(p) GROUP BY ALL)"""
+
+
+def _palettes_sql(k: int, steps: int, least_chroma: float, least_pixels: int) -> str:
+    """k-means of ``cc``, one pair of expressions a step; ends in ``shares(k, l, a, b, n, total, entry)``."""
+    lin = ", ".join(f"{_LIN.format(f'{c}::double')} AS {c}l" for c in "rgb")
+    xyz = ", ".join(f"(rl * {m[0]}::double + gl * {m[1]}::double + bl * {m[2]}::double) / {w}::double AS {n}" for n, m, w in zip("xyz", colour.RGB_TO_XYZ, colour.WHITE, strict=True))
+    bend = ", ".join(f"{_BEND.format(n)} AS {n}" for n in "xyz")
+    near = "SELECT p.k, p.code, any_value(p.n) AS n, any_value(p.l) AS l, any_value(p.a) AS a, any_value(p.b) AS b, min({{'d': (p.l - c.l) * (p.l - c.l) + (p.a - c.a) * (p.a - c.a) + (p.b - c.b) * (p.b - c.b), 'j': c.j}}).j AS j FROM po p JOIN c{0} c ON c.k = p.k GROUP BY p.k, p.code"
+    out = [
+        f"ch AS (SELECT *, CASE WHEN greatest(r, g, b) > 0 THEN (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b) ELSE 0 END >= {least_chroma}::double AS coloured FROM cc)",
+        f"kp AS (SELECT * FROM (SELECT *, coalesce(sum(n) FILTER (coloured) OVER (PARTITION BY k), 0) AS m FROM ch) WHERE coloured OR m < {least_pixels})",
+        f"li AS (SELECT k, n, r * 65536 + g * 256 + b AS code, {lin} FROM kp)",
+        f"xy AS (SELECT k, n, code, {xyz} FROM li)",
+        f"be AS (SELECT k, n, code, {bend} FROM xy)",
+        "po AS MATERIALIZED (SELECT k, n, code, round((116 * y - 16) * 1000)::bigint AS l, round(500 * (x - y) * 1000)::bigint AS a, round(200 * (y - z) * 1000)::bigint AS b FROM be)",
+        f"c0 AS MATERIALIZED (SELECT k, l::double AS l, a::double AS a, b::double AS b, pos - 1 AS j FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, code) AS pos FROM po) WHERE pos <= {k})",
+    ]
+    for t in range(steps):
+        moved = f"SELECT k, j, sum(n * l)::double / sum(n) AS l, sum(n * a)::double / sum(n) AS a, sum(n * b)::double / sum(n) AS b FROM ({near.format(t)}) GROUP BY 1, 2"
+        out.append(f"c{t + 1} AS MATERIALIZED (SELECT c.k, c.j, coalesce(m.l, c.l) AS l, coalesce(m.a, c.a) AS a, coalesce(m.b, c.b) AS b FROM c{t} c LEFT JOIN ({moved}) m ON m.k = c.k AND m.j = c.j)")
+    out.append(f"""shares AS (SELECT k, l, a, b, n, sum(n) OVER (PARTITION BY k) AS total, row_number() OVER (PARTITION BY k ORDER BY n DESC, j) - 1 AS entry
+    FROM (SELECT k, j, sum(n) AS n FROM ({near.format(steps)}) GROUP BY 1, 2) JOIN c{steps} USING (k, j))""")
+    return ",\n  ".join(out)
 
 
 @query()
 def image_ladder(spark, sf):
     """Perturbations of every image under each generator and severity, with their colour change."""
-    made = imaging.ladder(images(spark, sf))
-    return made.groupBy("corruption", "severity").agg(F.count("*").alias("n"), F.round(F.avg("delta_e"), 4).alias("mean_delta_e"), F.bit_xor(F.crc32("pixels")).alias("checksum"))
+    made = staged(imaging.ladder(images(spark, sf)), "ladder")
+    by = ["source_id", "corruption", "severity"]
+    rows = made.select(*by, F.crc32("pixels").alias("crc")).join(imaging.colour_changes(made, by), by)
+    return rows.groupBy("corruption", "severity").agg(F.count("*").alias("n"), F.round(F.avg("delta_e"), 4).alias("mean_delta_e"), F.bit_xor("crc").alias("checksum"))
 
 
-@query()
+#: Two brand colours, in Lab.
+BRAND_LAB = ((60.0, 10.0, 10.0), (40.0, -20.0, 30.0))
+
+_STATS = """st AS (SELECT k, sum(n) AS c, sum(n * (CASE WHEN greatest(r, g, b) > 0 THEN (greatest(r, g, b) - least(r, g, b)) * 255 // greatest(r, g, b) ELSE 0 END)) AS s,
+    sum(n * (r - g))::double AS x, sum(n * (r - g) * (r - g))::double AS xx, sum(n * (r + g - 2 * b))::double AS y, sum(n * (r + g - 2 * b) * (r + g - 2 * b))::double AS yy FROM cc GROUP BY k),
+  fe AS (SELECT k, s / c / 255 AS sat_mean, (sqrt(greatest(0, xx / c - x * x / c / c + (yy / c - y * y / c / c) / 4)) + 0.3::double * sqrt(x * x / c / c + y * y / c / c / 4)) / 255 AS colorfulness FROM st)"""
+_PAIRS = "lb AS (SELECT {'k': k, 'entry': entry, 'share': n / total} AS p_partkey, l / 1000 AS l1, a / 1000 AS a1, b / 1000 AS q1, l2, a2, q2 FROM shares, (VALUES " + ", ".join(
+    f"({', '.join(f'{x}::double' for x in p)})" for p in BRAND_LAB
+) + ") t(l2, a2, q2))"
+_WEIGHED = """pd AS (SELECT key.k AS k, sum(key.share * d) AS palette_de FROM (SELECT p_partkey AS key, min(sqrt(dl * dl + dc * dc + de * de + rt * dc * de)) AS d FROM d7 GROUP BY 1) GROUP BY 1)"""
+
+
+@query(f"""WITH {_counts_sql('item_id')}, {_palettes_sql(5, 15, 0.06, 100)}, {_STATS}, {_PAIRS}, {_DE2000}, {_WEIGHED}
+  SELECT k AS item_id, round(palette_de, 4) AS palette_de, round(sat_mean, 4) AS sat_mean, round(colorfulness, 4) AS colorfulness FROM pd JOIN fe USING (k)""")
 def image_features(spark, sf):
-    found = imaging.rule_features(images(spark, sf), [[60.0, 10.0, 10.0], [40.0, -20.0, 30.0]])
-    return found.select("item_id", *(F.round(c, 4).alias(c) for c in ("palette_de", "sat_mean", "colorfulness")), "phash")
+    found = imaging.rule_features(images(spark, sf), [list(p) for p in BRAND_LAB])
+    return found.select("item_id", *(F.round(c, 4).alias(c) for c in ("palette_de", "sat_mean", "colorfulness")))
 
 
 @query()
+def image_hashes(spark, sf):
+    """Perceptual hashes of all images; a DCT, so without SQL."""
+    return imaging.perceptual_hashes(images(spark, sf))
+
+
+@query(f"WITH {_counts_sql('brand')}, {_palettes_sql(6, 25, 0.08, 0)} SELECT k AS brand, entry::int AS entry, round(n / total, 4) AS share FROM shares")
 def brand_palettes(spark, sf):
-    """Six-colour palettes of ten labels, each from its first images."""
-    rows = images(spark, sf)
-    found = imaging.brand_palette(rows, "label")
+    """Six-colour palettes of ten labels, from all of their images."""
+    found = imaging.brand_palette(images(spark, sf), "label")
     return found.select("brand", F.posexplode("share").alias("entry", "share")).withColumn("share", F.round("share", 4))
+
+
+@query(f"""WITH {_lab_sql()}, ds AS (SELECT p_partkey, entry, round(sqrt((l1 - l2) * (l1 - l2) + (a1 - a2) * (a1 - a2) + (q1 - q2) * (q1 - q2)), 6) AS distance
+    FROM (SELECT p_partkey, l1, a1, q1 FROM lb), (VALUES {', '.join(f"({i}, {', '.join(f'{x}::double' for x in p)})" for i, p in enumerate(BRAND_LAB))}) t(entry, l2, a2, q2))
+  SELECT p_partkey, arg_min(entry, {{'d': distance, 'e': entry}})::int AS entry, min(distance) AS distance FROM ds GROUP BY 1""")
+def nearest_palette_colour(spark, sf):
+    """The brand colour nearest to the first colour of each part."""
+    rows = _labs(_colours(spark, sf)).withColumnRenamed("p_partkey", "colour_id")
+    entries = spark.createDataFrame([(i, *p) for i, p in enumerate(BRAND_LAB)], "entry int, pl double, pa double, pb double")
+    gap = r6(colour.delta_e76(tuple(map(F.col, ("l1", "a1", "q1"))), tuple(map(F.col, ("pl", "pa", "pb")))))
+    return clusters.nearest_of_palette(rows, entries, gap).withColumnRenamed("colour_id", "p_partkey")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import colour, pixels, scalars, vectors
-from plumbline.operators import calibrate, clusters, ingest, masks, metrics, pressure, rubric, sampling, splits
+from plumbline.operators import calibrate, clusters, imaging, ingest, masks, metrics, pressure, rubric, sampling, splits
 from plumbline.operators.components import connected_components
 from plumbline.sources import readers, sinks
 
@@ -196,14 +196,71 @@ def test_ciede2000(spark):
     assert got == pytest.approx([w for *_, w in PAIRS], abs=1e-4)
 
 
-def test_lab_round_trip_and_agreement(spark):
-    px = np.random.default_rng(1).integers(0, 256, (50, 3))
-    df = spark.createDataFrame([tuple(map(int, p)) for p in px], "r int, g int, b int")
+#: Published Lab values (D65) of pure colours.
+PURE = {(255, 255, 255): (100, 0, 0), (0, 0, 0): (0, 0, 0), (255, 0, 0): (53.24, 80.09, 67.20), (0, 255, 0): (87.73, -86.18, 83.18), (0, 0, 255): (32.30, 79.19, -107.86)}
+
+
+def test_lab_values_and_round_trip(spark):
+    drawn = np.random.default_rng(1).integers(0, 256, (50, 3)).tolist()
+    rgb = [*PURE, *map(tuple, drawn)]
+    df = spark.createDataFrame([(i, *map(int, p)) for i, p in enumerate(rgb)], "at int, r int, g int, b int")
     lab = colour.rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))
-    rows = df.withColumns({n: c for n, c in zip("xyz", lab, strict=True)}).select("x", "y", "z", *colour.lab_to_rgb(F.col("x"), F.col("y"), F.col("z"))).collect()
-    assert np.array([r[:3] for r in rows]) == pytest.approx(pixels.lab(px), abs=1e-9)
-    assert np.array([r[3:] for r in rows]) == pytest.approx(px, abs=1e-4)
-    assert pixels.unlab(pixels.lab(px)) == pytest.approx(px, abs=1e-4)
+    rows = df.withColumns({n: c for n, c in zip("xyz", lab, strict=True)}).select("x", "y", "z", *colour.lab_to_rgb(F.col("x"), F.col("y"), F.col("z")), "at").orderBy("at").collect()
+    for row, want in zip(rows, PURE.values(), strict=False):
+        assert tuple(row[:3]) == pytest.approx(want, abs=0.02)
+    assert np.array([r[3:6] for r in rows]) == pytest.approx(np.array(rgb), abs=1e-3)
+
+
+def _image_rows(spark, images, schema="item_id long, height int, width int, pixels binary"):
+    return spark.createDataFrame([(i, a.shape[0], a.shape[1], bytearray(a.tobytes())) for i, a in enumerate(images)], schema)
+
+
+def test_image_measures_are_those_of_the_pixels(spark):
+    rng = np.random.default_rng(3)
+    images = [rng.integers(0, 256, (5, 7, 3)).astype(np.uint8), np.full((4, 4, 3), 90, np.uint8), np.zeros((1, 1, 3), np.uint8), np.zeros((0, 0, 3), np.uint8)]
+    counts = imaging.colour_counts(_image_rows(spark, images), ["item_id"])
+    assert {r[0]: r[1] for r in counts.groupBy("item_id").agg(F.sum("n")).collect()} == {0: 35, 1: 16, 2: 1}
+    got = {r["item_id"]: r for r in imaging.colour_stats(counts, ["item_id"]).collect()}
+    flat = images[0].reshape(-1, 3).astype(int)
+    a, c = flat[:, 0] - flat[:, 1], (flat[:, 0] + flat[:, 1]) / 2 - flat[:, 2]
+    assert got[0]["colorfulness"] == pytest.approx((math.hypot(a.std(), c.std()) + 0.3 * math.hypot(a.mean(), c.mean())) / 255)
+    assert got[0]["sat_mean"] == pytest.approx(np.mean([(max(p) - min(p)) * 255 // max(p) for p in flat.tolist()]) / 255)
+    assert got[1]["colorfulness"] == pytest.approx(0) and got[2]["sat_mean"] == 0
+
+
+def test_colour_changes(spark):
+    one, two = np.zeros((2, 2, 3), np.uint8), np.zeros((2, 2, 3), np.uint8)
+    two[0] = 255  # half of the pixels go from black to white
+    rows = spark.createDataFrame([("a", 2, 2, bytearray(one.tobytes()), bytearray(two.tobytes())), ("b", 2, 2, bytearray(one.tobytes()), bytearray(one.tobytes()))], "k string, height int, width int, base binary, pixels binary")
+    assert {r["k"]: round(r["delta_e"], 3) for r in imaging.colour_changes(rows, ["k"]).collect()} == {"a": 50.0, "b": 0.0}
+
+
+def test_palettes_of_plain_groups(spark):
+    counts = spark.createDataFrame([("x", 255, 0, 0, 30), ("x", 0, 0, 255, 10), ("y", 10, 10, 10, 5)], "g string, r int, g_ int, b int, n long").withColumnsRenamed({"g": "who", "g_": "g"})
+    got = {r["who"]: r for r in imaging.palettes(counts, ["who"], 3, 2, 0.08).collect()}
+    assert set(got) == {"x"} and got["x"]["share"] == [0.75, 0.25]  # grey alone has no palette; two colours, two centres
+    assert got["x"]["centres"][0] == pytest.approx(PURE[255, 0, 0], abs=0.02)
+    assert set(r["who"] for r in imaging.palettes(counts, ["who"], 3, 2, 0.08, 6).collect()) == {"x", "y"}  # too few coloured pixels: all count
+
+
+def test_rule_features_with_words(spark):
+    images = _image_rows(spark, [np.full((10, 20, 3), 200, np.uint8), np.full((10, 20, 3), 40, np.uint8)])
+    words = spark.createDataFrame([(0, "Acme", 90.0, 0, 0, 10, 15), (0, "thin", 20.0, 0, 0, 9, 9)], "item_id long, word string, conf double, x0 int, y0 int, x1 int, y1 int")
+    got = {r["item_id"]: r for r in imaging.rule_features(images, [[60.0, 10.0, 10.0]], words, ["acme"]).collect()}
+    assert (got[0]["wordmark"], got[0]["text_frac"]) == (1.0, 0.75) and (got[1]["wordmark"], got[1]["text_frac"]) == (0.0, 0.0)
+
+
+def test_colour_remap_moves_only_near_colours(spark):
+    img = np.array([[[255, 0, 0], [0, 0, 255]]], np.uint8)
+    out = imaging.colour_remap(_image_rows(spark, [img]), [PURE[255, 0, 0]], [PURE[0, 255, 0]], 3).first()["pixels"]
+    assert tuple(out[3:]) == (0, 0, 255) and tuple(out[:3]) != (255, 0, 0)
+
+
+def test_ink_is_the_far_quarter():
+    img = np.full((20, 20, 3), 250, np.uint8)
+    img[8:10, 6:12] = (10, 20, 30)
+    assert pixels.ink_colour(img, (6, 6, 12, 14)) == [10, 20, 30]
+    assert pixels.ink_colour(img, (5, 5, 5, 9)) == [0, 0, 0]
 
 
 def test_pixel_generators():
@@ -219,7 +276,7 @@ def test_pixel_generators():
     removed = [pixels.wordmark_removal(img, s, np.random.default_rng(1), words, [True, False, True])[1]["removed"] for s in (1, 2, 3)]
     assert removed == [1, 2, 3]
     flat = np.full((10, 10, 3), 7, np.uint8)
-    assert pixels.colourfulness(flat) == 0 and (pixels.fill_box(flat, (2, 2, 5, 5)) == flat).all()
+    assert (pixels.fill_box(flat, (2, 2, 5, 5)) == flat).all()
 
 
 def test_gates_and_repeats(spark):
