@@ -40,6 +40,13 @@ def cosine_pairs(items: DataFrame, block: str, least: float = LEAST_COSINE) -> D
     return met.where(F.col("cosine") >= least).select("u", "v", "cosine")
 
 
+def hybrid_pairs(items: DataFrame, block: str, most: int = MOST_BITS, least: float = LEAST_COSINE) -> DataFrame:
+    """Pairs ``(u, v, by_hash, by_vector)`` of one block that either rule finds; an item may lack its hash or its vector."""
+    near = hamming_pairs(items, block, most).select("u", "v", F.lit(True).alias("by_hash"), F.lit(False).alias("by_vector"))
+    alike = cosine_pairs(items, block, least).select("u", "v", F.lit(False).alias("by_hash"), F.lit(True).alias("by_vector"))
+    return near.unionByName(alike).groupBy("u", "v").agg(F.bool_or("by_hash").alias("by_hash"), F.bool_or("by_vector").alias("by_vector"))
+
+
 def clusters(items: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(item_id, component)`` for all items; an item without a pair is its own component."""
     found = connected_components(pairs.select("u", "v")).withColumnRenamed("node", "item_id")

@@ -145,9 +145,19 @@ SELECT a.doc_id AS u, b.doc_id AS v, bit_count(xor(a.h, b.h))::int AS bits FROM
 UNION ALL SELECT one.doc_id, h.doc_id, 0 FROM h JOIN one USING (source, h) WHERE h.doc_id > one.doc_id""")
 def near_pairs_hamming(spark, sf):
     """Documents by a hash of their text, every other one with a bit turned over: copies lie up to two bits apart."""
+    return clusters.hamming_pairs(_text_hashes(spark, sf), "source")
+
+
+def _text_hashes(spark, sf):
     bits = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 15), 16, 10).cast("long")
     turned = F.when(F.col("doc_id") % 2 == 1, bits.bitwiseXOR(F.expr("shiftleft(1L, int(doc_id % 60))"))).otherwise(bits)
-    return clusters.hamming_pairs(table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "source", turned.alias("hash")), "source")
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "source", turned.alias("hash"))
+
+
+_HYBRID = """ha AS (SELECT vec_id AS item_id, label, CASE WHEN doc_id % 2 = 1 THEN xor(h, 1::bigint << (doc_id % 60)::int) ELSE h END AS h
+    FROM embeddings JOIN (SELECT doc_id, ('0x' || substr(md5(text), 1, 15))::bigint AS h FROM documents) ON doc_id = vec_id),
+  cl AS (SELECT u, v FROM ed UNION SELECT a.item_id, b.item_id FROM ha a JOIN ha b ON a.label = b.label AND a.item_id <> b.item_id AND bit_count(xor(a.h, b.h)) <= 8),
+  rc AS (SELECT item_id AS n, item_id AS r FROM ve UNION SELECT rc.n, cl.v FROM rc JOIN cl ON cl.u = rc.r)"""
 
 
 @query(f"WITH {SIGNS_SQL} SELECT a.item_id AS u, min(list_sum(list_transform(list_zip(a.b, b.b), lambda z: abs(z[1] - z[2]))))::int AS bits FROM si a JOIN si b ON a.label = b.label AND b.item_id = a.label GROUP BY 1")
@@ -171,6 +181,13 @@ def components(spark, sf):
     return members(spark, sf)
 
 
+@query(f"WITH RECURSIVE {_EDGES}, {_HYBRID} SELECT n AS item_id, min(r) AS component FROM rc GROUP BY n")
+def hybrid_components(spark, sf):
+    """Clusters of vectors linked by cosine or by the hash of the document with the same id."""
+    rows = vectors(spark, sf).join(_text_hashes(spark, sf).drop("source"), "item_id", "left")
+    return clusters.clusters(rows, clusters.hybrid_pairs(rows, "label", least=COSINE))
+
+
 @query(f"WITH RECURSIVE {COMPONENTS_SQL}, s AS (SELECT component, count(*) AS n FROM cc GROUP BY 1) SELECT 'h' || lpad((row_number() OVER (ORDER BY n DESC, component) - 1)::varchar, 4, '0') AS cluster_id, component, n FROM s")
 def cluster_numbers(spark, sf):
     return clusters.numbered(members(spark, sf))

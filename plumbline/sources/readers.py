@@ -28,7 +28,7 @@ def json_folder(spark: SparkSession, path: str, schema: str, required: str) -> D
 
 def line_scores(spark: SparkSession, path: str, judge: str, key: str, field: str, scale: float = 1.0) -> DataFrame:
     """JSON lines -> ``(judge, item_id, score)``; of lines with one key the last in the file wins."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("at"))
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"))
     rows = raw.select("f", "at", F.from_json("value", f"`{key}` string, `{field}` double").alias("v")).select("f", "at", f"v.{key}", f"v.{field}")
     rows = rows.where(F.col(field).isNotNull()).groupBy(key).agg(F.max_by(field, F.struct("f", "at")).alias("s"))
     return rows.select(F.lit(judge).alias("judge"), F.col(key).alias("item_id"), (F.col("s") * scale).alias("score"))

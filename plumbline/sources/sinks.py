@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +20,12 @@ def replace_part(df: DataFrame, path: str, part: str) -> None:
 
 def append_missing(df: DataFrame, path: str, key: str) -> int:
     """Append rows whose key the table at ``path`` does not hold; returns how many."""
-    spark = df.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        df = df.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
+    try:
+        held = df.sparkSession.read.schema(df.select(key).schema).parquet(path)
+        df = df.join(held.distinct(), key, "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
     new = staged(df, "append")
     new.write.mode("append").parquet(path)
     return new.count()
