@@ -31,8 +31,8 @@ a table may have up to 2^31 tasks of 2^32 branches.
 
 Defined results: a null or wordless text has fingerprint zero and links like
 any other.  Repeated rows and ties collapse to the smallest doc_id; a row
-whose doc_id is null gets the component of its fingerprint (null if no row in
-it has an id).  An empty table gives an empty result.  Other columns are not
+whose doc_id is null links and bridges like any other, and gets the component
+of its fingerprint (null if no row in it has an id).  An empty table gives an empty result.  Other columns are not
 read, so their names cannot clash.
 """
 
@@ -421,15 +421,18 @@ def near_duplicates(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """``(doc_id, fp, component_id)`` for each row of ``docs(doc_id, text)``."""
     prints = staged(fingerprints(docs), "simhash")
     reps = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
-    edges = links(reps.where("rep is not null"), bits)
+    # a fingerprint without an id stands for itself, after all that have one
+    node = F.struct(F.col("rep").isNull().alias("nameless"), F.coalesce("rep", "fp").alias("id"))
+    nodes = reps.select("fp", node.alias("node"))
     edges = (
-        edges.distinct()
-        .join(reps.select(F.col("fp").alias("u"), F.col("rep").alias("ru")), "u")
-        .join(reps.select(F.col("fp").alias("v"), F.col("rep").alias("rv")), "v")
-        .select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+        links(reps, bits)
+        .distinct()
+        .join(nodes.withColumnsRenamed({"fp": "u", "node": "nu"}), "u")
+        .join(nodes.withColumnsRenamed({"fp": "v", "node": "nv"}), "v")
+        .select(F.col("nu").alias("u"), F.col("nv").alias("v"))
     )
-    groups = connected_components(edges).withColumnRenamed("node", "rep")
-    of_print = reps.join(groups, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    of_print = nodes.join(connected_components(edges), "node", "left").withColumn("top", F.coalesce("component", "node"))
+    of_print = of_print.select("fp", F.when(~F.col("top.nameless"), F.col("top.id")).alias("component_id"))
     return prints.join(of_print, "fp", "left").select("doc_id", "fp", "component_id")
 
 
