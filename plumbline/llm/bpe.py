@@ -38,6 +38,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +55,10 @@ from plumbline.staging import staged, table
 VOCABULARY = "byte_bpe_50k.json"
 #: Chunk sizes in bytes: least, mean (a power of two), most.
 CHUNK = (256, 1024, 16384)
+#: White space of the pre-token pattern. The pattern keeps a stack entry for each character of a run, so runs from ``LONG_RUN`` on go round it.
+SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG_RUN = 1 << 14
+_long_runs = re.compile(rf"{SPACE}(?<!{SPACE}{{2}}){SPACE}{{{LONG_RUN - 1},}}").finditer
 BITMAP_BITS = 1 << 27
 WINDOW = 16
 
@@ -84,7 +89,20 @@ def codec(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
 
 
 def encode_text(path: str, text: str) -> list[int]:
-    return codec(path)[0].encode(text, allowed_special="all")
+    """Ids of one text.  A long run of white space is one pre-token but for its last
+    character, which begins the next one, unless the text or a special token ends the run."""
+    coder = codec(path)[0]
+    if len(text) < LONG_RUN:
+        return coder.encode(text, allowed_special="all")
+    out, begin = [], 0
+    for run in _long_runs(text):
+        end = run.end()
+        if end < len(text) and not text.startswith(tuple(coder.special_tokens_set), end):
+            end -= 1
+        out += coder.encode(text[begin : run.start()], allowed_special="all")
+        out += coder._encode_single_piece(text[run.start() : end])
+        begin = end
+    return out + coder.encode(text[begin:], allowed_special="all")
 
 
 _GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -186,17 +204,17 @@ def join(path: str, parts: list[list[int]]) -> list[int]:
         if head is None or tail is None or head[0] > tail[0]:
             region.append(coder.decode_bytes(ids))
             continue
-        new = coder.encode(b"".join([*region, head[2]]).decode(), allowed_special="all")
+        new = encode_text(path, b"".join([*region, head[2]]).decode())
         if new[: len(guard_left)] != guard_left or (head[1] and new[-len(head[1]) :] != head[1]):
             break
         out += new
         out += ids[head[0] : tail[0]]
         region, guard_left = [tail[2]], tail[1]
     else:
-        new = coder.encode(b"".join(region).decode(), allowed_special="all")
+        new = encode_text(path, b"".join(region).decode())
         if new[: len(guard_left)] == guard_left:
             return out + new
-    return coder.encode(b"".join(coder.decode_bytes(p) for p in parts).decode(), allowed_special="all")
+    return encode_text(path, b"".join(coder.decode_bytes(p) for p in parts).decode())
 
 
 def _digest(coder: tiktoken.Encoding, ids: list[int]) -> tuple[int, str, str]:
@@ -262,7 +280,7 @@ def _first_pass(path: str, bitmap, bits: int, chunk: tuple[int, int, int], keep_
                 keys.append(key)
                 held += len(raw)
                 if not hit.any():
-                    ids = coder.encode(text, allowed_special="all")
+                    ids = encode_text(path, text)
                     rows.append((doc, ids, _digest(coder, ids)))
                     parts.append(None)
                 else:
@@ -270,12 +288,12 @@ def _first_pass(path: str, bitmap, bits: int, chunk: tuple[int, int, int], keep_
                     for end, shared, (k1, k2) in zip(ends, hit.tolist(), names128.tolist(), strict=True):
                         if shared:
                             if begin > own:
-                                found.append({"ids": coder.encode(raw[own:begin].decode(), allowed_special="all")})
+                                found.append({"ids": encode_text(path, raw[own:begin].decode())})
                             found.append({"k1": k1, "k2": k2, "text": raw[begin:end].decode()})
                             own = end
                         begin = end
                     if own < len(raw):
-                        found.append({"ids": coder.encode(raw[own:].decode(), allowed_special="all")})
+                        found.append({"ids": encode_text(path, raw[own:].decode())})
                     rows.append((doc, None, None))
                     parts.append(found)
                 if held > 4 << 20:
@@ -288,9 +306,8 @@ def _first_pass(path: str, bitmap, bits: int, chunk: tuple[int, int, int], keep_
 
 def _encode_chunks(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, _ = codec(path)
         for batch in batches:
-            ids = [coder.encode(x, allowed_special="all") for x in batch.column("text").to_pylist()]
+            ids = [encode_text(path, x) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(ids, pa.list_(pa.int32()))], names=["k1", "k2", "ids"])
 
     return run
