@@ -44,13 +44,17 @@ def either_case(word: str) -> str:
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern; ``group`` must have ``least`` characters or more."""
+    """A pattern; ``group`` must have ``least`` characters or more.
+
+    ``sql`` is the same rule for engines whose patterns cannot look back: its first group is what stands before.
+    """
 
     kind: str
     version: int
     pattern: str
     group: int = 0
     least: int = 0
+    sql: str = ""
 
     @property
     def key(self) -> str:
@@ -71,16 +75,17 @@ MORE = (
     Rule("pem", 1, "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", 1, "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", 1, "xox[abprs]-[A-Za-z0-9-]{10,}"),
-    # The header's length is bounded, so that a long run without dots costs linear time.
-    Rule("jwt", 2, r"eyJ[A-Za-z0-9_-]{1,1000}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
+    # The header begins its run of characters, so that a long run without dots costs linear time.
+    Rule("jwt", 4, r"eyJ(?<![A-Za-z0-9_-]eyJ)[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++", 0, 30, r"(^|[^A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 )
 RULES = BASE + MORE
 
 #: A key from its first marker to its last, or, where the last is missing, headers and base64 lines as far as they go.
-_LINE = r"[A-Za-z0-9+/]{16,}={0,2}"
-_GAP = r"(?:[\s>]|\\[nr])*"
-_CUT_KEY = rf"""(?:\s*[A-Za-z-]+:[^\r\n]*[\r\n]){{0,4}}(?:{_GAP}{_LINE}){{0,400}}(?:{_GAP}[A-Za-z0-9+/]{{1,15}}={{1,2}}|\s*[\r\n][A-Za-z0-9+/]{{1,15}}(?=\s*(?:[\r\n]|$)))?"""
-PEM = Rule("pem", 2, rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){{0,8}}-----END [A-Z ]*PRIVATE KEY-----|{_CUT_KEY})")
+#: Possessive repeats are loops in the regex engine; others recurse once a repeat, and a long key or gap would overflow the stack.
+_LINE = r"[A-Za-z0-9+/]{16,}+={0,2}+"
+_GAP = r"(?:[\s>]++|\\[nr])*+"
+_CUT_KEY = rf"""(?:\s*+[A-Za-z-]++:[^\r\n]*+[\r\n]){{0,4}}+(?:{_GAP}{_LINE})*+(?:{_GAP}[A-Za-z0-9+/]{{1,15}}+={{1,2}}+|\s*[\r\n][A-Za-z0-9+/]{{1,15}}+(?=\s*(?:[\r\n]|$)))?"""
+PEM = Rule("pem", 3, rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-[^-]++){{0,8}}+-----END [A-Z ]*PRIVATE KEY-----|{_CUT_KEY})")
 #: What redaction hides. The ledger query keeps ``RULES``, from which its SQL is made.
 REDACTED = tuple(PEM if r.kind == PEM.kind else r for r in RULES)
 
@@ -239,16 +244,17 @@ def op9_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_spans(place: int, rule: Rule) -> str:
-    pattern = rule.pattern.replace("'", "''")
-    return f"""SELECT doc_id, {place} AS place, '{rule.kind}' AS kind,
+    pattern = (rule.sql or rule.pattern).replace("'", "''")
+    lead = f"list_transform(regexp_extract_all(t, '{pattern}', 1), lambda x: length(x))" if rule.sql else "NULL"
+    return f"""SELECT doc_id, {place} AS place, '{rule.kind}' AS kind, {lead} AS lead,
       unnest(range(1, len(m) + 1)) AS i, m, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}', {rule.group}) AS h, {rule.least} AS least
     FROM (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{pattern}') AS m FROM documents)"""
 
 
 ORACLE_SQL = f"""
 WITH f AS ({' UNION ALL '.join(_sql_spans(i, r) for i, r in enumerate(RULES))}),
-s AS (SELECT doc_id, place, kind, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a, length(m[i]) AS n
-  FROM f WHERE length(h[i]) >= least),
+s AS (SELECT doc_id, place, kind, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) + coalesce(lead[i], 0) AS a, length(m[i]) - coalesce(lead[i], 0) AS n
+  FROM f WHERE length(h[i]) - coalesce(lead[i], 0) >= least),
 p AS (SELECT doc_id, place, a, kind || ':' || a::bigint || ':' || (a + n)::bigint AS span FROM s),
 j AS (SELECT doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex,
     string_agg(span, ',' ORDER BY a, place) FILTER (place < {len(BASE)}) AS base, string_agg(span, ',' ORDER BY a, place) AS spans FROM p GROUP BY doc_id)
