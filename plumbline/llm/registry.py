@@ -8,6 +8,7 @@ from plumbline.llm.fixity import op7_merkle_fixity
 from plumbline.llm.kneser_ney import op10_kneser_ney
 from plumbline.llm.mixing import op4_curriculum_mix
 from plumbline.llm.quality import op5_decision_list
+from plumbline.llm.repeats import op13_longest_previous_factors
 from plumbline.llm.secrets import op9_blob_ledger
 from plumbline.llm.sharding import op3_karmarkar_karp
 from plumbline.llm.simhash import op1_simhash_gray
@@ -27,6 +28,7 @@ QUERIES = {
         op8_norm_sorted_topk,
         op9_blob_ledger,
         op10_kneser_ney,
+        op13_longest_previous_factors,
     )
 }
 
