@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.llm import fixity, mixing, secrets, topk
+from plumbline.llm import divergence, fixity, mixing, secrets, topk
 from plumbline.llm.bpe import op2_bpe_chunk_reuse
+from plumbline.llm.divergence import op11_cube_divergence
 from plumbline.llm.fixity import op7_merkle_fixity
 from plumbline.llm.kneser_ney import op10_kneser_ney
 from plumbline.llm.mixing import op4_curriculum_mix
@@ -28,6 +29,7 @@ QUERIES = {
         op8_norm_sorted_topk,
         op9_blob_ledger,
         op10_kneser_ney,
+        op11_cube_divergence,
         op13_longest_previous_factors,
     )
 }
@@ -38,4 +40,5 @@ ORACLE: dict[str, str] = {
     "op7_merkle_fixity": fixity.ORACLE_SQL,
     "op8_norm_sorted_topk": topk.ORACLE_SQL,
     "op9_blob_ledger": secrets.ORACLE_SQL,
+    "op11_cube_divergence": divergence.ORACLE_SQL,
 }
