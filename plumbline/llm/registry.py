@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from plumbline.llm import divergence, fixity, mixing, secrets, topk
+from plumbline.llm import divergence, fixity, hard_negatives, mixing, secrets, topk
 from plumbline.llm.bpe import op2_bpe_chunk_reuse
 from plumbline.llm.divergence import op11_cube_divergence
 from plumbline.llm.fixity import op7_merkle_fixity
+from plumbline.llm.hard_negatives import op12_lemp_hard_negatives
 from plumbline.llm.kneser_ney import op10_kneser_ney
 from plumbline.llm.mixing import op4_curriculum_mix
 from plumbline.llm.quality import op5_decision_list
@@ -30,6 +31,7 @@ QUERIES = {
         op9_blob_ledger,
         op10_kneser_ney,
         op11_cube_divergence,
+        op12_lemp_hard_negatives,
         op13_longest_previous_factors,
     )
 }
@@ -41,4 +43,5 @@ ORACLE: dict[str, str] = {
     "op8_norm_sorted_topk": topk.ORACLE_SQL,
     "op9_blob_ledger": secrets.ORACLE_SQL,
     "op11_cube_divergence": divergence.ORACLE_SQL,
+    "op12_lemp_hard_negatives": hard_negatives.ORACLE_SQL,
 }

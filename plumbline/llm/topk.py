@@ -51,10 +51,10 @@ HEAD = 24
 _NONE, _LAST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
-def integers(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
-    """``(vec_id, v array<long>, norm2)`` of the vectors that take part."""
+def integers(embeddings: DataFrame, scale: int = SCALE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(vec_id, v array<long>, norm2)`` of the vectors that take part, and the columns to ``keep``."""
     fine = F.expr("vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(double(x)) < double('infinity'))")
-    rows = embeddings.where(fine).select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v"))
+    rows = embeddings.where(fine).select("vec_id", *keep, F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v"))
     return rows.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
 
 
