@@ -4,7 +4,7 @@ A *window* is a string of ``LENGTH`` bytes.  A window that also starts at anothe
 place, in the same text or another one, is repeated.  Which windows are is found
 in suffix order, but no task ever sorts the suffixes of the corpus:
 
-1. Each window names an anchor, the least hash of the ``GRAM``-byte strings in
+1. Each window names an anchor, the least hash of the strings of ``GRAMS[0]`` bytes in
    it, so equal windows name equal anchors at equal places.  Neighbouring windows
    with the same anchor form a *context*, the bytes that they cover.  Only hashes
    of anchors and contexts leave the tasks (one context in about 65 bytes).
@@ -17,9 +17,9 @@ in suffix order, but no task ever sorts the suffixes of the corpus:
    previous factor, the length of the longest match that begins earlier; the nearest
    larger positions give the longest next factor.  A window is repeated if either
    reaches ``LENGTH``; it is a later copy if the first does.
-4. An anchor with many classes (one passage in a third of all texts) is dealt to parts
-   of about ``BLOCK`` classes, one being the usual case.  The first window of each kind
-   in its part then meets those of the other parts under its 128-bit hash.
+4. An anchor of more than ``BLOCK`` classes (one passage in a third of all texts) is cut finer:
+   its classes name longer anchors, and steps 2 and 3 are repeated with what these hold, up to
+   anchors as long as a window, where equal windows are one class and nothing is left to compare.
 
 ``removed`` takes either every repeated window out (what the query asks) or, with
 ``keep_first``, later copies only.  Windows overlap and may cover bytes more than once;
@@ -43,17 +43,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.simhash import bytes_of
 from plumbline.staging import staged, table
 
 LENGTH = 200
-#: Bytes of an anchor: longer ones name fewer false partners, shorter ones are fewer.
-GRAM = 64
-#: Classes of one anchor that one part of it holds, about.
+#: Bytes of an anchor, and of those that crowded ones are cut by: longer ones name fewer false partners, shorter ones are fewer.
+GRAMS = (64, 128, 192, LENGTH)
+#: Classes of one anchor that a task sorts.
 BLOCK = 1024
 #: Windows whose hashes, and whose suffixes, a task holds at once.
 STEP = 1 << 20
@@ -144,7 +143,7 @@ def _keyed(docs: DataFrame, keep_first: bool) -> DataFrame:
 
 
 _SEEN = "d binary, rank long, place long, h long, c long"
-#: ``place`` is an offset in the text and a number of windows less one, so ``LENGTH - GRAM`` may be 255 at most.
+#: ``place`` is an offset in the text and a number of windows less one, so windows of one anchor are 256 at most.
 _BITS = 8
 
 
@@ -163,8 +162,28 @@ def _seen(length: int, gram: int, step: int):
     return run
 
 
-def _fetched(length: int):
-    """The bytes of the contexts that a text is asked for."""
+_SLICE = "level int, h long, c long, rank long, d binary, place long, bytes binary"
+
+
+def _slices(level: int, h: list, c: list, rank: pa.Array, d: pa.Array, place: np.ndarray, kept: list[bytes]) -> pa.RecordBatch:
+    columns = [pa.array([level] * len(kept), pa.int32()), pa.array(h, pa.int64()), pa.array(c, pa.int64()), rank, d, pa.array(place, pa.int64()), pa.array(kept, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SLICE.split(", ")])
+
+
+def _finer(level: int, rank: pa.Array, d: pa.Array, offset: np.ndarray, kept: list[bytes], length: int, gram: int) -> pa.RecordBatch:
+    """What some contexts hold, under longer anchors."""
+    sizes = np.array([len(x) for x in kept], np.int64)
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(kept), np.uint8)
+    first, size, h, c = contexts(data, ends, length, gram)
+    of = np.searchsorted(ends, first, side="right")
+    place = ((first - (ends - sizes)[of] + offset[of]) << _BITS) + size - 1
+    parts = [data[a : a + n].tobytes() for a, n in zip(first.tolist(), (size + length - 1).tolist(), strict=True)]
+    return _slices(level, h.view(np.int64), c.view(np.int64), rank.take(pa.array(of)), d.take(pa.array(of)), place, parts)
+
+
+def _fetched(length: int, gram: int):
+    """The bytes of the contexts that a text is asked for; those of crowded anchors are cut by longer ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,13 +191,28 @@ def _fetched(length: int):
             asked = batch.column("asked")
             counts = np.diff(np.asarray(asked.offsets))
             flat = asked.flatten()
-            of = np.repeat(np.arange(batch.num_rows), counts)
-            place = flat.field("place").to_numpy()
-            begin = offsets[of] + (place >> _BITS)
-            size = (place & ((1 << _BITS) - 1)) + length
-            kept = [data[a : a + n].tobytes() for a, n in zip(begin.tolist(), size.tolist(), strict=True)]
-            rows = [flat.field("h"), flat.field("part"), flat.field("parts"), flat.field("c"), batch.column("rank").take(pa.array(of)), batch.column("d").take(pa.array(of)), flat.field("place")]
-            yield pa.RecordBatch.from_arrays([*rows, pa.array(kept, pa.binary())], names=["h", "part", "parts", "c", "rank", "d", "place", "bytes"])
+            every = np.repeat(np.arange(batch.num_rows), counts)
+            crowded = flat.field("crowded").to_numpy(zero_copy_only=False)
+            for at in (np.nonzero(~crowded)[0], np.nonzero(crowded)[0]):
+                of, rows = pa.array(every[at]), flat.take(pa.array(at))
+                place = rows.field("place").to_numpy()
+                begin = offsets[every[at]] + (place >> _BITS)
+                size = (place & ((1 << _BITS) - 1)) + length
+                kept = [data[a : a + n].tobytes() for a, n in zip(begin.tolist(), size.tolist(), strict=True)]
+                rank, d = batch.column("rank").take(of), batch.column("d").take(of)
+                if len(at) and crowded[at[0]]:
+                    yield _finer(2, rank, d, place >> _BITS, kept, length, gram)
+                elif len(at):
+                    yield _slices(1, rows.field("h"), rows.field("c"), rank, d, place, kept)
+
+    return run
+
+
+def _cut_finer(level: int, length: int, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column("place").to_numpy()
+            yield _finer(level, batch.column("rank"), batch.column("d"), place >> _BITS, batch.column("bytes").to_pylist(), length, gram)
 
     return run
 
@@ -210,98 +244,94 @@ def longest_previous_factors(position: np.ndarray, agree: np.ndarray) -> np.ndar
     return np.maximum(_nearest_smaller(position, agree), _nearest_smaller(position[::-1], after)[::-1])
 
 
-_FOUND = "d binary, begin long, end long, rank long, w1 long, w2 long, alone boolean"
-
-
 def _factored(length: int, keep_first: bool, most: int):
-    """Repeated windows in each part of an anchor, and the first of each kind where there are other parts."""
-    names = [x.split()[0] for x in _FOUND.split(", ")]
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    """Runs of repeated windows in the contexts of each anchor."""
 
     def found(rows: list[tuple]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: (r[4], r[5], r[6]))  # by position
-        number = {x: i for i, x in enumerate(sorted({(r[0], r[1]) for r in rows}))}
-        sizes = np.array([len(r[7]) - length + 1 for r in rows])
-        starts = np.cumsum([0, *(len(r[7]) for r in rows[:-1])])
+        rows.sort(key=lambda r: r[3:6])  # by position
+        number = {x: i for i, x in enumerate(sorted({r[:2] for r in rows}))}
+        sizes = np.array([len(r[6]) - length + 1 for r in rows])
+        starts = np.cumsum([0, *(len(r[6]) for r in rows[:-1])])
         of = np.repeat(np.arange(len(rows)), sizes)
         inside = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        flat = np.frombuffer(b"".join(r[7] for r in rows), np.uint8)
+        flat = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
         windows = np.lib.stride_tricks.sliding_window_view(flat, length)[starts[of] + inside]
-        order, agree = suffix_order(windows, np.array([number[r[0], r[1]] for r in rows])[of])
-        earlier, later = np.empty(len(of), bool), np.empty(len(of), bool)
-        earlier[order] = longest_previous_factors(order, agree) >= length
-        later[order] = longest_previous_factors(-order, agree) >= length
-        repeated = earlier if keep_first else earlier | later
-        offset = np.array([r[6] >> _BITS for r in rows])[of] + inside
-        split = np.array([r[2] > 1 for r in rows])[of]
+        order, agree = suffix_order(windows, np.array([number[r[:2]] for r in rows])[of])
+        repeated = np.empty(len(of), bool)
+        factors = longest_previous_factors(order, agree)
+        repeated[order] = (factors if keep_first else np.maximum(factors, longest_previous_factors(-order, agree))) >= length
         hit = np.nonzero(repeated)[0]
         first = np.nonzero(np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(of[hit]) != 0))))[0] if len(hit) else hit
-        a, b = hit[first], hit[np.append(first[1:], len(hit)) - 1] if len(hit) else hit
-        one = np.nonzero(split & ~earlier)[0]
-        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w.tobytes()) for w in windows[one]), "<i8").reshape(-1, 2)
-        at = np.concatenate((a, one))
-        none = np.zeros(len(a), np.int64)
-        named = np.arange(len(at)) < len(a)
-        columns = [
-            pa.array([rows[i][5] for i in of[at].tolist()], kinds[0]),
-            pa.array(offset[at]),
-            pa.array(np.concatenate((offset[b], offset[one])) + length),
-            pa.array([rows[i][4] for i in of[at].tolist()], kinds[3]),
-            pa.array(np.concatenate((none, digests[:, 0])), mask=named),
-            pa.array(np.concatenate((none, digests[:, 1])), mask=named),
-            pa.array(np.concatenate((np.zeros(len(a), bool), ~later[one]))),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=names)
+        a, b = (hit[first], hit[np.append(first[1:], len(hit)) - 1]) if len(hit) else (hit, hit)
+        offset = np.array([r[5] >> _BITS for r in rows])[of] + inside
+        columns = [pa.array([rows[i][4] for i in of[a].tolist()], pa.binary()), pa.array(offset[a]), pa.array(offset[b] + length)]
+        return pa.RecordBatch.from_arrays(columns, names=["d", "begin", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size, last, at = 0, None, 0  # ``held[at:]`` belong to the group that may go on
+        size, last = 0, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                group = row[:2]
-                if last is not None and group == last and row[3] == held[-1][3]:
+                if held and row[:3] == held[-1][:3]:
                     continue  # the same class, fetched for a repeated row
-                if group != last:
+                if row[:2] != last:
                     if size >= most:
                         yield found(held)
                         held, size = [], 0
-                    last = group
+                    last = row[:2]
                 held.append(row)
-                size += len(row[7]) - length + 1
+                size += len(row[6]) - length + 1
         if held:
             yield found(held)
 
     return run
 
 
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False, block: int = BLOCK, step: int = STEP, most: int = SORTED) -> tuple[DataFrame, DataFrame]:
+def _classes(rows: DataFrame, first: Column) -> tuple[DataFrame, DataFrame]:
+    """``(h, c, n, first)`` of the contexts, and ``(h, m)`` of the anchors that hold several kinds; both written."""
+    found = staged(rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(first).alias("first")), "classes")
+    return found, staged(found.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "crowds")
+
+
+def spans(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS, keep_first: bool = False, block: int = BLOCK, step: int = STEP, most: int = SORTED) -> tuple[DataFrame, DataFrame]:
     """``_keyed(docs)``, and ``(d, spans)`` with what to take out of each, in any order and overlapping."""
-    if not 0 <= length - gram < 1 << _BITS:
-        raise ValueError("an anchor is no longer than a window, and at most 255 bytes shorter")
+    if list(grams) != sorted(grams) or grams[-1] != length or length - grams[0] >= 1 << _BITS:
+        raise ValueError("anchors grow up to the length of a window, and the first are at most 255 bytes shorter")
     texts = _keyed(docs, keep_first)
-    seen = staged(texts.select("d", "rank", "text").mapInArrow(_seen(length, gram, step), _SEEN), "contexts")
-    often = seen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    seen = staged(texts.select("d", "rank", "text").mapInArrow(_seen(length, grams[0], step), _SEEN), "contexts")
+    # both sides of the next join are tables, so that a hot anchor can be split
+    often = staged(seen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors")
     met = staged(seen.join(often, "h", "left_semi"), "contexts-met")
     place = F.struct("rank", "d", "place")
-    classes = staged(met.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(place).alias("first")), "classes")
-    whole = met.join(classes.where("n > 1").select("h", "c", "first"), ["h", "c"])
-    if keep_first:
-        whole = whole.where(place > F.col("first"))
-    begin = F.shiftright("place", _BITS)
-    size = F.col("place").bitwiseAND(F.lit((1 << _BITS) - 1))
-    whole = whole.select("d", begin.alias("begin"), (begin + size + length).alias("end"))
-    crowd = classes.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    parts = F.ceil(F.col("m") / block)
-    asked = classes.join(crowd, "h").select("first.d", F.struct("h", F.pmod("c", parts).alias("part"), parts.alias("parts"), "c", "first.place").alias("x"))
+    begin, size = F.shiftright("place", _BITS), F.col("place").bitwiseAND(F.lit((1 << _BITS) - 1))
+
+    def whole(rows: DataFrame, classes: DataFrame) -> DataFrame:
+        """What the members of classes of two or more cover."""
+        named = F.struct("first.rank", "first.d", "first.place").alias("first")
+        rows = rows.join(classes.where("n > 1").select("h", "c", named), ["h", "c"])
+        rows = rows.where(place > F.col("first")) if keep_first else rows
+        return rows.select("d", begin.alias("begin"), (begin + size + length).alias("end"))
+
+    classes, crowds = _classes(met, place)
+    every = [whole(met, classes)]
+    asked = classes.join(crowds, "h").select("first.d", F.struct("h", "c", "first.place", (F.col("m") > block).alias("crowded")).alias("x"))
     asked = asked.groupBy("d").agg(F.collect_list("x").alias("asked"))  # no more than the text has contexts
-    slices = texts.select("d", "rank", "doc_id", "text").join(asked, "d").mapInArrow(_fetched(length), "h long, part long, parts long, c long, rank long, d binary, place long, bytes binary")
-    dealt = slices.repartition("h", "part").sortWithinPartitions("h", "part", "c")
-    found = staged(dealt.mapInArrow(_factored(length, keep_first, most), _FOUND), "factors")
-    firsts = found.where("w1 is not null")
-    kinds = firsts.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("rank", "d", "begin")).alias("first")).where("n > 1")
-    across = firsts.join(kinds, ["w1", "w2"]).where(F.struct("rank", "d", "begin") > F.col("first") if keep_first else F.col("alone"))
-    every = whole.unionByName(found.where("w1 is null").select("d", "begin", "end")).unionByName(across.select("d", "begin", "end"))
-    return texts, every.groupBy("d").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    rows = staged(texts.select("d", "rank", "doc_id", "text").join(asked, "d").mapInArrow(_fetched(length, grams[1]), _SLICE), "slices")
+    few, fields = rows.where("level = 1"), [x.split()[0] for x in _SLICE.split(", ")]
+    rows = rows.where("level = 2")
+    for level in range(2, len(grams) + 1):
+        if rows.isEmpty():  # no anchor is crowded any more
+            break
+        rows = rows.dropDuplicates(["h", "c", "d", "place"])
+        classes, crowds = _classes(rows, F.struct("rank", "d", "place", "bytes"))
+        every.append(whole(rows, classes))
+        ones = classes.join(crowds, "h").select(F.lit(level).alias("level"), "h", "c", "first.*", "m")
+        few = few.unionByName(ones.where(F.col("m") <= block).select(fields))
+        if level < len(grams):
+            rows = staged(ones.where(F.col("m") > block).mapInArrow(_cut_finer(level + 1, length, grams[level]), _SLICE), "slices")
+    dealt = few.repartition("level", "h").sortWithinPartitions("level", "h", "c")
+    every.append(dealt.mapInArrow(_factored(length, keep_first, most), "d binary, begin long, end long"))
+    return texts, functools.reduce(DataFrame.unionByName, every).groupBy("d").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
 
 def _kept(keep_bytes: bool):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import repeats
 
-SMALL = {"length": 8, "gram": 4, "block": 2, "step": 16, "most": 64}
+SMALL = {"length": 8, "grams": (4, 6, 8), "block": 2, "step": 16, "most": 64}
 
 
 def brute(rows: list, length: int, keep_first: bool) -> list:
@@ -70,7 +70,7 @@ def test_against_all_windows(spark, seed, keep_first):
 
 
 def test_a_crowded_anchor_over_parts(spark):
-    """One passage among other words in every text, and nothing else in common: many parts, each window seen once in some."""
+    """One passage among other words in every text, and nothing else in common: its anchors are cut to the last level."""
     rnd = random.Random(3)
     passage = "".join(rnd.choice("abcdefgh") for _ in range(14))
     rows = [(i, "".join(rnd.choice("ijklmnop") for _ in range(12)) + passage + "".join(rnd.choice("qrstuvwx") for _ in range(12))) for i in range(40)]
