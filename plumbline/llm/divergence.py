@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -116,9 +117,9 @@ _CELL = "lang string, source string, item string, value long, held long, rest lo
 
 def _cell(rows: pa.Table) -> pa.Table:
     """All pairs of sources of one cell, over the terms that it holds."""
-    heads = rows.filter(pa.compute.is_null(rows["term"]))
+    heads = rows.filter(pc.is_null(rows["term"]))
     names, block, base = heads["source"].to_pylist(), heads["block"].to_numpy(), heads["p"].to_numpy()
-    terms = rows.filter(pa.compute.is_valid(rows["term"]))
+    terms = rows.filter(pc.is_valid(rows["term"]))
     coded = terms["term"].combine_chunks().dictionary_encode()
     at = {s: i for i, s in enumerate(names)}
     weights = np.repeat(base[:, None], len(coded.dictionary), axis=1)
