@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import hamming
-from plumbline.functions.vectors import dot
 from plumbline.operators.components import connected_components
-from plumbline.operators.ranks import positions, value_bins
+from plumbline.operators.ranks import positions
+from plumbline.operators.similar import similar_links, similar_pairs
 
 MOST_BITS = 8
 LEAST_COSINE = 0.95
@@ -34,10 +34,12 @@ def hamming_pairs(items: DataFrame, block: str, most: int = MOST_BITS) -> DataFr
 
 def cosine_pairs(items: DataFrame, block: str, least: float = LEAST_COSINE) -> DataFrame:
     """Pairs ``(u, v, cosine)`` of unit vectors of one block at or above ``least``."""
-    rows = items.where("vec is not null").select(block, "item_id", "vec")
-    left, right = rows.withColumnsRenamed({"item_id": "u", "vec": "x"}), rows.withColumnsRenamed({"item_id": "v", "vec": "y"})
-    met = left.join(right, block).where("u < v").withColumn("cosine", dot("x", "y"))
-    return met.where(F.col("cosine") >= least).select("u", "v", "cosine")
+    return similar_pairs(items, block, least).withColumnRenamed("product", "cosine")
+
+
+def hybrid_links(items: DataFrame, block: str, most: int = MOST_BITS, least: float = LEAST_COSINE) -> DataFrame:
+    """Links ``(u, v)`` that connect what ``hybrid_pairs`` connects, without naming all pairs of vectors."""
+    return hamming_pairs(items, block, most).select("u", "v").unionByName(similar_links(items, block, least))
 
 
 def hybrid_pairs(items: DataFrame, block: str, most: int = MOST_BITS, least: float = LEAST_COSINE) -> DataFrame:
@@ -54,18 +56,10 @@ def clusters(items: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def numbered(members: DataFrame, prefix: str = "h") -> DataFrame:
-    """``(cluster_id, component, n)``: largest first, ties by first member.
-
-    Numbers run over (size, first member); sizes repeat, so offsets come from
-    counts by size and only clusters of one size are ordered together.
-    """
+    """``(cluster_id, component, n)``: largest first, ties by first member."""
     sizes = members.groupBy("component").agg(F.count("*").alias("n"))
-    per = sizes.groupBy("n").agg(F.count("*").alias("k"))
-    before = F.coalesce(F.sum("k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = per.select("n", before.alias("before"))
-    ranked = positions(sizes, ["n"], [F.col("component")], value_bins(sizes, "component")).withColumn("at", F.col("at") - 1).drop("of")
-    rows = ranked.join(offsets, "n").withColumn("number", F.col("at") + F.col("before"))
-    digits = F.col("number").cast("string")
+    rows = positions(sizes, [], [F.desc("n"), F.col("component")])
+    digits = (F.col("at") - 1).cast("string")
     padded = F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits)
     return rows.select(F.concat(F.lit(prefix), padded).alias("cluster_id"), "component", "n")
 

@@ -7,16 +7,17 @@ Undefined values are null.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.ranks import BUCKETS, percentile, running
+from plumbline.operators.ranks import joined, percentile, running
+from plumbline.staging import staged
 
 TARGET_FPR = 0.05
 BINS = 10
 
 
-def auc(df: DataFrame, by: list[str], positive: Column | str, score: str = "score", buckets: int = BUCKETS) -> DataFrame:
+def auc(df: DataFrame, by: list[str], positive: Column | str, score: str = "score", buckets: int | None = None) -> DataFrame:
     """Tie-aware area under the ROC curve: ``(by, n_pos, n_neg, auc)``.
 
     Integer-exact: twice the wins of positives over negatives, ties counted
@@ -33,7 +34,7 @@ def auc(df: DataFrame, by: list[str], positive: Column | str, score: str = "scor
     return found.select(*by, "n_pos", "n_neg", F.when(pairs > 0, F.col("w").cast("double") / pairs).alias("auc"))
 
 
-def detection(df: DataFrame, by: list[str], positive: str, target: float = TARGET_FPR, buckets: int = BUCKETS) -> DataFrame:
+def detection(df: DataFrame, by: list[str], positive: str, target: float = TARGET_FPR, buckets: int | None = None) -> DataFrame:
     """``(by, threshold, fpr_realized)``: detected is a score strictly below the threshold."""
     pos = df.where(positive).where("score is not null")
     thr = percentile(pos, by, "score", target, "threshold", buckets)
@@ -64,17 +65,20 @@ def ece(df: DataFrame, by: list[str], label: str = "label", bins: int = BINS) ->
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str = "score") -> DataFrame:
-    """Rank correlation in each group (a group fits a task); a constant side gives 0."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    """Rank correlation in each group; a constant side gives 0.
 
-    def rank(c: str) -> Column:
-        below = F.rank().over(Window.partitionBy(*by).orderBy(c))
-        ties = F.count("*").over(Window.partitionBy(*by, c))
-        return below + (ties - 1) / 2.0
-
-    rows = rows.select(*by, rank(x).alias("rx"), rank(y).alias("ry"))
-    moments = rows.groupBy(*by).agg(F.count("*").alias("n"), F.covar_pop("rx", "ry").alias("c"), F.stddev_pop("rx").alias("a"), F.stddev_pop("ry").alias("b"))
-    return moments.select(*by, "n", F.coalesce(F.try_divide("c", F.col("a") * F.col("b")), F.lit(0.0)).alias("rho"))
+    Equal (x, y) are counted first, each side is ranked over its own values, and the moments are sums
+    about the middle rank, which is known: a group of any size is spread over tasks.
+    """
+    cells = staged(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_c")), "cells")
+    for side in ("_x", "_y"):
+        counted = cells.groupBy(*by, side).agg(F.sum("_c").alias("_n"))
+        ranked = running(counted, by, side, {"_below": "_n"}, totals={"_all": "_below"})
+        middle = F.col("_below") + (F.col("_n") - F.col("_all")) / 2  # the mean rank less the middle one
+        cells = joined(cells, ranked.select(*by, side, middle.alias(f"{side}_r"), *(["_all"] if side == "_x" else [])), [*by, side])
+    a, b, c = F.col("_x_r"), F.col("_y_r"), F.col("_c")
+    moments = cells.groupBy(*by).agg(F.max("_all").alias("n"), F.sum(c * a * b).alias("ab"), F.sum(c * a * a).alias("aa"), F.sum(c * b * b).alias("bb"))
+    return moments.select(*by, "n", F.coalesce(F.try_divide("ab", F.sqrt("aa") * F.sqrt("bb")), F.lit(0.0)).alias("rho"))
 
 
 def spearman_summary(groups: DataFrame, by: list[str]) -> DataFrame:

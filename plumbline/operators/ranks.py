@@ -1,57 +1,74 @@
-"""Ranks, running sums and percentiles that do not put a group in one task.
-
-Values are first counted (map-side combined), so ties shrink the data.  Running
-sums are then taken in two steps: inside value buckets, whose bounds are
-approximate quantiles of the counted values, and over bucket totals.  A window
-over a whole group only ever sees ``buckets`` rows of that group.
+"""Ranks, positions, running sums and percentiles by one range partitioning, for any orderable values.
+
+Rows are range partitioned by (group, value) and written once with the number of
+their partition.  A running sum is then the sum inside a partition, plus the
+totals of the group's partitions before it: a window sees one partition of one
+group, or one row for each partition of a group.  A group of any size is thus spread
+over as many tasks as its rows need, many small groups share one, and groups of
+unlike scale do not meet in a bucket.  Values may be numbers, strings, dates or
+structs.  Ties are counted before they are ranked (``running``), or told apart by a
+row number (``positions``), so that one value repeated does not fill a task either.
+
+Partitions are as many as the session's shuffle partitions unless ``parts`` says how
+many; a partition then holds about rows / parts rows.  Null groups are groups.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from plumbline.staging import staged
+
+
+def ranged(df: DataFrame, keys: list[Column | str], parts: int | None = None) -> DataFrame:
+    """``df`` range partitioned by ``keys``, written with the partition's number in ``_part``."""
+    dealt = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
+    return staged(dealt.withColumn("_part", F.spark_partition_id()), "ranged")
 
 
-def _bucketed(df: DataFrame, value: str, buckets: int) -> DataFrame:
-    points = sorted(set(df.approxQuantile(value, [i / buckets for i in range(1, buckets)], 1 / (4 * buckets)))) if buckets > 1 else []
-    if not points:
-        return df.withColumn("_bucket", F.lit(0.0))
-    splits = [float("-inf"), *points, float("inf")]
-    return Bucketizer(splits=splits, inputCol=value, outputCol="_bucket", handleInvalid="keep").transform(df)
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which null keys are equal; the left side's keys stay."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(named, on, how).drop(*(f"_right_{k}" for k in keys))
 
 
-def running(df: DataFrame, by: list[str], value: str, sums: dict[str, str], buckets: int = BUCKETS) -> DataFrame:
+def _offsets(rows: DataFrame, by: list[str], sums: dict[str, Column]) -> DataFrame:
+    """``(by, _part, _o_name, _t_name)``: each sum over the group's earlier partitions, and over the group."""
+    per = rows.groupBy(*by, "_part").agg(*(c.alias(f"_s_{n}") for n, c in sums.items()))
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    out = [F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums]
+    return per.select(*by, "_part", *out, *(F.sum(f"_s_{n}").over(group).alias(f"_t_{n}") for n in sums))
+
+
+def running(df: DataFrame, by: list[str], value: str, sums: dict[str, str], buckets: int | None = None, totals: dict[str, str] | None = None) -> DataFrame:
     """Add, for each ``name: column`` in ``sums``, the sum of ``column`` over smaller values in the group.
 
-    ``df`` has one row for each group and value.
+    ``df`` has one row for each group and value.  ``totals`` (``name: name in sums``) adds the group's
+    whole sums.  ``buckets`` is the number of range partitions.
     """
-    rows = _bucketed(df, value, buckets)
-    totals = rows.groupBy(*by, "_bucket").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
-    over = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "_bucket", *(F.coalesce(F.sum(f"_t_{n}").over(over), F.lit(0)).alias(f"_o_{n}") for n in sums))
-    inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({f"_i_{n}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
-    rows = rows.join(totals, [*by, "_bucket"])
-    return rows.select(*df.columns, *((F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums))
+    rows = ranged(df, [*by, value], buckets)
+    inside = Window.partitionBy("_part", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.withColumns({f"_i_{n}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
+    met = joined(summed, _offsets(rows, by, {n: F.sum(c) for n, c in sums.items()}), [*by, "_part"])
+    whole = [F.col(f"_t_{n}").alias(name) for name, n in (totals or {}).items()]
+    return met.select(*df.columns, *((F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums), *whole)
 
 
-def average_ranks(df: DataFrame, by: list[str], value: str, out: str = "rank", buckets: int = BUCKETS) -> DataFrame:
+def average_ranks(df: DataFrame, by: list[str], value: str, out: str = "rank", buckets: int | None = None) -> DataFrame:
     """Rows of ``df`` with their rank in the group, ties sharing the mean rank."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
     ranked = running(counted, by, value, {"_below": "_n"}, buckets)
     ranked = ranked.select(*by, value, (F.col("_below") + (F.col("_n") + 1) / 2).alias(out))
-    return df.join(ranked, [*by, value])
+    return joined(df, ranked, [*by, value])
 
 
-def percentile(df: DataFrame, by: list[str], value: str, p: float, out: str = "percentile", buckets: int = BUCKETS) -> DataFrame:
+def percentile(df: DataFrame, by: list[str], value: str, p: float, out: str = "percentile", buckets: int | None = None) -> DataFrame:
     """Linearly interpolated percentile of each group, exact."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    sums = running(counted, by, value, {"_below": "_n"}, buckets)
-    total = counted.groupBy(*by).agg(F.sum("_n").alias("_all"))
-    rows = sums.join(total, by) if by else sums.join(F.broadcast(total))  # one row where there is no group
+    rows = running(counted, by, value, {"_below": "_n"}, buckets, {"_all": "_below"})
     at = (F.col("_all") - 1) * F.lit(float(p))
     last = F.col("_below") + F.col("_n") - 1
     holds = lambda k: (F.col("_below") <= k) & (last >= k)
@@ -63,24 +80,9 @@ def percentile(df: DataFrame, by: list[str], value: str, p: float, out: str = "p
     return picked.select(*by, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias(out))
 
 
-def positions(df: DataFrame, by: list[str], order: list[Column], bin_: Column, at: str = "at", of: str = "of") -> DataFrame:
-    """Rows with their position in the group (from 1) and the group's size.
-
-    ``bin_`` must rise with ``order``: rows are numbered inside a bin, and bins by their counts, so a
-    task sees one bin of a group and a window over a group sees a row a bin.
-    """
-    rows = df.withColumn("_bin", bin_)
-    counts = rows.groupBy(*by, "_bin").agg(F.count("*").alias("_n"))
-    group = Window.partitionBy(*by)
-    before = F.coalesce(F.sum("_n").over(group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(*by, "_bin", before.alias("_before"), F.sum("_n").over(group).alias(of))
-    inside = F.row_number().over(Window.partitionBy(*by, "_bin").orderBy(*order))
-    return rows.withColumn("_inside", inside).join(counts, [*by, "_bin"]).withColumn(at, F.col("_before") + F.col("_inside")).drop("_bin", "_before", "_inside")
-
-
-def value_bins(df: DataFrame, value: str, rows: int = 50_000) -> Column:
-    """A bin of about ``rows`` rows for each value, rising with it, by approximate quantiles."""
-    bins = max(1, -(-df.count() // rows))
-    points = sorted(set(df.approxQuantile(value, [i / bins for i in range(1, bins)], 1 / (4 * bins)))) if bins > 1 else []
-    edges = F.array(*(F.lit(float(x)) for x in points)).cast("array<double>")
-    return F.size(F.filter(edges, lambda x: x < F.col(value).cast("double")))
+def positions(df: DataFrame, by: list[str], order: list[Column], at: str = "at", of: str = "of", parts: int | None = None) -> DataFrame:
+    """Rows with their position in the group by ``order`` (from 1) and the group's size; equal rows take any order among them."""
+    rows = ranged(df.withColumn("_row", F.monotonically_increasing_id()), [*by, *order, F.col("_row")], parts)
+    inside = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order, "_row"))
+    met = joined(rows.withColumn("_inside", inside), _offsets(rows, by, {"n": F.count("*")}), [*by, "_part"])
+    return met.select(*df.columns, (F.col("_inside") + F.col("_o_n")).alias(at), F.col("_t_n").alias(of))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import sample_order
-from plumbline.operators.ranks import positions, value_bins
+from plumbline.operators.ranks import positions
 
 
 def seeded_sample(df: DataFrame, item: str, n: int, seed: int, by: list[str] | None = None) -> DataFrame:
@@ -19,8 +19,8 @@ def seeded_sample(df: DataFrame, item: str, n: int, seed: int, by: list[str] | N
 
 
 def stride_sample(df: DataFrame, order: list[str], n: int, by: list[str]) -> DataFrame:
-    """Every ``max(1, size // n)``-th row of each group, at most ``n``; the first column of ``order`` is a number."""
-    rows = positions(df, by, [F.col(c) for c in order], value_bins(df, order[0]), "_at", "_of")
+    """Every ``max(1, size // n)``-th row of each group, at most ``n``."""
+    rows = positions(df, by, [F.col(c) for c in order], "_at", "_of")
     rows = rows.withColumn("_at", F.col("_at") - 1).withColumn("_step", F.greatest(F.lit(1), F.floor(F.col("_of") / n)))
     return rows.where((F.col("_at") % F.col("_step") == 0) & (F.col("_at") / F.col("_step") < n)).drop("_at", "_of", "_step")
 

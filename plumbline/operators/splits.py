@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import sample_order
-from plumbline.operators.ranks import positions, value_bins
+from plumbline.operators.ranks import positions
 
 SPLITS = ("train", "val", "test", "temporal_test")
 
@@ -14,16 +14,14 @@ SPLITS = ("train", "val", "test", "temporal_test")
 def temporal_holdout(info: DataFrame, anchor: str, percent: int = 15) -> DataFrame:
     """The newest ``max(1, floor(percent of n))`` clusters of the anchor brand; a missing date is the oldest."""
     rows = info.where(F.col("brand") == anchor).select("component", F.coalesce("date", F.lit(0)).alias("date"))
-    rows = rows.withColumn("age", -F.col("date"))
-    ranked = positions(rows, [], [F.col("age"), F.desc("component")], value_bins(rows, "age"))
+    ranked = positions(rows, [], [F.desc("date"), F.desc("component")])
     keep = F.greatest(F.lit(1), F.floor(F.col("of") * percent / 100))
     return ranked.where(F.col("at") <= keep).select("component", F.lit("temporal_test").alias("split"))
 
 
 def positional_splits(info: DataFrame, by: list[str], seed: int = 42, train: int = 60, train_and_val: int = 75) -> DataFrame:
     """60 / 15 / 25 of each pool in MD5 order, cut at whole positions."""
-    order = sample_order(seed, "component")
-    rows = positions(info, by, [order, F.col("component")], F.substring(order, 1, 3))  # 4096 bins a pool
+    rows = positions(info, by, [sample_order(seed, "component"), F.col("component")])
     cut = lambda p: F.floor(F.col("of") * p / 100)
     split = F.when(F.col("at") <= cut(train), "train").when(F.col("at") <= cut(train_and_val), "val").otherwise("test")
     return rows.select("component", split.alias("split"))

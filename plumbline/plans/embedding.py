@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import hamming, hash_from_hex
-from plumbline.operators import calibrate, clusters, embedding, metrics, probes
+from plumbline.operators import calibrate, clusters, embedding, metrics, probes, similar
 from plumbline.operators.components import connected_components
 from plumbline.plans.carriers import VECTORS_SQL, vectors
 from plumbline.plans.judging import auc_sql
@@ -173,7 +173,7 @@ COMPONENTS_SQL = f"{_EDGES}, rc AS (SELECT item_id AS n, item_id AS r FROM ve UN
 
 def members(spark, sf):
     rows = vectors(spark, sf)
-    return clusters.clusters(rows, clusters.cosine_pairs(rows, "label", COSINE))
+    return clusters.clusters(rows, similar.similar_links(rows, "label", COSINE))
 
 
 @query(f"WITH RECURSIVE {COMPONENTS_SQL} SELECT item_id, component FROM cc")
@@ -185,7 +185,7 @@ def components(spark, sf):
 def hybrid_components(spark, sf):
     """Clusters of vectors linked by cosine or by the hash of the document with the same id."""
     rows = vectors(spark, sf).join(_text_hashes(spark, sf).drop("source"), "item_id", "left")
-    return clusters.clusters(rows, clusters.hybrid_pairs(rows, "label", least=COSINE))
+    return clusters.clusters(rows, clusters.hybrid_links(rows, "label", least=COSINE))
 
 
 @query(f"WITH RECURSIVE {COMPONENTS_SQL}, s AS (SELECT component, count(*) AS n FROM cc GROUP BY 1) SELECT 'h' || lpad((row_number() OVER (ORDER BY n DESC, component) - 1)::varchar, 4, '0') AS cluster_id, component, n FROM s")
