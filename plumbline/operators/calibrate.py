@@ -5,58 +5,99 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.scalars import sigmoid
 from plumbline.functions.vectors import dot
+from plumbline.operators.ranks import joined
 from plumbline.staging import staged
 
 
-def platt_newton(df: DataFrame, x: str = "similarity", y: str = "label", steps: int = 200, ridge: float = 1e-9, tolerance: float = 1e-12) -> tuple[float, float]:
-    """Slope and intercept by Newton's method; five sums a step."""
-    a, b = 0.0, 0.0
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).persist()
-    try:
-        for _ in range(steps):
-            p = sigmoid(F.lit(a) * F.col("x") + F.lit(b))
-            r, w = p - F.col("y"), p * (1 - p)
-            s = rows.agg(*(F.sum(e).alias(n) for n, e in {"ga": r * F.col("x"), "gb": r, "haa": w * F.col("x") * F.col("x"), "hab": w * F.col("x"), "hbb": w}.items())).first()
-            if s["gb"] is None:
-                break
-            h = np.array([[s["haa"] + ridge, s["hab"]], [s["hab"], s["hbb"] + ridge]])
-            step = np.linalg.solve(h, np.array([s["ga"], s["gb"]]))
-            a, b = a - float(step[0]), b - float(step[1])
-            if np.abs(step).max() < tolerance:
-                break
-    finally:
-        rows.unpersist()
-    return a, b
+def _counted(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """``(by, x, y, n)``, written: equal values are counted once for all steps."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return staged(rows.groupBy(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("n")), "platt-values")
 
 
-def platt_descent(df: DataFrame, x: str = "similarity", y: str = "label", steps: int = 2000, rate: float = 0.5, start: tuple[float, float] = (20.0, -10.0), most_values: int = 100_000) -> tuple[float, float]:
-    """The fixed-budget variant: plain gradient descent, stopped after ``steps`` whether it has settled or not.
+def _with_fits(counted: DataFrame, by: list[str], fits: dict[tuple, tuple[float, float]]) -> DataFrame:
+    """The rows of the groups that are still fitted, with their parameters ``a`` and ``b`` (a row a group)."""
+    frame = _fitted(counted.sparkSession, by, counted.schema, {k: (*map(float, v), 0) for k, v in fits.items()}).drop("steps")
+    return joined(counted, F.broadcast(frame), by)
+
 
-    Equal (x, y) are counted first. Up to ``most_values`` counted values take
-    the steps on the driver; more stay in Parquet, and Spark takes the two sums
-    of each step, one job a step. Both give the same numbers.
+def _fitted(spark: SparkSession, by: list, schema: T.StructType, fits: dict[tuple, tuple]) -> DataFrame:
+    kinds = T.StructType([*(schema[c] for c in by), T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType()), T.StructField("steps", T.IntegerType())])
+    return spark.createDataFrame([(*k, *v) for k, v in fits.items()], kinds)
+
+
+def platt_newton_by(df: DataFrame, by: list[str], x: str = "similarity", y: str = "label", steps: int = 200, ridge: float = 1e-9, tolerance: float = 1e-12) -> DataFrame:
+    """``(by, a, b, steps)``: slope and intercept of each group by Newton's method.
+
+    One job a step takes the five sums of all groups; a group that has settled leaves
+    the next steps' rows.  The driver holds a row a group.  Groups without rows do not appear.
+    """
+    counted = _counted(df, by, x, y)
+    done: dict[tuple, tuple] = {}
+    fits = {tuple(r): (0.0, 0.0) for r in counted.select(*by).distinct().collect()}
+    for k in range(1, steps + 1):
+        if not fits:
+            break
+        p = sigmoid(F.col("a") * F.col("x") + F.col("b"))
+        rows = _with_fits(counted, by, fits).withColumn("r", F.col("n") * (p - F.col("y"))).withColumn("w", F.col("n") * p * (1 - p))
+        sums = {"ga": F.col("r") * F.col("x"), "gb": F.col("r"), "haa": F.col("w") * F.col("x") * F.col("x"), "hab": F.col("w") * F.col("x"), "hbb": F.col("w")}
+        for s in rows.groupBy(*by).agg(*(F.sum(e).alias(f"_{n}") for n, e in sums.items())).collect():
+            key = tuple(s[c] for c in by)
+            h = np.array([[s["_haa"] + ridge, s["_hab"]], [s["_hab"], s["_hbb"] + ridge]])
+            step = np.linalg.solve(h, np.array([s["_ga"], s["_gb"]]))
+            fits[key] = fits[key][0] - float(step[0]), fits[key][1] - float(step[1])
+            if np.abs(step).max() < tolerance or k == steps:
+                done[key] = (*fits.pop(key), k)
+    return _fitted(df.sparkSession, by, counted.schema, done)
+
+
+def platt_descent_by(df: DataFrame, by: list[str], x: str = "similarity", y: str = "label", steps: int = 2000, rate: float = 0.5, start: tuple[float, float] = (20.0, -10.0), most_values: int = 100_000) -> DataFrame:
+    """``(by, a, b, steps)`` by the fixed-budget variant: plain gradient descent, stopped after ``steps`` whether it has settled or not.
+
+    All groups take a step together.  Equal (x, y) are counted first.  Up to ``most_values``
+    counted values of all groups take the steps on the driver; more stay in Parquet, and Spark takes the
+    sums of each step, one job a step.  Both give the same numbers.
     """
-    counted = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("n"))
-    counted = staged(counted, "platt-values")
-    a, b = start
+    counted = _counted(df, by, x, y)
     if counted.count() > most_values:
-        total = counted.agg(F.sum("n")).first()[0]
+        fits = {tuple(r): start for r in counted.select(*by).distinct().collect()}
         for _ in range(steps):
-            r = F.col("n") * (sigmoid(F.lit(a) * F.col("x") + F.lit(b)) - F.col("y"))
-            s = counted.agg(F.sum(r * F.col("x")).alias("ga"), F.sum(r).alias("gb")).first()
-            a, b = a - rate * s["ga"] / total, b - rate * s["gb"] / total
-        return float(a), float(b)
-    got = counted.orderBy("x", "y").toPandas()
-    v, t, n = (got[c].to_numpy(float) for c in ("x", "y", "n"))
+            r = F.col("n") * (sigmoid(F.col("a") * F.col("x") + F.col("b")) - F.col("y"))
+            sums = _with_fits(counted, by, fits).groupBy(*by).agg(F.sum(r * F.col("x")).alias("_ga"), F.sum(r).alias("_gb"), F.sum("n").alias("_n")).collect()
+            for s in sums:
+                key = tuple(s[c] for c in by)
+                fits[key] = fits[key][0] - rate * s["_ga"] / s["_n"], fits[key][1] - rate * s["_gb"] / s["_n"]
+        return _fitted(df.sparkSession, by, counted.schema, {k: (*map(float, v), steps) for k, v in fits.items()})
+    got = counted.collect()
+    number = {k: i for i, k in enumerate(dict.fromkeys(tuple(r[c] for c in by) for r in got))}
+    of = np.array([number[tuple(r[c] for c in by)] for r in got], np.int64)
+    v, t, n = (np.array([r[c] for r in got], float) for c in ("x", "y", "n"))
+    a, b, total = np.full(len(number), start[0]), np.full(len(number), start[1]), np.bincount(of, n, len(number))
     for _ in range(steps if len(got) else 0):
-        r = n * (1 / (1 + np.exp(-(a * v + b))) - t)
-        a, b = a - rate * (r * v).sum() / n.sum(), b - rate * r.sum() / n.sum()
-    return float(a), float(b)
+        r = n * (1 / (1 + np.exp(-(a[of] * v + b[of]))) - t)
+        a, b = a - rate * np.bincount(of, r * v, len(number)) / total, b - rate * np.bincount(of, r, len(number)) / total
+    return _fitted(df.sparkSession, by, counted.schema, {k: (float(a[i]), float(b[i]), steps) for k, i in number.items()})
+
+
+def _one(fits: DataFrame, start: tuple[float, float]) -> tuple[float, float]:
+    row = fits.first()
+    return (row["a"], row["b"]) if row else start
+
+
+def platt_newton(df: DataFrame, x: str = "similarity", y: str = "label", steps: int = 200, ridge: float = 1e-9, tolerance: float = 1e-12) -> tuple[float, float]:
+    """Slope and intercept of all rows by Newton's method."""
+    return _one(platt_newton_by(df.withColumn("_all", F.lit(1)), ["_all"], x, y, steps, ridge, tolerance), (0.0, 0.0))
+
+
+def platt_descent(df: DataFrame, x: str = "similarity", y: str = "label", steps: int = 2000, rate: float = 0.5, start: tuple[float, float] = (20.0, -10.0), most_values: int = 100_000) -> tuple[float, float]:
+    """Slope and intercept of all rows by the fixed-budget variant."""
+    return _one(platt_descent_by(df.withColumn("_all", F.lit(1)), ["_all"], x, y, steps, rate, start, most_values), start)
 
 
 def logistic(df: DataFrame, features: str, label: str = "label", penalty: float = 1e-3, weight: str | None = None) -> tuple[list[float], float]:

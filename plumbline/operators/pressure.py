@@ -14,6 +14,8 @@ BROAD = (1, 2, 4, 8, 16, 32, 64)
 DEEP = (128, 256, 512)
 DEEP_POOL = 64
 LEAST_PROMPTS = 5
+#: Fixed value: replicates of the seeded curves.
+REPS = 300
 #: Fixed values of the pair harvest: share of the score range, pairs a prompt.
 MIN_GAP = 0.15
 PAIRS = 20
@@ -86,6 +88,31 @@ def bon_curves(pool: DataFrame, deep_judges: list[str] | None = None, sizes: tup
     return points.where(F.col("prompts") >= LEAST_PROMPTS)
 
 
+def bon_bootstrap(pool: DataFrame, reps: int = REPS, seed: int = 7, deep_judges: list[str] | None = None, sizes: tuple = BROAD + DEEP) -> DataFrame:
+    """Seeded best-of-N curves: ``(selector, arm, n, prompts, proxy, proxy_sd, gold, gold_sd)``, means and deviations over replicates.
+
+    In each replicate the items of a prompt stand in an order by MD5 of (seed, replicate, item); the first N are
+    the draw, so draws of one replicate are nested, and the winner is the best score, the first of equals.
+    The first ``max(sizes)`` of each prompt and replicate are kept map-side, so a hot prompt
+    leaves a task with no more than these.
+    """
+    by = ["selector", "prompt_idx"]
+    size = pool.groupBy(*by).agg(F.count("*").alias("all"))
+    drawn = pool.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    drawn = drawn.withColumn("u", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("item_id").cast("string")).cast("binary")))
+    order = Window.partitionBy(*by, "rep").orderBy("u", "item_id")
+    first = drawn.withColumn("at", F.row_number().over(order)).where(F.col("at") <= max(sizes))
+    best = F.max(F.struct("score", -F.col("at"), "gold")).over(Window.partitionBy(*by, "rep").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    picks = first.withColumn("best", best).where(F.col("at").isin(*sizes)).select(*by, "rep", F.col("at").alias("n"), F.col("best.score").alias("score"), F.col("best.gold").alias("gold"))
+    arms = F.array(*(F.struct(F.lit(arm).alias("arm"), F.array(*map(F.lit, grid)).alias("grid")) for arm, grid in (("broad", [s for s in sizes if s <= DEEP_POOL]), ("deep", sizes))))
+    rows = picks.join(size, by).withColumn("arm", F.explode(arms)).where(F.array_contains("arm.grid", F.col("n"))).withColumn("arm", F.col("arm.arm"))
+    rows = rows.where((F.col("arm") == "broad") | (F.col("all") > DEEP_POOL))
+    if deep_judges is not None:
+        rows = rows.where((F.col("arm") == "broad") | F.col("selector").isin(deep_judges))
+    means = rows.groupBy("selector", "arm", "n", "rep").agg(F.count("*").alias("prompts"), F.avg("score").alias("s"), F.avg("gold").alias("g")).where(F.col("prompts") >= LEAST_PROMPTS)
+    return means.groupBy("selector", "arm", "n").agg(F.max("prompts").alias("prompts"), F.avg("s").alias("proxy"), F.stddev_pop("s").alias("proxy_sd"), F.avg("g").alias("gold"), F.stddev_pop("g").alias("gold_sd"))
+
+
 def bon_gaps(curves: DataFrame) -> DataFrame:
     """Per selector, from its deep arm if it has one: peak gold minus final, and least gold."""
     arms = curves.groupBy("selector", "arm").agg((F.max("gold") - F.max_by("gold", "n")).alias("peak_minus_final"), F.min("gold").alias("gold_min"))
@@ -148,16 +175,15 @@ def paired_delta(scores: DataFrame, base: str, tuned: str, slot: list[str], reps
     key = F.concat_ws("|", F.lit(str(seed)), "rep", *slot)
     u = F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
     weight = F.lit(0)
-    for k, bound in enumerate(_poisson_bounds(), 1):
+    for k, bound in enumerate(poisson_bounds(), 1):
         weight = F.when(u >= bound, F.lit(k)).otherwise(weight)
     means = drawn.withColumn("w", weight).groupBy("judge", "rep").agg((F.sum(F.col("w") * F.col("d")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     interval = means.groupBy("judge").agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))  # `reps` rows a judge
     return point.join(interval, "judge")
 
 
-def _poisson_bounds() -> list[float]:
-    import math
-
+def poisson_bounds() -> list[float]:
+    """Chances of at most 0, 1, ... 9 under Poisson(1)."""
     total, out = 0.0, []
     for k in range(10):
         total += math.exp(-1) / math.factorial(k)

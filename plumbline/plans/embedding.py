@@ -43,15 +43,30 @@ def platt_apply(spark, sf):
     return rounded(embedding.embedding_scores(vectors(spark, sf), params), "score")
 
 
-@query()
+#: Newton's steps in the SQL; each is of the last digit long before.
+_NEWTON = 25
+
+
+@query(f"""WITH RECURSIVE {VECTORS_SQL}, pa AS (SELECT label AS j, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM ve WHERE label IN (0, 1, 2) AND item_id % 2 = 0),
+  me AS (SELECT j, list(m ORDER BY i) AS m FROM (SELECT j, i, avg(x::double) AS m FROM pa GROUP BY j, i) GROUP BY j), ce AS (SELECT j, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS c FROM me),
+  sr AS (SELECT j, list_dot_product(vec::double[], c) AS x, (label = j)::int AS y FROM ve, ce WHERE item_id % 2 = 1), n AS (SELECT j, count(*) AS n FROM sr GROUP BY j),
+  nw AS (SELECT j, 0 AS k, 0.0::double AS a, 0.0::double AS b FROM ce UNION ALL
+    SELECT j, k + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
+      SELECT j, k, a, b, sum((p - y) * x) AS ga, sum(p - y) AS gb, sum(p * (1 - p) * x * x) + 1e-9 AS haa, sum(p * (1 - p) * x) AS hab, sum(p * (1 - p)) + 1e-9 AS hbb
+      FROM (SELECT nw.j, k, a, b, x, y, 1 / (1 + exp(-(a * x + b))) AS p FROM nw JOIN sr USING (j) WHERE k < {_NEWTON}) GROUP BY j, k, a, b)),
+  gd AS (SELECT j, 0 AS k, 20.0::double AS a, -10.0::double AS b FROM ce UNION ALL
+    SELECT j, k + 1, a - 0.5 * avg((p - y) * x), b - 0.5 * avg(p - y) FROM (SELECT gd.j, k, a, b, x, y, 1 / (1 + exp(-(a * x + b))) AS p FROM gd JOIN sr USING (j) WHERE k < 2000) GROUP BY j, k, a, b)
+SELECT 'centroid ' || j AS judge, 'newton' AS method, n, round(a, 6) AS a, round(b, 6) AS b FROM nw JOIN n USING (j) WHERE k = {_NEWTON}
+UNION ALL SELECT 'centroid ' || j, 'gd2000', n, round(a, 6), round(b, 6) FROM gd JOIN n USING (j) WHERE k = 2000""")
 def platt_fit(spark, sf):
-    """Both calibration methods on the odd ids; iterative, so without SQL."""
-    rows = embedding.similarity(vectors(spark, sf), _centroid(spark, sf)).where("item_id % 2 = 1")
-    rows = rows.select("similarity", (F.col("label") == ANCHOR).cast("int").alias("label"))
-    newton, descent = calibrate.platt_newton(rows), calibrate.platt_descent(rows)
-    n = rows.agg(F.count("*").alias("n"))
-    made = F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.lit(a).alias("a"), F.lit(b).alias("b")) for m, (a, b) in (("newton", newton), ("gd2000", descent))))).alias("p")
-    return n.select("n", made).select("p.method", "n", r6("p.a").alias("a"), r6("p.b").alias("b"))
+    """Both calibration methods for three judges, each the similarity to one label's centroid, on the odd ids: all judges in one job a step."""
+    name = F.concat(F.lit("centroid "), F.col("label").cast("string"))
+    train = vectors(spark, sf).where("label in (0, 1, 2) and item_id % 2 = 0").withColumn("judge", name)
+    rows = embedding.similarity(vectors(spark, sf).where("item_id % 2 = 1"), embedding.centroid(train, ["judge"]))
+    rows = rows.select("judge", "similarity", (name == F.col("judge")).cast("int").alias("label"))
+    n = rows.groupBy("judge").agg(F.count("*").alias("n"))
+    fits = calibrate.platt_newton_by(rows, ["judge"]).withColumn("method", F.lit("newton")).unionByName(calibrate.platt_descent_by(rows, ["judge"]).withColumn("method", F.lit("gd2000")))
+    return fits.join(n, "judge").select("judge", "method", "n", r6("a").alias("a"), r6("b").alias("b"))
 
 
 @query(f"""WITH {VECTORS_SQL}, pr AS (SELECT q.item_id AS query_id, b.item_id, list_dot_product(q.vec::double[], b.vec::double[]) AS s FROM ve q JOIN ve b ON q.item_id % 100 = 0 AND q.item_id <> b.item_id)

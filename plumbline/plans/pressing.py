@@ -54,6 +54,22 @@ def bon_curve_exact(spark, sf):
     return curves.withColumns({c: F.round(c, 5) for c in ("proxy", "proxy_sd", "gold", "gold_sd")})
 
 
+#: Replicates of the seeded curves in the query; the operator's default is 300.
+_REPS = 40
+
+
+@query(f"""WITH {_POOL}, al AS (SELECT selector, prompt_idx, count(*) AS total FROM gp GROUP BY ALL),
+  dr AS (SELECT gp.*, rep, row_number() OVER (PARTITION BY selector, prompt_idx, rep ORDER BY md5('7:' || rep || ':' || item_id), item_id) AS pos FROM gp, range(1, {_REPS + 1}) t(rep)),
+  be AS (SELECT selector, prompt_idx, rep, pos, arg_max(score, row(score, -pos)) OVER w AS s, arg_max(gold, row(score, -pos)) OVER w AS g FROM dr WHERE pos <= 512 WINDOW w AS (PARTITION BY selector, prompt_idx, rep ORDER BY pos)),
+  ar AS (SELECT 'broad' AS arm, n FROM (VALUES (1), (2), (4), (8), (16), (32), (64)) v(n) UNION ALL SELECT 'deep', n FROM (VALUES (1), (2), (4), (8), (16), (32), (64), (128), (256), (512)) v(n)),
+  me AS (SELECT selector, arm, n, rep, count(*) AS prompts, avg(s) AS s, avg(g) AS g FROM be JOIN al USING (selector, prompt_idx) JOIN ar ON ar.n = pos AND (arm = 'broad' OR total > 64) GROUP BY ALL HAVING count(*) >= 5)
+SELECT selector, arm, n::int AS n, max(prompts) AS prompts, round(avg(s), 5) AS proxy, round(stddev_pop(s), 5) AS proxy_sd, round(avg(g), 5) AS gold, round(stddev_pop(g), 5) AS gold_sd FROM me GROUP BY selector, arm, n""")
+def bon_curve_bootstrap(spark, sf):
+    """Best-of-N by seeded nested draws, with the spread over replicates."""
+    curves = pressure.bon_bootstrap(_pool(spark, sf), _REPS)
+    return curves.withColumns({c: F.round(c, 5) for c in ("proxy", "proxy_sd", "gold", "gold_sd")})
+
+
 @query(f"""WITH {_CURVE}, ga AS (SELECT selector, arm, max(gold) - arg_max(gold, n) AS peak_minus_final, min(gold) AS gold_min FROM cu GROUP BY ALL)
 SELECT selector, round(arg_max(peak_minus_final, arm = 'deep'), 5) AS peak_minus_final, round(arg_max(gold_min, arm = 'deep'), 5) AS gold_min FROM ga GROUP BY selector""")
 def bon_gaps(spark, sf):
@@ -110,7 +126,14 @@ def paired_slot_delta(spark, sf):
     return rows.select("judge", "slots", r6("delta").alias("delta"))
 
 
-@query()
+_WEIGHT = "CASE " + " ".join(f"WHEN u < {bound!r}::double THEN {k}" for k, bound in enumerate(pressure.poisson_bounds())) + f" ELSE {len(pressure.poisson_bounds())} END"
+
+
+@query(f"""WITH {STAGED_SQL}, pt AS (SELECT judge, prompt_idx, cand, avg(score) FILTER (stage = 'base') AS b, avg(score) FILTER (stage = 'tuned') AS t FROM st WHERE kind = 'brand' GROUP BY ALL),
+  sl AS (SELECT judge, prompt_idx, cand, t - b AS d FROM pt WHERE b IS NOT NULL AND t IS NOT NULL),
+  dw AS (SELECT prompt_idx, cand, rep, {_WEIGHT} AS w FROM (SELECT *, ('0x' || substr(md5('7|' || rep || '|' || prompt_idx || '|' || cand), 1, 12))::bigint / 281474976710656.0::double AS u FROM (SELECT DISTINCT prompt_idx, cand FROM sl), range(1, 1001) t(rep))),
+  me AS (SELECT judge, rep, sum(w * d) / nullif(sum(w), 0) AS m FROM sl JOIN dw USING (prompt_idx, cand) GROUP BY judge, rep)
+SELECT judge, slots, round(delta, 6) AS delta, round(low, 6) AS low, round(high, 6) AS high FROM (SELECT judge, count(*) AS slots, avg(d) AS delta FROM sl GROUP BY judge) JOIN (SELECT judge, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM me GROUP BY judge) USING (judge)""")
 def paired_slot_interval(spark, sf):
     """Bootstrap interval of the paired deltas."""
     rows = pressure.paired_delta(staged_scores(spark, sf).where("kind = 'brand'"), "base", "tuned", ["prompt_idx", "cand"])

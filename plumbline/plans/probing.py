@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import colour
-from plumbline.operators import clusters, imaging, metrics, probes
+from plumbline.operators import clusters, imaging, metrics, probes, stacked
 from plumbline.operators.calibrate import logistic, probabilities, standardised
 from plumbline.plans.carriers import VECTORS_SQL, vectors
 from plumbline.plans.judging import auc_sql
@@ -31,6 +31,28 @@ def permutation_floor(spark, sf):
     return rounded(probes.permutation_floor(train, test, "item_id"), "balanced_accuracy")
 
 
+_STEPS, _RATE, _PENALTY = 12, 0.5, 0.01
+_DESCENT = f"""WITH RECURSIVE {VECTORS_SQL}, xs AS (SELECT item_id, 0 AS i, 1.0::double AS x FROM ve WHERE item_id % 3 <> 0 UNION ALL SELECT item_id, unnest(range(1, 65)), unnest(vec)::double FROM ve WHERE item_id % 3 <> 0),
+  ys AS (SELECT item_id, m, (CASE m WHEN 0 THEN label < 5 WHEN 1 THEN label % 2 = 0 ELSE item_id % 2 = 0 END)::int AS y FROM ve, range(0, 3) t(m) WHERE item_id % 3 <> 0 AND NOT (m = 1 AND label = 9)),
+  c AS (SELECT m, count(*) AS n FROM ys GROUP BY m),
+  gd AS (SELECT m, i, 0 AS k, 0.0::double AS w FROM range(0, 3) t(m), range(0, 65) u(i) UNION ALL
+    SELECT m, i, k + 1, w - {_RATE} * (g / n + CASE WHEN i > 0 THEN {_PENALTY} * w ELSE 0 END) FROM (
+      SELECT gd.m, gd.i, gd.k, gd.w, c.n, gr.g FROM gd JOIN c USING (m) JOIN (
+        SELECT z.m, xs.i, sum((1 / (1 + exp(-z.z)) - ys.y) * xs.x) AS g FROM (SELECT h.m, xs.item_id, sum(h.w * xs.x) AS z FROM gd h JOIN xs ON xs.i = h.i GROUP BY h.m, xs.item_id) z
+        JOIN ys ON ys.item_id = z.item_id AND ys.m = z.m JOIN xs ON xs.item_id = z.item_id GROUP BY z.m, xs.i) gr ON gr.m = gd.m AND gr.i = gd.i WHERE gd.k < {_STEPS}))
+SELECT m::int AS model, i::int AS place, round(w, 6) AS w FROM gd WHERE k = {_STEPS}"""
+
+
+@query(_DESCENT)
+def stacked_descent(spark, sf):
+    """Three models over the same vectors, a dozen gradient steps of all together; entry 0 is the intercept.  The second leaves out a label."""
+    rows = vectors(spark, sf).where("item_id % 3 <> 0")
+    labels = F.array(*(c.cast("double") for c in (F.col("label") < 5, F.when(F.col("label") != 9, F.col("label") % 2 == 0), F.col("item_id") % 2 == 0)))
+    found = stacked.descend(rows.select(F.col("vec").alias("features"), labels.alias("labels"), F.array(*[F.lit(1.0)] * 3).alias("weights")), [_PENALTY] * 3, _STEPS, _RATE)
+    cells = [(m, (i + 1) % len(w), float(x)) for m, w in enumerate(found) for i, x in enumerate(w)]
+    return rounded(spark.createDataFrame(cells, "model int, place int, w double"), "w")
+
+
 @query()
 def rules_fit(spark, sf):
     """The penalised logistic judge over standardised features of documents."""
