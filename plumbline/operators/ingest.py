@@ -46,10 +46,16 @@ def post_images(posts: DataFrame, owners: dict[str, str]) -> DataFrame:
 
 
 def first_seen(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
-    """The first row of each key: a map-side-combined minimum, then one join on the key."""
-    rows = df.withColumn("_key", key)
-    first = rows.groupBy("_key").agg(F.min(F.struct(*order)).alias("_first"))
-    return rows.join(first, "_key").where(F.struct(*order) == F.col("_first")).drop("_key", "_first")
+    """The first row of each key by ``order``: a map-side-combined minimum, then one join on the key.
+
+    A null key is a key like any other.  Rows of one key and equal order are told apart by a hash of
+    all their columns (maps left out), and of wholly equal rows one stays.
+    """
+    whole = [c for c, kind in df.dtypes if "map<" not in kind]
+    rows = df.withColumn("_key", key).withColumn("_order", F.struct(*order, F.xxhash64(*whole).alias("_tie")))
+    first = rows.groupBy(F.col("_key").alias("_same")).agg(F.min("_order").alias("_first"))
+    met = rows.join(first, F.col("_key").eqNullSafe(F.col("_same"))).where(F.col("_order").eqNullSafe(F.col("_first")))
+    return met.dropDuplicates(["_key"]).drop("_key", "_same", "_order", "_first")
 
 
 def union_sources(parts: dict[str, DataFrame]) -> DataFrame:

@@ -154,22 +154,22 @@ def sign_hashes(spark, sf):
 
 
 @query("""WITH t AS (SELECT doc_id, source, ('0x' || substr(md5(text), 1, 15))::bigint AS h FROM documents),
-  h AS (SELECT doc_id, source, CASE WHEN doc_id % 2 = 1 THEN xor(h, 1::bigint << (doc_id % 60)::int) ELSE h END AS h FROM t),
+  h AS (SELECT doc_id, source, xor(h, ((1::bigint << (doc_id % 10)::int) - 1) << (doc_id % 50)::int) AS h FROM t),
   one AS (SELECT source, h, min(doc_id) AS doc_id FROM h GROUP BY ALL)
 SELECT a.doc_id AS u, b.doc_id AS v, bit_count(xor(a.h, b.h))::int AS bits FROM one a JOIN one b ON a.source = b.source AND a.doc_id < b.doc_id AND bit_count(xor(a.h, b.h)) <= 8
 UNION ALL SELECT one.doc_id, h.doc_id, 0 FROM h JOIN one USING (source, h) WHERE h.doc_id > one.doc_id""")
 def near_pairs_hamming(spark, sf):
-    """Documents by a hash of their text, every other one with a bit turned over: copies lie up to two bits apart."""
+    """Documents by a hash of their text with none to nine neighbouring bits turned over: copies lie up to eighteen bits apart, on both sides of the limit and of band edges."""
     return clusters.hamming_pairs(_text_hashes(spark, sf), "source")
 
 
 def _text_hashes(spark, sf):
     bits = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 15), 16, 10).cast("long")
-    turned = F.when(F.col("doc_id") % 2 == 1, bits.bitwiseXOR(F.expr("shiftleft(1L, int(doc_id % 60))"))).otherwise(bits)
+    turned = bits.bitwiseXOR(F.expr("shiftleft(shiftleft(1L, int(doc_id % 10)) - 1L, int(doc_id % 50))"))
     return table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "source", turned.alias("hash"))
 
 
-_HYBRID = """ha AS (SELECT vec_id AS item_id, label, CASE WHEN doc_id % 2 = 1 THEN xor(h, 1::bigint << (doc_id % 60)::int) ELSE h END AS h
+_HYBRID = """ha AS (SELECT vec_id AS item_id, label, xor(h, ((1::bigint << (doc_id % 10)::int) - 1) << (doc_id % 50)::int) AS h
     FROM embeddings JOIN (SELECT doc_id, ('0x' || substr(md5(text), 1, 15))::bigint AS h FROM documents) ON doc_id = vec_id),
   cl AS (SELECT u, v FROM ed UNION SELECT a.item_id, b.item_id FROM ha a JOIN ha b ON a.label = b.label AND a.item_id <> b.item_id AND bit_count(xor(a.h, b.h)) <= 8),
   rc AS (SELECT item_id AS n, item_id AS r FROM ve UNION SELECT rc.n, cl.v FROM rc JOIN cl ON cl.u = rc.r)"""

@@ -85,6 +85,7 @@ def rubric_scores(spark, sf):
 
 @query(f"WITH c AS (SELECT event_type AS judge, {K_SQL} * 10 AS i, {K_SQL} * 4 AS c, {K_SQL} % 7 AS o FROM events) SELECT judge, sum(i)::bigint AS tokens_in, sum(c)::bigint AS cached, sum(o)::bigint AS tokens_out, count(*) AS calls, round(CASE judge WHEN 'click' THEN ((sum(i) - sum(c)) * 2.5 + sum(c) * 1.25 + sum(o) * 10) / 1e6 WHEN 'view' THEN ((sum(i) - sum(c)) * 1.0 + sum(c) * 0.25 + sum(o) * 5) / 1e6 END, 6) AS dollars FROM c GROUP BY judge")
 def usage_cost(spark, sf):
+    """Tokens of each judge; dollars only for the two that have rates, null for the others."""
     e = table(spark, sf, "events").select(F.col("event_type").alias("judge"), (event_k() * 10).alias("tokens_in"), (event_k() * 4).alias("cached"), (event_k() % 7).alias("tokens_out"))
     return rubric.usage(e, {"click": (2.5, 1.25, 10.0), "view": (1.0, 0.25, 5.0)}).withColumn("dollars", r6("dollars"))
 
@@ -168,6 +169,18 @@ def phrase_match(spark, sf):
     return masks.phrase_hits(_lines(spark, sf), "apache", ["licensed under", "mit", "version"], ["license", "version"]).select("item_id", "phrase")
 
 
+@query(f"""WITH {_LINES}, lx AS (SELECT DISTINCT lower(word) AS phrase FROM (SELECT unnest(string_split_regex(text, '[^A-Za-z]+')) AS word FROM benchmark) WHERE length(word) >= 5),
+  fl AS (SELECT item_id, trim(replace(lower(phrase), ' ', ''), '.,!?:;''"()™®') AS flat, count(*) AS n FROM ln GROUP BY ALL)
+SELECT phrase, sum(n)::bigint AS lines, count(DISTINCT item_id) AS items FROM fl JOIN lx ON contains(flat, phrase) GROUP BY phrase""")
+def phrase_index(spark, sf):
+    """How many lines and documents hold each of the thousands of words of the benchmark, blanks left out."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("word")).where(F.length("word") >= 5)
+    rows = _lines(spark, sf).select("item_id", scalars.squeezed("phrase").alias("flat")).groupBy("item_id", "flat").agg(F.count("*").alias("n"))
+    held = masks.held_phrases(rows, "flat", words.select(F.lower("word").alias("phrase")))
+    per = held.select("item_id", "n", F.explode("held").alias("phrase")).groupBy("phrase", "item_id").agg(F.sum("n").alias("n"))
+    return per.groupBy("phrase").agg(F.sum("n").alias("lines"), F.count("*").alias("items"))
+
+
 @query(f"""WITH {_LINES} SELECT item_id, bool_or(contains(trim(replace(lower(phrase), ' ', ''), '.,!?:;''"()™®'), 'apache') AND (length(phrase) % 10) / 10.0 >= 0.4) AS contaminated FROM ln GROUP BY item_id""")
 def contamination(spark, sf):
     return masks.contaminated(_lines(spark, sf), "apache")
@@ -181,7 +194,7 @@ def region_boxes(spark, sf):
     return rows.select("p_partkey", *(F.get(box, F.lit(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))))
 
 
-@query("""SELECT o_custkey, count(*) AS n, CASE WHEN count(*) > 8 THEN count(*) || ' regions > 8' WHEN avg(o_totalprice) / 500000 > 0.55 THEN 'mask too large' WHEN count(*) FILTER (o_orderstatus = 'P') > 0 THEN 'residual after retry' END AS reason FROM orders GROUP BY o_custkey""")
+@query("""SELECT o_custkey, count(*) AS n, CASE WHEN count(*) > 8 THEN 'boxes: ' || count(*) || ' of 8' WHEN avg(o_totalprice) / 500000 > 0.55 THEN 'covers too much' WHEN count(*) FILTER (o_orderstatus = 'P') > 0 THEN 'still readable' END AS reason FROM orders GROUP BY o_custkey""")
 def drop_reasons(spark, sf):
     o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), (F.avg("o_totalprice") / 500000).alias("share"), F.count(F.when(F.col("o_orderstatus") == "P", 1)).alias("left"))
     return o.select("o_custkey", "n", masks.drop_reason(F.col("n"), F.col("share"), F.col("left"), 8, 0.55).alias("reason"))
