@@ -1,16 +1,14 @@
 """Image operators: rows of pixels in, rows of pixels or numbers out.
 
 Measurements are aggregates over the colours of an image with their counts
-(``colour_counts``); only changed pixels and the DCT hash are made in numpy, an
-Arrow batch at a time.  Rows carry ``(item_id, height, width, pixels)``, pixels being RGB bytes; rows
+(``colour_counts``); perturbed pixels and the hash are joins of pixel rows
+(``operators.resample``).  Rows carry ``(item_id, height, width, pixels)``, pixels being RGB bytes; rows
 of Spark's image source hold BGR and go through ``from_image_source`` first.
 """
 
 from __future__ import annotations
 
-import json
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,10 +19,9 @@ from plumbline.functions import colour
 from plumbline.functions import pixels as px
 from plumbline.functions.vectors import let
 from plumbline.operators.masks import wordmarks
+from plumbline.operators.resample import ladder_rows, packed, perceptual_hashes  # noqa: F401  the hash is an image operator
 from plumbline.staging import staged
 
-SEVERITIES = (1, 2, 3)
-
 
 def from_image_source(rows: DataFrame, most: int = 1024) -> DataFrame:
     """Spark image rows (BGR, three channels) -> RGB rows no larger than ``most`` a side."""
@@ -44,30 +41,14 @@ def _array(data: bytes, height: int, width: int) -> np.ndarray:
     return np.frombuffer(bytes(data), np.uint8).reshape(height, width, 3)
 
 
-def ladder(images: DataFrame, generators: dict[str, Callable] | None = None, severities: tuple = SEVERITIES) -> DataFrame:
-    """Each image under each generator and severity, with its ``base`` pixels and a construction record.
+def ladder(images: DataFrame) -> DataFrame:
+    """``(source_id, corruption, severity, height, width, base, pixels)``: each image under each perturbation and severity.
 
-    The random state of a base is set anew for each severity, so that severity
-    is all that varies along a ladder.
+    What is chosen for an image does not depend on the severity, so that severity is all that varies along a ladder.
     """
-    generators = generators or px.GENERATORS
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for r in f.itertuples(index=False):
-                img, out = _array(r.pixels, r.height, r.width), []
-                for name, make in generators.items():
-                    seed = zlib.crc32(f"{r.item_id}|{name}".encode()) & 0x7FFFFFFF
-                    for s in severities:
-                        made, params = make(img, s, np.random.default_rng(seed))
-                        out.append((r.item_id, name, s, seed, json.dumps(params), r.height, r.width, bytes(r.pixels), made.tobytes()))
-                yield pd.DataFrame(out, columns=_LADDER_NAMES)
-
-    return images.select(F.col("item_id").cast("string").alias("item_id"), "height", "width", "pixels").mapInPandas(run, _LADDER)
-
-
-_LADDER = "source_id string, corruption string, severity int, seed long, params string, height int, width int, base binary, pixels binary"
-_LADDER_NAMES = [c.split()[0] for c in _LADDER.split(", ")]
+    made = packed(ladder_rows(images), ["item_id", "corruption", "severity"])
+    base = images.select("item_id", "height", "width", F.col("pixels").alias("base"))
+    return made.join(base, "item_id").select(F.col("item_id").cast("string").alias("source_id"), "corruption", "severity", "height", "width", "base", "pixels")
 
 
 def _pixel(i: Column, name: str = "pixels") -> Column:
@@ -200,18 +181,6 @@ def rule_features(images: DataFrame, palette: list[list[float]], words: DataFram
     return rows.select(*distance.columns, "sat_mean", "colorfulness", F.coalesce("wordmark", F.lit(0.0)).alias("wordmark"), (F.coalesce("covered", F.lit(0)) / F.col("size")).alias("text_frac"))
 
 
-def perceptual_hashes(images: DataFrame) -> DataFrame:
-    """``(item_id, phash)``."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = [px.perceptual_hash(_array(r.pixels, r.height, r.width)) for r in f.itertuples(index=False)]
-            yield pd.DataFrame({"item_id": f["item_id"], "phash": found})
-
-    kind = images.schema["item_id"].dataType.simpleString()
-    return images.select("item_id", "height", "width", "pixels").mapInPandas(run, f"item_id {kind}, phash long")
-
-
 def brand_palette(images: DataFrame, by: str, k: int = 6, steps: int = 25, least_chroma: float = 0.08) -> DataFrame:
     """Palette of each brand from all coloured pixels of its images: ``(brand, lab, share)``."""
     rows = images.withColumn("brand", F.col(by).cast("string"))
