@@ -5,8 +5,8 @@ first preceded by edges, one edge at the end), so its tables grow with the
 trusted text and keep every script apart.
 
 1. N-grams are counted in tasks: how often trusted text holds each, and how
-   often any text does.  Finding trusted text by its id moves each text once;
-   nothing else does.
+   often any text does.  Texts whose id cannot be trusted, by a bitmap of fixed size,
+   stay where they are; only the others move, once, to meet the trusted ids.
 2. Sharded joins on n-grams make the model: discounts come from counts of
    counts; each n-gram joins its context's totals and its suffix's lower-order
    probability; lower orders count distinct left extensions.  N-grams that
@@ -47,6 +47,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.bpe import BITMAP_BITS, _bitmap
 from plumbline.llm.text import append_columns
 from plumbline.operators.ranks import percentile
 from plumbline.staging import staged, table
@@ -192,6 +193,8 @@ def log_probabilities(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]]
     rows = grams.select("gram", F.col("gram").alias("rest"), F.lit(0.0).alias("weight"), F.lit(None).cast("double").alias("lp"))
     for k in range(len(model), 0, -1):
         known, contexts = model[k - 1]
+        # characters are at most as many as code points, so these are bounded; their keys are hot
+        known, contexts = F.broadcast(known) if k == 1 else known, F.broadcast(contexts) if k <= 2 else contexts
         rows = rows.join(known.withColumnRenamed("gram", "rest"), "rest", "left")
         rows = rows.withColumn("lp", F.coalesce("lp", F.col("weight") + F.ln("p"))).drop("p")
         rows = rows.withColumn("context", F.expr(f"left(rest, {k - 1})")).join(contexts, "context", "left")
@@ -299,6 +302,20 @@ def measured(docs: DataFrame, lps: DataFrame, cache: Cache) -> DataFrame:
     return rows.drop("parts").join(late, "row_key", "left").select(*kept, mean.alias("mean"), *worst)
 
 
+def _perhaps(docs: DataFrame, ids: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
+    """The rows of ``docs`` whose doc_id may be one of ``ids``: all that are, and few others while the bitmap is sparse."""
+    held = docs.sparkSession.sparkContext.broadcast(_bitmap(ids.select(F.xxhash64("doc_id").alias("k1")), bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = (batch.column("_key").to_numpy() & (bits - 1)).view(np.uint64)
+            hit = (held.value[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)
+            kept = batch.filter(pa.array(hit.astype(bool)))
+            yield pa.RecordBatch.from_arrays(kept.columns[1:], names=kept.schema.names[1:])
+
+    return docs.select(F.xxhash64("doc_id").alias("_key"), *docs.columns).mapInArrow(run, docs.schema)
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     return good.where("q = 1 and t = 0").select("doc_id")
@@ -323,9 +340,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     """
     trusted = trusted_ids(labels).withColumn("fits", F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD_OUT)) > 0)
     docs = docs.select("doc_id", "lang", "text")
-    # texts move once, to find those that the model fits; the hint keeps one plan at every size.
-    # They are counted again with all, which only moves them forward in the cache.
-    fitted = docs.join(trusted.where("fits").hint("merge"), "doc_id", "left_semi")
+    # the hint keeps one plan at every size; fitted texts are counted again with all, which only moves them forward in the cache
+    fits = trusted.where("fits")
+    fitted = _perhaps(docs, fits).join(fits.hint("merge"), "doc_id", "left_semi")
     grams = staged(counts(docs.select("text", F.lit(False).alias("fits")).unionByName(fitted.select("text", F.lit(True).alias("fits")))), "grams")
     model = fit(grams.where("c > 0").select("gram", "c"))
     lps = staged(log_probabilities(grams, model), "log-probabilities")
