@@ -40,7 +40,7 @@ def test_equals_all_pairs(spark, kind, page, leaf):
         rows.append((name(i), rnd.choice(["a", "a", "b"]), (v / np.linalg.norm(v) * rnd.choice([1.0, 1.0, 3.0])).tolist()))
     rows += [(name(200), "a", None), (name(201), None, [1.0] * 6), (name(202), "a", [1.0, None, 0.0, 0.0, 0.0, 0.0]), (name(203), "a", [float("nan")] * 6), (name(204), "a", [1.0]), (name(205), "a", [1.0]), (name(206), "a", []), (name(207), "b", [0.0] * 6), (name(5), *rows[5][1:]), (name(208), *rows[5][1:]), (None, "a", [1.0] * 6)]
     items = spark.createDataFrame(rows, f"item_id {kind}, brand string, vec array<double>").repartition(3)
-    for least in (0.95, 0.5, 0.0):
+    for least in (0.95, 0.0) if page == 4096 else (0.5,):
         want = brute(rows, least)
         pairs = similar.similar_pairs(items, "brand", least, page, leaf).collect()
         assert {(r["u"], r["v"]) for r in pairs} == want
