@@ -171,13 +171,15 @@ def paired_delta(scores: DataFrame, base: str, tuned: str, slot: list[str], reps
     side = lambda s, name: scores.where(F.col("stage") == s).groupBy("judge", *slot).agg(F.avg("score").alias(name))
     pairs = side(base, "b").join(side(tuned, "t"), ["judge", *slot]).select("judge", *slot, (F.col("t") - F.col("b")).alias("d"))
     point = pairs.groupBy("judge").agg(F.count("*").alias("slots"), F.avg("d").alias("delta"))
-    drawn = pairs.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    # a slot's weight is drawn once for all judges
+    drawn = pairs.groupBy(*slot).agg(F.collect_list(F.struct("judge", "d")).alias("all")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     key = F.concat_ws("|", F.lit(str(seed)), "rep", *slot)
     u = F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
     weight = F.lit(0)
     for k, bound in enumerate(poisson_bounds(), 1):
         weight = F.when(u >= bound, F.lit(k)).otherwise(weight)
-    means = drawn.withColumn("w", weight).groupBy("judge", "rep").agg((F.sum(F.col("w") * F.col("d")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    drawn = drawn.select("rep", "all", weight.alias("w")).where("w > 0").select("rep", "w", F.inline("all"))
+    means = drawn.groupBy("judge", "rep").agg((F.sum(F.col("w") * F.col("d")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     interval = means.groupBy("judge").agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))  # `reps` rows a judge
     return point.join(interval, "judge")
 

@@ -153,24 +153,25 @@ def sign_hashes(spark, sf):
     return vectors(spark, sf).select("item_id", "label", hash_from_hex(F.concat(*(nibble(i) for i in range(16)))).alias("hash"))
 
 
-@query("""WITH t AS (SELECT doc_id, source, ('0x' || substr(md5(text), 1, 15))::bigint AS h FROM documents),
-  h AS (SELECT doc_id, source, xor(h, ((1::bigint << (doc_id % 10)::int) - 1) << (doc_id % 50)::int) AS h FROM t),
-  one AS (SELECT source, h, min(doc_id) AS doc_id FROM h GROUP BY ALL)
-SELECT a.doc_id AS u, b.doc_id AS v, bit_count(xor(a.h, b.h))::int AS bits FROM one a JOIN one b ON a.source = b.source AND a.doc_id < b.doc_id AND bit_count(xor(a.h, b.h)) <= 8
-UNION ALL SELECT one.doc_id, h.doc_id, 0 FROM h JOIN one USING (source, h) WHERE h.doc_id > one.doc_id""")
+@query("""WITH t AS (SELECT doc_id, lang, ('0x' || substr(md5((doc_id // 16)::varchar), 1, 15))::bigint AS h FROM documents),
+  h AS (SELECT doc_id, lang, xor(h, ((1::bigint << (doc_id % 10)::int) - 1) << (doc_id % 50)::int) AS h FROM t),
+  one AS (SELECT lang, h, min(doc_id) AS doc_id FROM h GROUP BY ALL)
+SELECT a.doc_id AS u, b.doc_id AS v, bit_count(xor(a.h, b.h))::int AS bits FROM one a JOIN one b ON a.lang = b.lang AND a.doc_id < b.doc_id AND bit_count(xor(a.h, b.h)) <= 8
+UNION ALL SELECT one.doc_id, h.doc_id, 0 FROM h JOIN one USING (lang, h) WHERE h.doc_id > one.doc_id""")
 def near_pairs_hamming(spark, sf):
-    """Documents by a hash of their text with none to nine neighbouring bits turned over: copies lie up to eighteen bits apart, on both sides of the limit and of band edges."""
-    return clusters.hamming_pairs(_text_hashes(spark, sf), "source")
+    """Documents in families of sixteen ids with one hash, none to nine neighbouring bits of it turned over: relatives lie up to eighteen bits apart, on both sides of the limit and of band edges."""
+    return clusters.hamming_pairs(_family_hashes(spark, sf), "lang")
 
 
-def _text_hashes(spark, sf):
-    bits = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 15), 16, 10).cast("long")
+def _family_hashes(spark, sf):
+    family = F.floor(F.col("doc_id") / 16).cast("string")
+    bits = F.conv(F.substring(F.md5(family.cast("binary")), 1, 15), 16, 10).cast("long")
     turned = bits.bitwiseXOR(F.expr("shiftleft(shiftleft(1L, int(doc_id % 10)) - 1L, int(doc_id % 50))"))
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "source", turned.alias("hash"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "lang", turned.alias("hash"))
 
 
 _HYBRID = """ha AS (SELECT vec_id AS item_id, label, xor(h, ((1::bigint << (doc_id % 10)::int) - 1) << (doc_id % 50)::int) AS h
-    FROM embeddings JOIN (SELECT doc_id, ('0x' || substr(md5(text), 1, 15))::bigint AS h FROM documents) ON doc_id = vec_id),
+    FROM embeddings JOIN (SELECT doc_id, ('0x' || substr(md5((doc_id // 16)::varchar), 1, 15))::bigint AS h FROM documents) ON doc_id = vec_id),
   cl AS (SELECT u, v FROM ed UNION SELECT a.item_id, b.item_id FROM ha a JOIN ha b ON a.label = b.label AND a.item_id <> b.item_id AND bit_count(xor(a.h, b.h)) <= 8),
   rc AS (SELECT item_id AS n, item_id AS r FROM ve UNION SELECT rc.n, cl.v FROM rc JOIN cl ON cl.u = rc.r)"""
 
@@ -198,8 +199,8 @@ def components(spark, sf):
 
 @query(f"WITH RECURSIVE {_EDGES}, {_HYBRID} SELECT n AS item_id, min(r) AS component FROM rc GROUP BY n")
 def hybrid_components(spark, sf):
-    """Clusters of vectors linked by cosine or by the hash of the document with the same id."""
-    rows = vectors(spark, sf).join(_text_hashes(spark, sf).drop("source"), "item_id", "left")
+    """Clusters of vectors linked by cosine or by the family hash of the document with the same id."""
+    rows = vectors(spark, sf).join(_family_hashes(spark, sf).drop("lang"), "item_id", "left")
     return clusters.clusters(rows, clusters.hybrid_links(rows, "label", least=COSINE))
 
 

@@ -63,11 +63,12 @@ _REPS = 40
   be AS (SELECT selector, prompt_idx, rep, pos, arg_max(score, row(score, -pos)) OVER w AS s, arg_max(gold, row(score, -pos)) OVER w AS g FROM dr WHERE pos <= 512 WINDOW w AS (PARTITION BY selector, prompt_idx, rep ORDER BY pos)),
   ar AS (SELECT 'broad' AS arm, n FROM (VALUES (1), (2), (4), (8), (16), (32), (64)) v(n) UNION ALL SELECT 'deep', n FROM (VALUES (1), (2), (4), (8), (16), (32), (64), (128), (256), (512)) v(n)),
   me AS (SELECT selector, arm, n, rep, count(*) AS prompts, avg(s) AS s, avg(g) AS g FROM be JOIN al USING (selector, prompt_idx) JOIN ar ON ar.n = pos AND (arm = 'broad' OR total > 64) GROUP BY ALL HAVING count(*) >= 5)
-SELECT selector, arm, n::int AS n, max(prompts) AS prompts, round(avg(s), 5) AS proxy, round(stddev_pop(s), 5) AS proxy_sd, round(avg(g), 5) AS gold, round(stddev_pop(g), 5) AS gold_sd FROM me GROUP BY selector, arm, n""")
+SELECT selector, arm, n::int AS n, max(prompts) AS prompts, round(avg(s) + 1e-9, 5) AS proxy, round(stddev_pop(s) + 1e-9, 5) AS proxy_sd, round(avg(g) + 1e-9, 5) AS gold, round(stddev_pop(g) + 1e-9, 5) AS gold_sd FROM me GROUP BY selector, arm, n""")
 def bon_curve_bootstrap(spark, sf):
     """Best-of-N by seeded nested draws, with the spread over replicates."""
     curves = pressure.bon_bootstrap(_pool(spark, sf), _REPS)
-    return curves.withColumns({c: F.round(c, 5) for c in ("proxy", "proxy_sd", "gold", "gold_sd")})
+    # means of few tenths may end half way between two digits: all such go up
+    return curves.withColumns({c: F.round(F.col(c) + 1e-9, 5) for c in ("proxy", "proxy_sd", "gold", "gold_sd")})
 
 
 @query(f"""WITH {_CURVE}, ga AS (SELECT selector, arm, max(gold) - arg_max(gold, n) AS peak_minus_final, min(gold) AS gold_min FROM cu GROUP BY ALL)
