@@ -52,10 +52,12 @@ def first_seen(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
     all their columns (maps left out), and of wholly equal rows one stays.
     """
     whole = [c for c, kind in df.dtypes if "map<" not in kind]
-    rows = df.withColumn("_key", key).withColumn("_order", F.struct(*order, F.xxhash64(*whole).alias("_tie")))
-    first = rows.groupBy(F.col("_key").alias("_same")).agg(F.min("_order").alias("_first"))
-    met = rows.join(first, F.col("_key").eqNullSafe(F.col("_same"))).where(F.col("_order").eqNullSafe(F.col("_first")))
-    return met.dropDuplicates(["_key"]).drop("_key", "_same", "_order", "_first")
+    # never null, so that the join and the choice among ties share one partitioning
+    rows = df.withColumn("_key", F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("")))
+    first = rows.groupBy("_key").agg(F.min(F.struct(*order)).alias("_first"))
+    met = rows.join(first, "_key").where(F.struct(*order).eqNullSafe(F.col("_first")))
+    kept = met.groupBy("_key").agg(F.min_by(F.struct(*df.columns), F.xxhash64(*whole)).alias("_row"))
+    return kept.select("_row.*")
 
 
 def union_sources(parts: dict[str, DataFrame]) -> DataFrame:
