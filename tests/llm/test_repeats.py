@@ -123,3 +123,13 @@ def test_a_text_longer_than_a_step(spark):
     found = {r["doc_id"]: r for r in repeats.removed(spark.createDataFrame(rows, "doc_id long, text string"), step=1 << 16).collect()}
     assert [(s["begin"], s["end"]) for s in found[1]["spans"]] == [(200_000, 200_700)] and found[2]["kept"] == b"start##end"
     assert found[3]["n_removed"] == 500_000 and found[4]["n_removed"] == 0
+
+
+def test_the_query_on_the_given_documents(spark):
+    """The whole query, windows of 200 bytes, against a dictionary of all of them."""
+    folder = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    found = repeats.op13_longest_previous_factors(spark, folder)
+    assert found.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    got = sorted((tuple(r) for r in found.collect()), key=str)
+    assert got == brute(rows, repeats.LENGTH, False) and sum(r[2] for r in got) > 0
