@@ -167,7 +167,7 @@ def _case(ladder: dict[int, int]) -> str:
     return "CASE severity " + " ".join(f"WHEN {k} THEN {v}" for k, v in ladder.items()) + " END"
 
 
-def _digit_sql(name: str, modulus: object, more: str = "") -> str:
+def digit_sql(name: str, modulus: object, more: str = "") -> str:
     return f"(('0x' || substr(md5(item_id || '|{name}'{more}), 1, 12))::bigint % ({modulus}))"
 
 
@@ -179,34 +179,34 @@ def _weights_sql(sizes: str) -> str:
   wt AS (SELECT n, m, o, i, round(v / sum(v) OVER (PARTITION BY n, m, o) * 65536)::bigint AS w FROM wv)"""
 
 
-_PIXELS_SQL = """sh AS (SELECT vec_id AS item_id, label::varchar AS brand, [least(greatest(floor(128 + 400 * x::double), 0), 255)::bigint for x in embedding] AS s FROM embeddings),
+PIXELS_SQL = """sh AS (SELECT vec_id AS item_id, label::varchar AS brand, [least(greatest(floor(128 + 400 * x::double), 0), 255)::bigint for x in embedding] AS s FROM embeddings),
   px AS (SELECT item_id, p // 16 AS y, p % 16 AS x, s[p % 64 + 1] AS r, s[(p + 7) % 64 + 1] AS g, s[(p + 14) % 64 + 1] AS b FROM sh, range(256) t(p))"""
 _HELD = lambda k: "[" + ", ".join(str(x[k]) for x in resample.HOLDS) + "]"
 _VIVID = lambda k: "[" + ", ".join(str(v[k]) for v in resample.VIVID) + "]"
-_WIDE = f"{_digit_sql('stretch', 2)} = 1"
+_WIDE = f"{digit_sql('stretch', 2)} = 1"
 _LONGER = f"round(16 * {_case(resample.STRETCH)} / 1000.0)::int"
 
 
 def _ladder_sql() -> str:
     pick = lambda *c: f"[{', '.join(c)}][i % 6 + 1]"
-    return f"""{_PIXELS_SQL}, im AS (SELECT item_id, severity FROM sh, range(1, 4) t(severity)),
+    return f"""{PIXELS_SQL}, im AS (SELECT item_id, severity FROM sh, range(1, 4) t(severity)),
   pl AS (SELECT item_id, severity, 'hue_rotation' AS corruption, {_case(resample.TURN)} AS turn, 100 AS percent FROM im
-    UNION ALL SELECT item_id, severity, 'saturation', 0, CASE WHEN {_digit_sql('saturation', 2)} = 0 THEN {_case(resample.MORE)} ELSE {_case(resample.LESS)} END FROM im),
+    UNION ALL SELECT item_id, severity, 'saturation', 0, CASE WHEN {digit_sql('saturation', 2)} = 0 THEN {_case(resample.MORE)} ELSE {_case(resample.LESS)} END FROM im),
   h1 AS (SELECT item_id, corruption, severity, y, x, greatest(r, g, b) AS v, greatest(r, g, b) - least(r, g, b) AS d, turn, percent,
     CASE WHEN r = g AND g = b THEN 0 WHEN r = greatest(r, g, b) THEN g - b WHEN g = greatest(r, g, b) THEN b - r + 2 * (g - least(r, b)) ELSE r - g + 4 * (b - least(r, g)) END AS lead FROM px JOIN pl USING (item_id)),
   h2 AS (SELECT *, (255 * ((lead + 6 * greatest(d, 1)) % (6 * greatest(d, 1))) // (6 * greatest(d, 1)) + turn) % 256 AS h, least((255 * d // greatest(v, 1)) * percent // 100, 255) AS s FROM h1),
   h3 AS (SELECT *, 6 * h // 255 AS i, (6 * h) % 255 AS f FROM h2),
   h4 AS (SELECT *, (2 * v * (255 - s) + 255) // 510 AS p, (2 * v * (65025 - s * f) + 65025) // 130050 AS q, (2 * v * (65025 - s * (255 - f)) + 65025) // 130050 AS t FROM h3),
   re AS (SELECT item_id, corruption, severity, y, x, {pick('v', 'q', 'p', 'p', 't', 'v')} AS r, {pick('t', 'v', 'v', 'q', 'p', 'p')} AS g, {pick('p', 'p', 't', 'v', 'v', 'q')} AS b FROM h4),
-  cr AS (SELECT *, greatest(round(16 * sqrt(1 - {_case(resample.REMOVED)} / 1000.0::double)), 1)::int AS c, {_digit_sql('crop', 8)} AS hold FROM im),
-  wn AS (SELECT item_id, severity, 'crop_violation' AS corruption, CASE {_HELD(1)}[hold + 1] WHEN 0 THEN 0 WHEN 1 THEN 16 - c ELSE {_digit_sql('down', '17 - c')} END AS y0, CASE {_HELD(0)}[hold + 1] WHEN 0 THEN 0 WHEN 1 THEN 16 - c ELSE {_digit_sql('across', '17 - c')} END AS x0, c AS ch, c AS cw, 16 AS hh, 16 AS ww FROM cr
+  cr AS (SELECT *, greatest(round(16 * sqrt(1 - {_case(resample.REMOVED)} / 1000.0::double)), 1)::int AS c, {digit_sql('crop', 8)} AS hold FROM im),
+  wn AS (SELECT item_id, severity, 'crop_violation' AS corruption, CASE {_HELD(1)}[hold + 1] WHEN 0 THEN 0 WHEN 1 THEN 16 - c ELSE {digit_sql('down', '17 - c')} END AS y0, CASE {_HELD(0)}[hold + 1] WHEN 0 THEN 0 WHEN 1 THEN 16 - c ELSE {digit_sql('across', '17 - c')} END AS x0, c AS ch, c AS cw, 16 AS hh, 16 AS ww FROM cr
     UNION ALL SELECT item_id, severity, 'aspect_distortion', 0, 0, 16, 16, CASE WHEN {_WIDE} THEN 16 ELSE {_LONGER} END, CASE WHEN {_WIDE} THEN {_LONGER} ELSE 16 END FROM im),
   {_weights_sql('SELECT ch AS n, hh AS m FROM wn UNION ALL SELECT cw, ww FROM wn')},
   r1 AS (SELECT item_id, corruption, severity, wt.o - (hh - 16) // 2 AS y, px.x - x0 AS j, cw, ww, sum(r * w) AS r, sum(g * w) AS g, sum(b * w) AS b FROM px JOIN wn USING (item_id) JOIN wt ON wt.n = ch AND wt.m = hh AND wt.i = px.y - y0
     WHERE px.x >= x0 AND px.x < x0 + cw AND wt.o - (hh - 16) // 2 BETWEEN 0 AND 15 GROUP BY ALL),
   r2 AS (SELECT item_id, corruption, severity, y, wt.o - (ww - 16) // 2 AS x, sum(r * w) AS r, sum(g * w) AS g, sum(b * w) AS b FROM r1 JOIN wt ON wt.n = cw AND wt.m = ww AND wt.i = j WHERE wt.o - (ww - 16) // 2 BETWEEN 0 AND 15 GROUP BY ALL),
   rs AS (SELECT item_id, corruption, severity, y, x, {', '.join(f"least(greatest({c} + 2147483648, 0) // 4294967296, 255)::bigint AS {c}" for c in 'rgb')} FROM r2),
-  it AS (SELECT item_id, severity, k, {_digit_sql('cy', 1000, " || '|' || k")} * 16 / 1000.0::double AS cy, {_digit_sql('cx', 1000, " || '|' || k")} * 16 / 1000.0::double AS cx, {_digit_sql('hue', 1000, " || '|' || k")} % 5 AS hue,
+  it AS (SELECT item_id, severity, k, {digit_sql('cy', 1000, " || '|' || k")} * 16 / 1000.0::double AS cy, {digit_sql('cx', 1000, " || '|' || k")} * 16 / 1000.0::double AS cx, {digit_sql('hue', 1000, " || '|' || k")} % 5 AS hue,
     greatest(1.0::double, 16 * {_case({s: n for s, (_, n) in resample.PASTED.items()})} / 200.0::double) AS radius FROM im JOIN range(1, 7) t(k) ON k <= {_case({s: n for s, (n, _) in resample.PASTED.items()})}),
   hi AS (SELECT item_id, severity, y, x, arg_max(hue, k) AS hue FROM px JOIN it USING (item_id) WHERE sqrt((y - cy) * (y - cy) + (x - cx) * (x - cx)) <= radius * CASE WHEN cos(12 * atan2(y - cy, x - cx)) >= 0 THEN 1 ELSE 0.7::double END GROUP BY ALL),
   ct AS (SELECT item_id, 'clutter' AS corruption, severity, y, x, r, g, b, CASE WHEN severity = 3 AND y >= 14 THEN 0 ELSE hue END AS hue FROM px JOIN im USING (item_id) LEFT JOIN hi USING (item_id, severity, y, x)),
@@ -249,7 +249,7 @@ def image_features(spark, sf):
     return found.select("item_id", *(F.round(c, 4).alias(c) for c in ("palette_de", "sat_mean", "colorfulness")))
 
 
-@query(f"""WITH {_PIXELS_SQL}, {_weights_sql('SELECT 16 AS n, 32 AS m')}, gr AS (SELECT item_id, y, x, 299 * r + 587 * g + 114 * b AS v FROM px),
+@query(f"""WITH {PIXELS_SQL}, {_weights_sql('SELECT 16 AS n, 32 AS m')}, gr AS (SELECT item_id, y, x, 299 * r + 587 * g + 114 * b AS v FROM px),
   g1 AS (SELECT item_id, o AS y, x, sum(v * w) AS v FROM gr JOIN wt ON wt.i = y GROUP BY ALL), g2 AS (SELECT item_id, y, o AS x, (greatest(sum(v * w) + 2147483648, 0) // 4294967296)::bigint AS v FROM g1 JOIN wt ON wt.i = x GROUP BY ALL),
   bs AS (SELECT k, n, round(4096 * cos(pi() * (2 * n + 1) * k / 64))::bigint AS c FROM range(0, 8) t(k), range(0, 32) u(n)),
   d1 AS (SELECT item_id, k AS u, x, sum(v * c) AS v FROM g2 JOIN bs ON n = y GROUP BY ALL), d2 AS (SELECT item_id, u, k, sum(v * c)::hugeint AS v FROM d1 JOIN bs ON n = x GROUP BY ALL),
