@@ -1,43 +1,13 @@
-"""Changes of one image, a numpy array of shape (height, width, 3) with 8 bits a channel.
+"""Resampling of one image, a numpy array of shape (height, width, 3) with 8 bits a channel.
 
-Only what makes or resamples pixels is here; measurements of images are column
-expressions (``functions.colour``, ``operators.imaging``).
+This serves the loader of image files, which holds a whole image anyway.  Perturbations, hashes, measurements and
+regions of images are Spark jobs (``operators.resample``, ``operators.imaging``, ``operators.regions``).
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Severity ladders of the perturbations.
-HUE_DEGREES = {1: 18, 2: 40, 3: 80}
-SATURATE = {1: 1.6, 2: 2.3, 3: 3.2}
-DESATURATE = {1: 0.55, 2: 0.30, 3: 0.08}
-CROP_AREA = {1: 0.18, 2: 0.38, 3: 0.58}
-ASPECT = {1: 1.18, 2: 1.45, 3: 1.9}
-ANCHORS = ("tl", "tr", "bl", "br", "l", "r", "t", "b")
-
-def hsv(rgb: np.ndarray) -> np.ndarray:
-    """Hue, saturation, value, 0 to 255 each, truncated."""
-    x = np.asarray(rgb, float)
-    top, low = x.max(-1), x.min(-1)
-    spread = np.where(top > low, top - low, 1)
-    r, g, b = ((top - x[..., i]) / spread for i in range(3))
-    h = np.select([x[..., 0] == top, x[..., 1] == top], [b - g, 2 + r - b], 4 + g - r) / 6 % 1
-    h = np.where(top > low, h, 0)
-    s = np.where(top > 0, (top - low) / np.maximum(top, 1), 0)
-    return np.stack([np.floor(h * 255), np.floor(s * 255), top], -1).astype(np.int16)
-
-
-def rgb(hsv_: np.ndarray) -> np.ndarray:
-    x = np.asarray(hsv_, float)
-    h, s, v = x[..., 0] * 6 / 255, x[..., 1] / 255, x[..., 2]
-    i = np.floor(h)
-    f = h - i
-    p, q, t = v * (1 - s), v * (1 - s * f), v * (1 - s * (1 - f))
-    k = i.astype(int) % 6
-    r, g, b = (np.choose(k, c) for c in ([v, q, p, p, t, v], [t, v, v, q, p, p], [p, p, t, v, v, q]))
-    return np.clip(np.round(np.stack([r, g, b], -1)), 0, 255).astype(np.uint8)
-
 
 def _weights(n: int, m: int, reach: float = 3.0) -> np.ndarray:
     """(m, n) Lanczos weights, widened when shrinking."""
@@ -61,125 +31,3 @@ def bounded(img: np.ndarray, most: int = 1024) -> np.ndarray:
     if side <= most:
         return img
     return resize(img, max(1, round(img.shape[0] * most / side)), max(1, round(img.shape[1] * most / side)))
-
-
-def recoloured(img: np.ndarray, turn: int = 0, gain: float = 1.0) -> np.ndarray:
-    """The image with hues turned by ``turn`` of 256 steps and saturations times ``gain``.
-
-    An image has far fewer colours than pixels, so each colour is worked out once.
-    """
-    packed = img.astype(np.uint32) @ np.array([1 << 16, 1 << 8, 1], np.uint32)
-    colours, where = np.unique(packed, return_inverse=True)
-    table = hsv((colours[:, None] >> np.array([16, 8, 0], np.uint32)) & 255)
-    table[:, 0] = (table[:, 0] + turn) % 256
-    table[:, 1] = np.minimum(np.floor(table[:, 1] * gain), 255)
-    return rgb(table)[where.reshape(packed.shape)]
-
-
-def hue_rotation(img: np.ndarray, severity: int, rng: np.random.Generator) -> tuple[np.ndarray, dict]:
-    turn = round(HUE_DEGREES[severity] / 360 * 255)
-    return recoloured(img, turn=turn), {"turn": turn}
-
-
-def saturation(img: np.ndarray, severity: int, rng: np.random.Generator) -> tuple[np.ndarray, dict]:
-    gain = rng.choice([SATURATE[severity], DESATURATE[severity]])
-    return recoloured(img, gain=float(gain)), {"gain": float(gain)}
-
-
-def crop_violation(img: np.ndarray, severity: int, rng: np.random.Generator) -> tuple[np.ndarray, dict]:
-    h, w = img.shape[:2]
-    keep = (1 - CROP_AREA[severity]) ** 0.5
-    ch, cw = max(1, round(h * keep)), max(1, round(w * keep))
-    anchor = str(rng.choice(ANCHORS))
-    at = lambda low, high, room: 0 if low in anchor else room if high in anchor else int(rng.integers(room + 1))
-    x0, y0 = at("l", "r", w - cw), at("t", "b", h - ch)
-    return resize(img[y0 : y0 + ch, x0 : x0 + cw], h, w), {"area_removed": CROP_AREA[severity], "anchor": anchor, "box": [x0, y0, x0 + cw, y0 + ch]}
-
-
-def aspect_distortion(img: np.ndarray, severity: int, rng: np.random.Generator) -> tuple[np.ndarray, dict]:
-    h, w = img.shape[:2]
-    wide = bool(rng.integers(2))
-    big = resize(img, h, round(w * ASPECT[severity])) if wide else resize(img, round(h * ASPECT[severity]), w)
-    y0, x0 = (big.shape[0] - h) // 2, (big.shape[1] - w) // 2
-    return big[y0 : y0 + h, x0 : x0 + w], {"factor": ASPECT[severity], "axis": "x" if wide else "y"}
-
-
-def fill_box(img: np.ndarray, box: tuple[int, int, int, int], ring: int = 6) -> np.ndarray:
-    """The image with a box painted in the median colour of the ring around it."""
-    x0, y0, x1, y1 = box
-    out = img.copy()
-    around = np.zeros(img.shape[:2], bool)
-    around[max(0, y0 - ring) : y1 + ring, max(0, x0 - ring) : x1 + ring] = True
-    around[y0:y1, x0:x1] = False
-    if around.any():
-        out[y0:y1, x0:x1] = np.median(img[around], axis=0).astype(np.uint8)
-    return out
-
-
-def ink_colour(img: np.ndarray, box: tuple[int, int, int, int], ring: int = 6) -> list[float]:
-    """Median of the quarter of a box's pixels that lie farthest from the colour around the box (its own, where nothing is around)."""
-    x0, y0, x1, y1 = box
-    inside = img[y0:y1, x0:x1].reshape(-1, 3).astype(float)
-    if not len(inside):
-        return [0.0, 0.0, 0.0]
-    ground = fill_box(img, box, ring)[y0, x0] if inside.size < img.size else np.median(inside, axis=0)
-    far = ((inside - ground) ** 2).sum(1)
-    return np.median(inside[far >= np.quantile(far, 0.75)], axis=0).tolist()
-
-
-def mask_share(height: int, width: int, boxes: list, pad: int = 4) -> float:
-    held = np.zeros((height, width), bool)
-    for x0, y0, x1, y1 in boxes:
-        held[max(0, y0 - pad) : y1 + pad, max(0, x0 - pad) : x1 + pad] = True
-    return float(held.mean())
-
-
-def perceptual_hash(img: np.ndarray) -> int:
-    """64-bit DCT hash of the grey image, as a signed long."""
-    grey = img.astype(float) @ np.array([0.299, 0.587, 0.114])
-    small = resize(np.repeat(grey[..., None], 3, -1), 32, 32)[..., 0].astype(float)
-    n = np.arange(32)
-    basis = np.cos(np.pi * (2 * n[None, :] + 1) * n[:8, None] / 64)
-    low = basis @ small @ basis.T
-    bits = (low > np.median(low)).ravel()
-    return int(np.packbits(bits).view(">i8")[0])
-
-
-#: Pasted items, and their size against the shorter side, by severity.
-CLUTTER = {1: (1, 0.12), 2: (3, 0.18), 3: (6, 0.26)}
-
-
-def clutter(img: np.ndarray, severity: int, rng: np.random.Generator) -> tuple[np.ndarray, dict]:
-    """Badges in vivid hues a fifth of the circle apart, and a banner at the highest severity; without lettering."""
-    vivid = rgb(np.array([[51 * i, 255, 255] for i in range(5)]))
-    h, w = img.shape[:2]
-    count, share = CLUTTER[severity]
-    out, radius = img.copy(), max(1.0, min(h, w) * share / 2)
-    yy, xx = np.mgrid[:h, :w]
-    for _ in range(count):
-        cy, cx = rng.random() * h, rng.random() * w
-        angle = np.arctan2(yy - cy, xx - cx)
-        edge = radius * (0.85 + 0.15 * np.sign(np.cos(12 * angle)))
-        out[np.hypot(yy - cy, xx - cx) <= edge] = vivid[int(rng.integers(len(vivid)))]
-    if severity == 3:
-        out[h - max(1, h // 8) :] = vivid[0]
-    return out, {"items": count, "scale": share}
-
-
-def wordmark_removal(img: np.ndarray, severity: int, rng: np.random.Generator, words: list[tuple], marks: list[bool]) -> tuple[np.ndarray, dict]:
-    """Paint over one mark, all marks, or all words; ``marks`` tells which word boxes are marks."""
-    at = [i for i, m in enumerate(marks) if m]
-    chosen = [at[int(rng.integers(len(at)))]] if severity == 1 and at else at if severity == 2 else list(range(len(words))) if severity == 3 else []
-    out = img
-    for i in chosen:
-        out = fill_box(out, words[i])
-    return out, {"removed": len(chosen)}
-
-
-GENERATORS = {
-    "hue_rotation": hue_rotation,
-    "saturation": saturation,
-    "crop_violation": crop_violation,
-    "aspect_distortion": aspect_distortion,
-    "clutter": clutter,
-}

@@ -31,9 +31,14 @@ def append_missing(df: DataFrame, path: str, key: str) -> int:
     return new.count()
 
 
-def purge_errors(spark: SparkSession, path: str, schema: str, out: str) -> None:
-    """Rewrite a cache without its failed entries, so that they are tried again."""
-    spark.read.schema(schema).parquet(path).where("error is null").write.mode("overwrite").parquet(out)
+def purge_errors(spark: SparkSession, path: str, schema: str, out: str | None = None) -> None:
+    """Rewrite a cache without its failed entries, so that they are tried again; in place unless ``out`` is given.
+
+    In place, the entries that stay are first written to the shared folder, whence they can be
+    restored should the rewriting be cut off.
+    """
+    kept = spark.read.schema(schema).parquet(path).where("error is null")
+    (kept if out else staged(kept, "purged")).write.mode("overwrite").parquet(out or path)
 
 
 def preference_set(pairs: DataFrame, images: DataFrame) -> DataFrame:
