@@ -76,6 +76,7 @@ def twin_leak(neighbours: DataFrame, threshold: float) -> DataFrame:
 
 def same_label_rate(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
     """Share of nearest neighbours with the query's label; ``labels(item_id, label)``."""
-    first = neighbours.where("rank = 1").join(labels, "item_id").withColumnRenamed("label", "theirs")
+    nearest = staged(neighbours.where("rank = 1"), "nearest")  # so that no join waits for the search
+    first = nearest.join(labels, "item_id").withColumnRenamed("label", "theirs")
     own = labels.select(F.col("item_id").alias("query_id"), F.col("label").alias("mine"))
     return first.join(own, "query_id").agg(F.count("*").alias("n"), F.avg((F.col("mine") == F.col("theirs")).cast("double")).alias("same_label"))
