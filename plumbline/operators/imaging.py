@@ -19,7 +19,7 @@ from plumbline.functions import colour
 from plumbline.functions import pixels as px
 from plumbline.functions.vectors import let
 from plumbline.operators.masks import wordmarks
-from plumbline.operators.resample import ladder_rows, packed, perceptual_hashes  # noqa: F401  the hash is an image operator
+from plumbline.operators.resample import ladder_rows, perceptual_hashes  # noqa: F401  the hash is an image operator
 from plumbline.staging import staged
 
 
@@ -46,9 +46,7 @@ def ladder(images: DataFrame) -> DataFrame:
 
     What is chosen for an image does not depend on the severity, so that severity is all that varies along a ladder.
     """
-    made = packed(ladder_rows(images), ["item_id", "corruption", "severity"])
-    base = images.select("item_id", "height", "width", F.col("pixels").alias("base"))
-    return made.join(base, "item_id").select(F.col("item_id").cast("string").alias("source_id"), "corruption", "severity", "height", "width", "base", "pixels")
+    return ladder_rows(images).select(F.col("item_id").cast("string").alias("source_id"), "corruption", "severity", "height", "width", "base", "pixels")
 
 
 def _pixel(i: Column, name: str = "pixels") -> Column:

@@ -1,25 +1,28 @@
-"""Pixels as rows: resampling, recolouring, painting and hashing by joins with small tables, in whole numbers.
-
-An image's pixels become rows ``(y, x, r, g, b)``; what an operation needs to know of an image
-(windows, sizes, seeds) is a row of a plan.  Resampling is separable: rows meet the
-weights of their height's sampling and are added up, then those of their width's.  Weights are
-Lanczos' in 65536ths, so sums are whole, do not depend on the order of rows, and come out alike in any
-engine; a value is rounded once, at the end.  Recolouring works out each colour once, in a table of the
-colours that occur, which the pixels are joined to.  Choices that look random are digits of
+"""Perturbations and hashes of images, in whole numbers.
+
+An image is a row.  What is done to it (windows, sizes, colours, pasted items) is worked out in columns, a row for each image,
+perturbation and severity, and the pixels of a row are changed by small functions on arrays (``functions.pixels``) where the
+row stands, so nothing but the images is shuffled: rows are dealt out by number, since an image's work is large beside its bytes.
+Weights are Lanczos' in 65536ths, so sums are whole, do not depend on their order, and come out alike in any
+engine; a value is rounded once, at the end.  Choices that look random are digits of
 the MD5 of the image's id and what is chosen, so a ladder differs in severity only.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.pixels import badged, recoloured, sampled
 from plumbline.staging import staged
 
-UNIT = 1 << 16
-REACH = 3
+#: Rows whose changed images are held together.
+SLICE = 64
 #: Severity ladders. Hue in 256ths of the circle, saturation in hundredths, areas and stretches in thousandths, pasted items and their size in hundredths of the shorter side.
 TURN = {1: 13, 2: 28, 3: 57}
 MORE = {1: 160, 2: 230, 3: 320}
@@ -40,101 +43,53 @@ def digit(name: str, modulus: Column | int, item: str = "item_id") -> Column:
     return F.pmod(F.conv(F.substring(key, 1, 12), 16, 10).cast("long"), modulus if isinstance(modulus, Column) else F.lit(modulus))
 
 
-def pixel_rows(images: DataFrame) -> DataFrame:
-    """``(item_id, y, x, r, g, b)`` of the images that have pixels."""
-    number = F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)
-    codes = F.transform(number, lambda i: F.conv(F.hex(F.substring("pixels", i * 3 + 1, F.lit(3))), 16, 10).cast("int"))
-    rows = images.where("height * width > 0").select("item_id", "width", F.posexplode(codes).alias("at", "code"))
-    channel = lambda shift: F.shiftright("code", shift).bitwiseAND(F.lit(255))
-    return rows.select("item_id", F.expr("at div width").cast("int").alias("y"), F.expr("at % width").alias("x"), channel(16).alias("r"), channel(8).alias("g"), channel(0).alias("b"))
-
-
-def packed(rows: DataFrame, by: list[str]) -> DataFrame:
-    """``(by, pixels)`` from ``(by, y, x, r, g, b)``: one image's pixels in order."""
-    code = F.lpad(F.hex((F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).cast("long")), 6, "0")
-    held = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("y", "x", code.alias("c")))).alias("p"))
-    return held.select(*by, F.unhex(F.array_join(F.transform("p", lambda p: p["c"]), "")).alias("pixels"))
-
-
-def weights(sizes: DataFrame) -> DataFrame:
-    """``(n, m, o, i, w)``: the weight, in ``UNIT``ths, of sample i of n in sample o of m, for each of ``sizes(n, m)``; wider when shrinking."""
-    scale = F.col("n").cast("double") / F.col("m")
-    wide = F.greatest(F.lit(1.0), scale)
-    rows = sizes.distinct().withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    centre = (F.col("o") + 0.5) * scale
-    low, high = F.greatest(F.lit(0), F.floor(centre - REACH * wide - 1)).cast("int"), F.least(F.col("n") - 1, F.ceil(centre + REACH * wide)).cast("int")
-    rows = rows.withColumn("i", F.explode(F.sequence(low, high)))
-    x = (F.col("i") + 0.5 - centre) / wide
-    sinc = lambda v: F.when(v == 0, 1.0).otherwise(F.sin(v * math.pi) / (v * math.pi))
-    rows = rows.withColumn("v", F.when(F.abs(x) < REACH, sinc(x) * sinc(x / REACH)).otherwise(0.0))
-    total = rows.groupBy("n", "m", "o").agg(F.sum("v").alias("all"))
-    found = rows.join(total, ["n", "m", "o"]).withColumn("w", F.round(F.col("v") / F.col("all") * UNIT).cast("long"))
-    return found.where("w <> 0").select("n", "m", "o", "i", "w")
-
-
-def resampled(rows: DataFrame, plan: DataFrame, by: list[str], channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
-    """``(by, y, x, channels)``: windows of images at new sizes.
-
-    ``plan`` has for each of ``by`` (``item_id`` first) the window ``y0, x0, ch, cw``, the size ``hh, ww`` that it takes, and the
-    part ``oy, ox, h, w`` of that which is kept.  Channels are clamped to 0 at least, and to 255 where they are colours.
-    """
-    plan = staged(plan, "resampling")
-    table = staged(weights(plan.select(F.col("ch").alias("n"), F.col("hh").alias("m")).unionByName(plan.select(F.col("cw").alias("n"), F.col("ww").alias("m")))), "weights")
-    down, across = (table.withColumnsRenamed({"n": f"{s}n", "m": f"{s}m", "o": f"{s}o", "i": f"{s}i", "w": f"{s}w"}) for s in "da")
-    met = rows.join(plan, "item_id").where("y >= y0 and y < y0 + ch and x >= x0 and x < x0 + cw")
-    met = met.withColumns({"i": F.col("y") - F.col("y0"), "j": F.col("x") - F.col("x0")}).drop("y", "x")
-    one = met.join(down, (F.col("dn") == F.col("ch")) & (F.col("dm") == F.col("hh")) & (F.col("di") == F.col("i"))).withColumn("yy", F.col("do") - F.col("oy")).where("yy >= 0 and yy < h")
-    one = one.groupBy(*by, "yy", "j", "cw", "ww", "ox", "w").agg(*(F.sum(F.col(c) * F.col("dw")).alias(c) for c in channels))
-    two = one.join(across, (F.col("an") == F.col("cw")) & (F.col("am") == F.col("ww")) & (F.col("ai") == F.col("j"))).withColumn("xx", F.col("ao") - F.col("ox")).where("xx >= 0 and xx < w")
-    two = two.groupBy(*by, "yy", "xx").agg(*(F.sum(F.col(c) * F.col("aw")).alias(c) for c in channels))
-    whole = lambda c: F.shiftright(F.greatest(F.col(c) + UNIT * UNIT // 2, F.lit(0)), 32)
-    held = (lambda c: F.least(whole(c), F.lit(255)).alias(c)) if channels == ("r", "g", "b") else (lambda c: whole(c).alias(c))
-    return two.select(*by, F.col("yy").alias("y"), F.col("xx").alias("x"), *map(held, channels))
-
-
-def recoded(r: Column, g: Column, b: Column, turn: Column, percent: Column) -> list[Column]:
-    """Red, green and blue after the hue was turned by 256ths and the saturation taken times hundredths: HSV in whole numbers."""
-    top, low = F.greatest(r, g, b), F.least(r, g, b)
-    d = F.greatest(top - low, F.lit(1))
-    six = 6 * d
-    lead = F.when(top == low, 0).when(r == top, g - b).when(g == top, b - r + 2 * d).otherwise(r - g + 4 * d)
-    div = lambda a, c: ((a - F.pmod(a, c)) / c).cast("int")
-    h = F.pmod(div(255 * F.pmod(lead, six), six) + turn, F.lit(256))
-    s = F.least(div(div(255 * (top - low), F.greatest(top, F.lit(1))) * percent, F.lit(100)), F.lit(255))
-    i, f = div(6 * h, F.lit(255)), F.pmod(6 * h, F.lit(255))
-    half = lambda a, c: div(2 * a + c, F.lit(2 * c))
-    p = half(top * (255 - s), 255)
-    q, t = half(top * (65025 - s * f), 65025), half(top * (65025 - s * (255 - f)), 65025)
-    k = F.pmod(i, F.lit(6))
-    pick = lambda *c: F.element_at(F.array(*c), (k + 1).cast("int"))
-    return [pick(top, q, p, p, t, top), pick(t, top, top, q, p, p), pick(p, p, t, top, top, q)]
+def dealt(images: DataFrame) -> DataFrame:
+    """The images that have pixels, dealt out by number."""
+    parts = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return images.where("height * width > 0 and pixels is not null").repartition(parts, F.xxhash64("item_id"))
+
+
+def changed(rows: DataFrame, change: Callable[[dict, np.ndarray], np.ndarray], keep: list[str]) -> DataFrame:
+    """``(keep, pixels)``: each row's image (``height, width, pixels``) after ``change(row, image)``."""
+    kind = rows.select(*keep, "pixels").schema
+    plan = [c for c in rows.columns if c not in ("pixels", "base")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), SLICE):
+                batch = whole.slice(at, SLICE)
+                made = []
+                for row, pixels in zip(batch.select(plan).to_pylist(), batch.column("pixels"), strict=True):
+                    img = np.frombuffer(pixels.as_buffer(), np.uint8).reshape(row["height"], row["width"], 3)
+                    made.append(change(row, img).astype(np.uint8).tobytes())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(made, pa.binary())], names=[*keep, "pixels"])
+
+    return rows.mapInArrow(run, kind)
 
 
 def _each_severity(images: DataFrame) -> DataFrame:
-    return images.select("item_id", "height", "width", F.explode(F.array(*map(F.lit, SEVERITIES))).alias("severity"))
+    return images.select("item_id", "height", "width", "pixels", F.explode(F.array(*map(F.lit, SEVERITIES))).alias("severity"))
 
 
 def _of(ladder: dict[int, int]) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for pair in ladder.items() for x in pair)), F.col("severity"))
 
 
-def recolouring(images: DataFrame, rows: DataFrame) -> DataFrame:
-    """``(item_id, corruption, severity, y, x, r, g, b)`` of both recolourings."""
-    each = _each_severity(images)
-    turned = each.select("item_id", "severity", F.lit("hue_rotation").alias("corruption"), _of(TURN).alias("turn"), F.lit(100).alias("percent"))
-    faded = each.select("item_id", "severity", F.lit("saturation").alias("corruption"), F.lit(0).alias("turn"), F.when(digit("saturation", 2) == 0, _of(MORE)).otherwise(_of(LESS)).alias("percent"))
-    plan = turned.unionByName(faded)
-    kinds = [*((t, 100) for t in TURN.values()), *((0, p) for p in (*MORE.values(), *LESS.values()))]
-    kind = F.explode(F.array(*(F.struct(F.lit(t).alias("turn"), F.lit(p).alias("percent")) for t, p in kinds))).alias("k")
-    colours = rows.select("r", "g", "b").distinct().select("r", "g", "b", kind).select("r", "g", "b", "k.*")
-    new = recoded(F.col("r"), F.col("g"), F.col("b"), F.col("turn"), F.col("percent"))
-    colours = colours.select("r", "g", "b", "turn", "percent", *(c.cast("long").alias(f"new_{n}") for c, n in zip(new, "rgb", strict=True)))
-    met = rows.join(plan, "item_id").join(colours, ["r", "g", "b", "turn", "percent"])
-    return met.select("item_id", "corruption", "severity", "y", "x", *(F.col(f"new_{c}").alias(c) for c in "rgb"))
+#: What each row of a ladder keeps.
+_BY = ["item_id", "corruption", "severity", "height", "width", "base"]
+
+
+def recolouring(images: DataFrame) -> DataFrame:
+    """The ladder's rows of both recolourings."""
+    each = _each_severity(images).withColumn("corruption", F.explode(F.array(F.lit("hue_rotation"), F.lit("saturation"))))
+    hue = F.col("corruption") == "hue_rotation"
+    percent = F.when(digit("saturation", 2) == 0, _of(MORE)).otherwise(_of(LESS))
+    each = each.withColumns({"base": F.col("pixels"), "turn": F.when(hue, _of(TURN)).otherwise(0), "percent": F.when(hue, 100).otherwise(percent)})
+    return changed(each, lambda row, img: recoloured(img, row["turn"], row["percent"]), _BY)
 
 
 def windows(images: DataFrame) -> DataFrame:
-    """The plan of crops and stretches."""
+    """The ladder's rows of crops and stretches: the window ``y0, x0, ch, cw`` at size ``hh, ww``, of which ``h, w`` from ``oy, ox`` on are kept."""
     h, w = F.col("height"), F.col("width")
     each = _each_severity(images)
     keep = F.sqrt(1 - _of(REMOVED) / 1000)
@@ -143,58 +98,51 @@ def windows(images: DataFrame) -> DataFrame:
     axis = lambda k: F.element_at(F.array(*(F.lit(x[k]) for x in HOLDS)), (F.col("hold") + 1).cast("int"))
     free = lambda name, room: digit(name, room + 1).cast("int")
     room_y, room_x = h - F.col("ch"), w - F.col("cw")
-    crop = crop.select("item_id", F.lit("crop_violation").alias("corruption"), "severity", F.coalesce(at(axis(1), room_y), free("down", room_y)).alias("y0"), F.coalesce(at(axis(0), room_x), free("across", room_x)).alias("x0"), "ch", "cw",
+    crop = crop.select("item_id", "height", "width", "pixels", F.lit("crop_violation").alias("corruption"), "severity", F.coalesce(at(axis(1), room_y), free("down", room_y)).alias("y0"), F.coalesce(at(axis(0), room_x), free("across", room_x)).alias("x0"), "ch", "cw",
                        h.alias("hh"), w.alias("ww"), F.lit(0).alias("oy"), F.lit(0).alias("ox"), h.alias("h"), w.alias("w"))
     wide = digit("stretch", 2) == 1
     longer = lambda size: F.round(size * _of(STRETCH) / 1000).cast("int")
     aspect = each.withColumns({"hh": F.when(wide, h).otherwise(longer(h)), "ww": F.when(wide, longer(w)).otherwise(w)})
     half = lambda a, b: F.floor((F.col(a) - b) / 2).cast("int")
-    aspect = aspect.select("item_id", F.lit("aspect_distortion").alias("corruption"), "severity", F.lit(0).alias("y0"), F.lit(0).alias("x0"), h.alias("ch"), w.alias("cw"), "hh", "ww", half("hh", h).alias("oy"), half("ww", w).alias("ox"), h.alias("h"), w.alias("w"))
-    return crop.unionByName(aspect)
+    aspect = aspect.select("item_id", "height", "width", "pixels", F.lit("aspect_distortion").alias("corruption"), "severity", F.lit(0).alias("y0"), F.lit(0).alias("x0"), h.alias("ch"), w.alias("cw"), "hh", "ww", half("hh", h).alias("oy"), half("ww", w).alias("ox"), h.alias("h"), w.alias("w"))
+
+    def cut(row: dict, img: np.ndarray) -> np.ndarray:
+        part = img[row["y0"] : row["y0"] + row["ch"], row["x0"] : row["x0"] + row["cw"]]
+        kept = sampled(part, row["hh"], row["ww"])[row["oy"] : row["oy"] + row["h"], row["ox"] : row["ox"] + row["w"]]
+        return np.minimum(kept, 255)
 
+    return changed(crop.unionByName(aspect).withColumn("base", F.col("pixels")), cut, _BY)
 
-def clutter(images: DataFrame, rows: DataFrame) -> DataFrame:
-    """``(item_id, corruption, severity, y, x, r, g, b)``: toothed badges pasted one over the other, and a banner at the highest severity."""
+
+def clutter(images: DataFrame) -> DataFrame:
+    """The ladder's rows of clutter: toothed badges pasted one over the other, and a banner at the highest severity."""
     count = _of({s: n for s, (n, _) in PASTED.items()})
-    items = _each_severity(images).withColumn("k", F.explode(F.sequence(F.lit(1), count)))
-    share = lambda name: F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.col("item_id").cast("string"), F.lit(name), F.col("k").cast("string")).cast("binary")), 1, 12), 16, 10).cast("long"), F.lit(1000))
+    share = lambda name, k: F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.col("item_id").cast("string"), F.lit(name), k.cast("string")).cast("binary")), 1, 12), 16, 10).cast("long"), F.lit(1000))
     radius = F.greatest(F.lit(1.0), F.least("height", "width") * _of({s: n for s, (_, n) in PASTED.items()}) / 200)
-    items = items.select("item_id", "severity", "k", (share("cy") * F.col("height") / 1000).alias("cy"), (share("cx") * F.col("width") / 1000).alias("cx"), F.pmod(share("hue"), F.lit(len(VIVID))).cast("int").alias("hue"), radius.alias("radius"))
-    each = rows.join(_each_severity(images), "item_id")
-    dy, dx = F.col("y") - F.col("cy"), F.col("x") - F.col("cx")
-    edge = F.col("radius") * F.when(F.cos(12 * F.atan2(dy, dx)) >= 0, 1.0).otherwise(0.7)
-    hits = rows.select("item_id", "y", "x").join(items, "item_id").where(F.sqrt(dy * dy + dx * dx) <= edge)
-    last = hits.groupBy("item_id", "severity", "y", "x").agg(F.max_by("hue", "k").alias("hue"))
-    banner = (F.col("severity") == 3) & (F.col("y") >= F.col("height") - F.greatest(F.lit(1), F.floor(F.col("height") / 8)))
-    painted = each.join(last, ["item_id", "severity", "y", "x"], "left").withColumn("hue", F.when(banner, 0).otherwise(F.col("hue")))
-    new = lambda k, c: F.when(F.col("hue").isNull(), F.col(c)).otherwise(F.get(F.array(*(F.lit(v[k]) for v in VIVID)), F.coalesce("hue", F.lit(0)))).alias(c)
-    return painted.select("item_id", F.lit("clutter").alias("corruption"), "severity", "y", "x", *(new(k, c) for k, c in enumerate("rgb")))
+    badge = lambda k: F.struct((share("cy", k) * F.col("height") / 1000).alias("cy"), (share("cx", k) * F.col("width") / 1000).alias("cx"), F.pmod(share("hue", k), F.lit(len(VIVID))).cast("int").alias("hue"), F.col("radius"))
+    each = _each_severity(images).withColumns({"base": F.col("pixels"), "corruption": F.lit("clutter"), "radius": radius, "count": count})
+    each = each.withColumn("badges", F.transform(F.sequence(F.lit(1), F.col("count")), badge))
+    return changed(each, lambda row, img: badged(img, row["badges"], VIVID, row["severity"] == 3), _BY)
 
 
 def ladder_rows(images: DataFrame) -> DataFrame:
-    """``(item_id, corruption, severity, y, x, r, g, b)`` of every image under every perturbation."""
-    rows = staged(pixel_rows(images), "pixels")
-    by = ["item_id", "corruption", "severity"]
-    parts = [recolouring(images, rows), resampled(rows, windows(images), by), clutter(images, rows)]
-    whole = [p.select(*by, "y", "x", *(F.col(c).cast("long").alias(c) for c in "rgb")) for p in parts]
-    return whole[0].unionByName(whole[1]).unionByName(whole[2])
+    """``(item_id, corruption, severity, height, width, base, pixels)`` of every image under every perturbation."""
+    images = staged(dealt(images.select("item_id", "height", "width", "pixels")), "images")
+    return recolouring(images).unionByName(windows(images)).unionByName(clutter(images))
 
 
-def _basis(spark: SparkSession) -> DataFrame:
-    """``(k, n, c)``: the first eight cosines over 32 places, in 4096ths."""
-    return spark.createDataFrame([(k, n, round(4096 * math.cos(math.pi * (2 * n + 1) * k / 64))) for k in range(8) for n in range(32)], "k int, n int, c long")
+#: The first eight cosines over 32 places, in 4096ths.
+BASIS = np.array([[round(4096 * math.cos(math.pi * (2 * n + 1) * k / 64)) for n in range(32)] for k in range(8)])
 
 
 def perceptual_hashes(images: DataFrame) -> DataFrame:
     """``(item_id, phash)``: signs of the 64 lowest frequencies of the grey image against their median, the first highest."""
-    grey = pixel_rows(images).select("item_id", "y", "x", (299 * F.col("r") + 587 * F.col("g") + 114 * F.col("b")).cast("long").alias("v"))
-    zero, side = F.lit(0), F.lit(32)
-    plan = images.where("height * width > 0").select("item_id", zero.alias("y0"), zero.alias("x0"), F.col("height").alias("ch"), F.col("width").alias("cw"), side.alias("hh"), side.alias("ww"), zero.alias("oy"), zero.alias("ox"), side.alias("h"), side.alias("w"))
-    small = resampled(grey, plan, ["item_id"], ("v",))
-    basis = F.broadcast(_basis(images.sparkSession))  # 256 rows
-    down = small.join(basis, F.col("y") == F.col("n")).groupBy("item_id", "x", F.col("k").alias("u")).agg(F.sum(F.col("v") * F.col("c")).alias("v"))
-    low = down.join(basis, F.col("x") == F.col("n")).groupBy("item_id", "u", "k").agg(F.sum(F.col("v") * F.col("c")).alias("v"))
-    held = low.groupBy("item_id").agg(F.array_sort(F.collect_list("v")).alias("sorted"), F.collect_list(F.struct((8 * F.col("u") + F.col("k")).alias("at"), "v")).alias("cells"))  # 64 cells
-    middle = F.get("sorted", F.lit(31)) + F.get("sorted", F.lit(32))
-    bit = lambda s, x: F.when(2 * x["v"] > middle, s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (63 - x["at"]).cast("int")))).otherwise(s)
-    return held.select("item_id", F.aggregate("cells", F.lit(0).cast("long"), bit).alias("phash"))
+
+    def low(row: dict, img: np.ndarray) -> np.ndarray:
+        grey = img.astype(np.int64) @ np.array([299, 587, 114])
+        cells = (BASIS @ sampled(grey[..., None], 32, 32)[..., 0] @ BASIS.T).ravel()
+        middle = np.sort(cells)[31:33].sum()
+        return np.packbits(2 * cells > middle)
+
+    found = changed(dealt(images.select("item_id", "height", "width", "pixels")), low, ["item_id"])
+    return found.select("item_id", sum((F.call_function("shiftleft", F.conv(F.hex(F.substring("pixels", k + 1, 1)), 16, 10).cast("long"), F.lit(56 - 8 * k)) for k in range(1, 8)), F.call_function("shiftleft", F.conv(F.hex(F.substring("pixels", 1, 1)), 16, 10).cast("long"), F.lit(56))).alias("phash"))
