@@ -14,6 +14,12 @@ from plumbline.functions.vectors import dot
 from plumbline.operators.ranks import joined
 from plumbline.staging import staged
 
+#: Bins of a group's values in descents over many values, terms of the sigmoid's series in a bin, and how far it may reach: the
+#: series has radius pi, so what is left out is under (0.05 / pi) ** 8, below the rounding of a double.
+BINS = 4096
+TERMS = 8
+STEEP = 0.05
+
 
 def _counted(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """``(by, x, y, n)``, written: equal values are counted once for all steps."""
@@ -57,15 +63,61 @@ def platt_newton_by(df: DataFrame, by: list[str], x: str = "similarity", y: str
     return _fitted(df.sparkSession, by, counted.schema, done)
 
 
+def _binned(counted: DataFrame, by: list[str]) -> DataFrame:
+    """``(by, _bin, c, h, m0 .. m<TERMS>)``: sums of n and of n times powers of (x - c) / h over the values in each of a group's bins, ``h`` half as wide as a bin."""
+    ends = counted.groupBy(*by).agg(F.min("x").alias("_lo"), ((F.max("x") - F.min("x")) / BINS).alias("_w"))
+    rows = joined(counted, F.broadcast(ends), by)  # a row a group
+    at = F.when(F.col("_w") > 0, F.least(F.floor((F.col("x") - F.col("_lo")) / F.col("_w")), F.lit(BINS - 1))).otherwise(0)
+    rows = rows.withColumn("_bin", at).withColumns({"c": F.col("_lo") + (F.col("_bin") + 0.5) * F.col("_w"), "h": F.col("_w") / 2})
+    t = F.when(F.col("h") > 0, (F.col("x") - F.col("c")) / F.col("h")).otherwise(0.0)
+    rows = rows.withColumn("_t0", F.col("n").cast("double"))
+    for k in range(1, TERMS + 1):
+        rows = rows.withColumn(f"_t{k}", F.col(f"_t{k - 1}") * t)
+    return rows.groupBy(*by, "_bin").agg(F.first("c").alias("c"), F.first("h").alias("h"), *(F.sum(f"_t{k}").alias(f"m{k}") for k in range(TERMS + 1)))
+
+
+def _binned_descent(counted: DataFrame, by: list[str], steps: int, rate: float, start: tuple[float, float]) -> dict[tuple, tuple[float, float]] | None:
+    """Each group's ``a, b`` from its bins, at most ``BINS`` rows a group; None where a slope is too steep for them or values are not finite."""
+    fits: dict[tuple, tuple[float, float]] = {}
+    whole = counted.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("y"), F.sum(F.col("n") * F.col("x") * F.col("y")).alias("xy")).collect()
+    bins: dict[tuple, list] = {}
+    for r in _binned(counted, by).collect():
+        bins.setdefault(tuple(r[c] for c in by), []).append([r["c"], r["h"], *(r[f"m{k}"] for k in range(TERMS + 1))])
+    for s in whole:
+        key = tuple(s[c] for c in by)
+        held = np.array(bins[key], float).T
+        c, h, m = held[0], held[1], held[2:]
+        if not (np.isfinite(held).all() and np.isfinite([s["y"], s["xy"]]).all()):
+            return None
+        a, b = start
+        for _ in range(steps):
+            if abs(a) * h.max() > STEEP:
+                return None
+            terms = [1 / (1 + np.exp(-(a * c + b)))]  # p' = p - p * p, so the series follows term by term
+            for k in range(TERMS - 1):
+                terms.append((terms[k] - sum(terms[i] * terms[k - i] for i in range(k + 1))) / (k + 1))
+            powers = [t * (a * h) ** k for k, t in enumerate(terms)]
+            p = sum(v * m[k] for k, v in enumerate(powers))
+            px = c * p + h * sum(v * m[k + 1] for k, v in enumerate(powers))
+            a, b = a - rate * (px.sum() - s["xy"]) / s["n"], b - rate * (p.sum() - s["y"]) / s["n"]
+        fits[key] = float(a), float(b)
+    return fits
+
+
 def platt_descent_by(df: DataFrame, by: list[str], x: str = "similarity", y: str = "label", steps: int = 2000, rate: float = 0.5, start: tuple[float, float] = (20.0, -10.0), most_values: int = 100_000) -> DataFrame:
     """``(by, a, b, steps)`` by the fixed-budget variant: plain gradient descent, stopped after ``steps`` whether it has settled or not.
 
     All groups take a step together.  Equal (x, y) are counted first.  Up to ``most_values``
-    counted values of all groups take the steps on the driver; more stay in Parquet, and Spark takes the
-    sums of each step, one job a step.  Both give the same numbers.
+    counted values of all groups take the steps on the driver.  More are summed up once by Spark, as moments of ``BINS`` narrow
+    bins of x in each group (``_binned``), from which the sums of a step follow to rounding, as a series of
+    the sigmoid in each bin; should a slope grow so steep that the series is too coarse, all steps are done
+    by Spark, one job a step.  All give the same numbers.
     """
     counted = _counted(df, by, x, y)
     if counted.count() > most_values:
+        fits = _binned_descent(counted, by, steps, rate, start)
+        if fits is not None:
+            return _fitted(df.sparkSession, by, counted.schema, {k: (*v, steps) for k, v in fits.items()})
         fits = {tuple(r): start for r in counted.select(*by).distinct().collect()}
         for _ in range(steps):
             r = F.col("n") * (sigmoid(F.col("a") * F.col("x") + F.col("b")) - F.col("y"))
