@@ -54,7 +54,7 @@ def first_truthy(*values: Column | str, default: str | None = None) -> Column:
 
 
 def without_query(url: Column | str) -> Column:
-    return F.split_part(_c(url), F.lit("?"), F.lit(1))
+    return F.substring_index(_c(url), "?", 1)
 
 
 def id_source(item: Column | str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +31,15 @@ def ad_images(ads: DataFrame, pages: dict[str, str], ids: tuple[str, ...] = ("ad
     rows = rows.select(
         "brand", "ad_pos", first_truthy(*ids, default="unknown").alias("ad_id"), F.col("startDate").alias("start_date"),
         F.col("snapshot.displayFormat").alias("display_format"), F.col("isActive").alias("is_active"),
-        F.posexplode(F.concat(_urls("snapshot.images"), _urls("snapshot.cards"))).alias("idx", "url"),
+        F.concat(_urls("snapshot.images"), _urls("snapshot.cards")).alias("urls"),
     )
-    rows = first_seen(rows, without_query("url"), ["ad_pos", "idx"])
+    numbered = dict(rows.dtypes)["ad_pos"] in ("tinyint", "smallint", "int", "bigint")
+    if numbered and rows.groupBy("ad_pos").count().where("count > 1").isEmpty():
+        rows = _first_urls(rows)
+    else:
+        # outer, as the other form filters by the array's size first, which works the array out twice
+        rows = rows.select("*", F.posexplode_outer("urls").alias("idx", "url")).where("url is not null").drop("urls")
+        rows = first_seen(rows, without_query("url"), ["ad_pos", "idx"])
     return rows.withColumn("file", F.format_string("%s/%s_%d.jpg", "brand", "ad_id", "idx"))
 
 
@@ -60,6 +68,27 @@ def first_seen(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
     return kept.select("_row.*")
 
 
+#: More than any array has elements, so that an ad's and an image's number make one.
+_PLACES = Decimal(1 << 32)
+
+
+def _first_urls(ads: DataFrame) -> DataFrame:
+    """``first_seen`` of ads that differ in ``ad_pos``, a whole number: one row ``idx, url`` for ``urls``, beside the ad's other columns.
+
+    A place is one number, of which a hash table keeps the least before the shuffle (a struct would be sorted), and it is kept for each whole
+    URL, so that the first URL of a key is known without another look at the arrays.
+    """
+    # null ads come first; the numbers of 2 ** 64 ads and 2 ** 32 images fit 38 digits
+    ad = F.coalesce(F.col("ad_pos").cast("decimal(20,0)"), F.lit(Decimal(-(1 << 63) - 1)).cast("decimal(20,0)")) * F.lit(_PLACES)
+    ads = ads.withColumn("_ad", ad.cast("decimal(37,0)"))
+    each = ads.select("_ad", F.posexplode_outer("urls").alias("idx", "url")).where("url is not null")
+    places = each.groupBy("url").agg(F.min(F.col("_ad") + F.col("idx")).alias("_place"))
+    first = places.groupBy(without_query("url").alias("_key")).agg(F.min(F.struct("_place", "url")).alias("_first")).select("_first.*")
+    idx = F.pmod("_place", F.lit(_PLACES))
+    first = first.select((F.col("_place") - idx).cast("decimal(37,0)").alias("_ad"), idx.cast("int").alias("idx"), "url")
+    return ads.drop("urls").join(first, "_ad").drop("_ad")
+
+
 def union_sources(parts: dict[str, DataFrame]) -> DataFrame:
     """Manifests of several sources under ids ``src:brand/file``."""
     out = None

@@ -16,12 +16,12 @@ PAGES = {"en": "north", "de": "south", "fr": "west"}
 def _ads(spark, sf):
     """Documents as ads: the language is the page, and its words become image URLs, some of them empty: two images, all others cards."""
     d = table(spark, sf, "documents")
-    words = F.split("text", " ")
     image = lambda w: F.struct(F.when(F.length(w) % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("http://x/"), w, F.lit("?v=1"))).alias("originalImageUrl"), F.concat(F.lit("http://y/"), w).alias("resizedImageUrl"))
-    made = F.transform(words, image)
+    made, doc = F.col("made"), F.col("doc_id").cast("string")
+    # columns of their own, so that what is used twice is worked out once, and no words where none are asked for
+    d = d.withColumns({"made": F.transform(F.split("text", " "), image), "adArchiveId": F.when(F.col("doc_id") % 4 == 0, "").otherwise(doc), "otherId": F.when(F.col("doc_id") % 8 != 0, F.concat(F.lit("z"), doc))})
     return d.select(
-        F.col("lang").alias("pageName"), F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("doc_id").cast("string")).alias("adArchiveId"), F.when(F.col("doc_id") % 8 != 0, F.concat(F.lit("z"), F.col("doc_id").cast("string"))).alias("otherId"),
-        F.col("n_chars").cast("long").alias("startDate"), (F.col("doc_id") % 2 == 0).alias("isActive"),
+        F.col("lang").alias("pageName"), "adArchiveId", "otherId", F.col("n_chars").cast("long").alias("startDate"), (F.col("doc_id") % 2 == 0).alias("isActive"),
         F.struct(F.col("source").alias("displayFormat"), F.slice(made, 1, 2).alias("images"), F.slice(made, F.lit(3), F.greatest(F.size(made), F.lit(0))).alias("cards")).alias("snapshot"), F.col("doc_id").alias("ad_pos"),
     )
 
