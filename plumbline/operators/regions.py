@@ -1,16 +1,21 @@
 """Regions of images: areas that boxes cover, colours around and inside boxes, and boxes painted over.
 
 Boxes are rows ``(item_id, x0, y0, x1, y1)`` in pixels, right and lower ends exclusive, and are cut
-to their image.  An image's bytes meet its boxes in one join, and only the pixels of a box's
-window are taken out of them, counted by colour before anything is shuffled again.  Medians are
-weighted over these counts, in whole numbers, so no list of pixels is sorted.  Boxes that are null in a
-corner, empty, outside their image or of an image without pixels give no row; equal boxes of an image are one.
+to their image.  An image's bytes meet its boxes in one join, and a box's window is taken out of them and measured
+where the row stands, in whole numbers, so no pixel is shuffled on its own.  Boxes that are null in a
+corner, empty, outside their image or of an image without (all) its pixels give no row; equal boxes of an image are one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.operators.masks import wordmarks
 from plumbline.operators.resample import SEVERITIES
@@ -24,6 +29,8 @@ LEGIBLE_CONF = 60
 LEGIBLE_SIGNS = 3
 
 CORNERS = ["x0", "y0", "x1", "y1"]
+#: Bytes of windows whose pixels are measured together; a window is never divided.
+TOGETHER = 1 << 20
 
 
 def _cut(x0: Column, y0: Column, x1: Column, y1: Column) -> list[Column]:
@@ -63,53 +70,58 @@ def mask_areas(images: DataFrame, boxes: DataFrame, pad: int = MASK_PAD) -> Data
     return size.join(held, "item_id", "left").select("item_id", F.coalesce("n_boxes", F.lit(0).cast("long")).alias("n_boxes"), area.alias("area"), F.try_divide(area, F.col("height") * F.col("width")).alias("share"))
 
 
-def _window(images: DataFrame, boxes: DataFrame, ring: int) -> DataFrame:
-    """Images beside each of their boxes (cut), with the window ``wx0, wy0, wx1, wy1`` that reaches ``ring`` further."""
-    rows = images.where("height * width > 0").select("item_id", "height", "width", "pixels").join(boxes.select("item_id", *CORNERS).dropna().distinct(), "item_id")
-    cut, far = _cut(*map(F.col, CORNERS)), _cut(F.col("x0") - ring, F.col("y0") - ring, F.col("x1") + ring, F.col("y1") + ring)
-    rows = rows.select("item_id", "width", "pixels", F.struct(*CORNERS).alias("box"), *(c.alias(f"b{n}") for c, n in zip(cut, CORNERS, strict=True)), *(c.alias(f"w{n}") for c, n in zip(far, CORNERS, strict=True)))
-    return rows.where("bx0 < bx1 and by0 < by1")
+def _pieces(images: DataFrame, boxes: DataFrame, ring: int) -> DataFrame:
+    """``(item_id, x0, y0, x1, y1, around, inside)``: the lines of pixels inside each box, and those of the ring about it, as bytes.
 
+    A row is a box beside its image.  Images of one id count as one image of all their pixels.
+    """
+    alike = not images.groupBy("item_id").count().where("count > 1").isEmpty()  # reads ids only
+    rows = images.where("height * width > 0 and octet_length(pixels) >= height * width * 3").select("item_id", "height", "width", "pixels")
+    rows = rows.join(boxes.select("item_id", *CORNERS).dropna().distinct(), "item_id")
+    cut, far = _cut(*map(F.col, CORNERS)), _cut(F.col("x0") - ring, F.col("y0") - ring, F.col("x1") + ring, F.col("y1") + ring)
+    rows = rows.select("item_id", *CORNERS, "width", "pixels", *(c.alias(f"b{n}") for c, n in zip(cut, CORNERS, strict=True)), *(c.alias(f"w{n}") for c, n in zip(far, CORNERS, strict=True))).where("bx0 < bx1 and by0 < by1")
 
-def _colours(window: DataFrame) -> DataFrame:
-    """``(item_id, box, inside, r, g, b, n)``: the colours inside a box, and in its ring, with their pixels."""
-    wide, tall = F.col("wx1") - F.col("wx0"), F.col("wy1") - F.col("wy0")
+    def line(y: Column, left: str, right: str) -> Column:
+        return F.substring(F.col("pixels"), (y * F.col("width") + F.col(left)) * 3 + 1, (F.col(right) - F.col(left)) * 3)
 
-    def pixel(i: Column) -> Column:
-        y, x = F.col("wy0") + F.floor(i / wide).cast("int"), F.col("wx0") + i % wide
-        inside = (y >= F.col("by0")) & (y < F.col("by1")) & (x >= F.col("bx0")) & (x < F.col("bx1"))
-        return F.struct(inside.alias("inside"), F.substring(F.col("pixels"), (y * F.col("width") + x) * 3 + 1, F.lit(3)).alias("c"))
+    beside = lambda y: F.when((y >= F.col("by0")) & (y < F.col("by1")), F.array(line(y, "wx0", "bx0"), line(y, "bx1", "wx1"))).otherwise(F.array(line(y, "wx0", "wx1")))
+    around = F.flatten(F.transform(F.sequence("wy0", F.col("wy1") - 1), beside))
+    rows = rows.select("item_id", *CORNERS, around.alias("around"), F.transform(F.sequence("by0", F.col("by1") - 1), lambda y: line(y, "bx0", "bx1")).alias("inside"))
+    if alike:
+        rows = rows.groupBy("item_id", *CORNERS).agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("around", "inside")))
+    return rows
 
-    rows = window.select("item_id", "box", F.explode(F.transform(F.sequence(F.lit(0), wide * tall - 1), pixel)).alias("p"))
-    rows = rows.groupBy("item_id", "box", "p.inside", "p.c").agg(F.count("*").alias("n"))
-    code = F.conv(F.hex("c"), 16, 10).cast("int")
-    return rows.select("item_id", "box", "inside", *(F.shiftright(code, s).bitwiseAND(F.lit(255)).alias(c) for c, s in zip("rgb", (16, 8, 0), strict=True)), "n")
 
+def _pixels(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The pixels of all rows one after the other, and how many a row has."""
+    joined = pc.binary_join(lines, b"").cast(pa.large_binary())
+    at = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1]
+    return np.frombuffer(joined.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].reshape(-1, 3), np.diff(at) // 3
 
-def _twice_medians(counts: DataFrame, by: list[str]) -> DataFrame:
-    """``(by, r, g, b)``: twice the median of each channel over ``(by, r, g, b, n)``, the two middle values added.
 
-    A channel has 256 values, so a window holds no more rows.
-    """
-    channel = F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), F.col(c).alias("v")) for c in "rgb"))).alias("e")
-    values = counts.select(*by, "n", channel).groupBy(*by, "e.channel", "e.v").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*by, "channel")
-    rows = values.withColumns({"upto": F.sum("n").over(group.orderBy("v")), "all": F.sum("n").over(group)})
-    at = lambda rank: F.when((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank), F.col("v")).otherwise(0)
-    middle = at(F.floor((F.col("all") - 1) / 2)) + at(F.floor(F.col("all") / 2))
-    return rows.groupBy(*by).agg(*(F.sum(F.when(F.col("channel") == c, middle)).cast("int").alias(c) for c in "rgb"))
+def _twice_medians(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Twice the median of each channel over the pixels of each row, the two middle values added; no row is without pixels."""
+    row, first = np.repeat(np.arange(len(counts)), counts) * 256, np.cumsum(counts) - counts
+    ordered = [np.sort(row + values[:, k]) for k in range(3)]
+    return np.stack([v[first + (counts - 1) // 2] % 256 + v[first + counts // 2] % 256 for v in ordered], 1)
 
 
-def _twice_grounds(counts: DataFrame) -> DataFrame:
-    """``(item_id, box, r, g, b)``: twice the medians of what is around each box, or in it where nothing is."""
-    ringed = counts.groupBy("item_id", "box").agg(F.bool_or(~F.col("inside")).alias("ringed"))
-    return _twice_medians(counts.join(ringed, ["item_id", "box"]).where("inside <> ringed"), ["item_id", "box"])
+def _sides(around: pa.Array, inside: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ground and ink of each row, as ``box_colours`` has them."""
+    (ring, n_ring), (inner, n) = _pixels(around), _pixels(inside)
+    row, first, bare = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n, n_ring == 0
+    twice = np.empty((len(n), 3), np.int64)
+    twice[~bare] = _twice_medians(ring, n_ring[~bare])
+    twice[bare] = _twice_medians(inner[bare[row]], n[bare])
+    far = ((2 * inner.astype(np.int64) - twice[row]) ** 2).sum(1)  # below 2 ** 20
+    least = np.sort((row << 20) + far)[first + (3 * (n - 1) + 3) // 4] % (1 << 20)
+    kept = far >= least[row]
+    return twice // 2, _twice_medians(inner[kept], np.bincount(row[kept], minlength=len(n))) // 2
 
 
 def box_grounds(images: DataFrame, boxes: DataFrame, ring: int = RING) -> DataFrame:
     """``(item_id, x0, y0, x1, y1, colour)``: the colour around each box, as in ``box_colours``."""
-    grounds = _twice_grounds(staged(_colours(_window(images, boxes, ring)), "region-colours"))
-    return grounds.select("item_id", "box.*", F.array(*(F.floor(F.col(c) / 2).cast("int") for c in "rgb")).alias("colour"))
+    return box_colours(images, boxes, ring).select("item_id", *CORNERS, F.col("ground").alias("colour"))
 
 
 def box_colours(images: DataFrame, boxes: DataFrame, ring: int = RING) -> DataFrame:
@@ -120,18 +132,21 @@ def box_colours(images: DataFrame, boxes: DataFrame, ring: int = RING) -> DataFr
     the ground is no less than the upper quartile of such distances, interpolated between ranks as is usual: the pixels from rank
     ceil(3 (n - 1) / 4) on and those as far as they.  Medians between two values are rounded down.
     """
-    counts, by = staged(_colours(_window(images, boxes, ring)), "region-colours"), ["item_id", "box"]
-    grounds = staged(_twice_grounds(counts), "grounds")
-    inside = counts.where("inside").join(grounds.withColumnsRenamed({c: f"g{c}" for c in "rgb"}), by)
-    gaps = [2 * F.col(c) - F.col(f"g{c}") for c in "rgb"]
-    inside = inside.withColumn("far", sum((g * g for g in gaps), F.lit(0)))
-    # an image's pixels bound these windows: one row for each distance that occurs in a box
-    group = Window.partitionBy(*by)
-    ranks = inside.groupBy(*by, "far").agg(F.sum("n").alias("n")).withColumns({"upto": F.sum("n").over(group.orderBy("far")), "all": F.sum("n").over(group)})
-    least = ranks.where(F.col("upto") > F.ceil((F.col("all") - 1) * 3 / 4)).groupBy(*by).agg(F.min("far").alias("least"))
-    inks = _twice_medians(inside.join(least, by).where("far >= least").select(*by, "r", "g", "b", "n"), by)
-    three = lambda side: F.array(*(F.floor(F.col(f"{side}.{c}") / 2).cast("int") for c in "rgb"))
-    return grounds.alias("p").join(inks.alias("q"), by).select("item_id", "box.*", three("p").alias("ground"), three("q").alias("ink"))
+    rows = _pieces(images, boxes, ring)
+    keep = ["item_id", *CORNERS]
+    three = T.ArrayType(T.IntegerType())
+    kind = T.StructType([*rows.select(*keep).schema, T.StructField("ground", three), T.StructField("ink", three)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            step = max(1, TOGETHER * len(whole) // max(whole.nbytes, 1))
+            for at in range(0, len(whole), step):
+                batch = whole.slice(at, step)
+                ends = pa.array(np.arange(0, 3 * len(batch) + 1, 3, dtype=np.int32))
+                sides = [pa.ListArray.from_arrays(ends, pa.array(c.ravel().astype(np.int32))) for c in _sides(batch.column("around"), batch.column("inside"))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *sides], names=[*keep, "ground", "ink"])
+
+    return rows.mapInArrow(run, kind)
 
 
 def painted(images: DataFrame, fills: DataFrame, by: list[str], pad: int = PAINT) -> DataFrame:
