@@ -29,6 +29,8 @@ LEGIBLE_CONF = 60
 LEGIBLE_SIGNS = 3
 
 CORNERS = ["x0", "y0", "x1", "y1"]
+#: The most boxes of an image that are swept in one row.
+LISTED = 64
 #: Bytes of windows whose pixels are measured together; a window is never divided.
 TOGETHER = 1 << 20
 
@@ -49,13 +51,49 @@ def mask_areas(images: DataFrame, boxes: DataFrame, pad: int = MASK_PAD) -> Data
     """``(item_id, n_boxes, area, share)`` of every image of ``images(item_id, height, width)``: what its boxes cover together.
 
     A sweep: the upper and lower ends of an image's boxes cut it into bands; a box lies in whole bands,
-    and in a band the covered stretches are joined from left to right.  In a band, boxes that begin at one column
-    are one before the sort, so a window holds at most an image's width of rows, however many boxes there are.
+    and in a band the covered stretches are joined from left to right.  The boxes of an image are swept in its row; images
+    with more than ``LISTED`` boxes are swept over rows of bands.
     ``n_boxes`` counts different boxes that are left after cutting; an image without any has area 0, one
     without pixels a null share.
     """
     size = images.select("item_id", "height", "width")
-    cut = boxes.dropna(subset=CORNERS).join(size, "item_id").select("item_id", *(c.alias(n) for c, n in zip(_cut(*_grown(pad)), CORNERS, strict=True)))
+    grown = boxes.dropna(subset=CORNERS).select("item_id", *(c.cast("long").alias(n) for c, n in zip(_grown(pad), CORNERS, strict=True)))
+    crowded = staged(grown.where("item_id is not null").groupBy("item_id").count().where(F.col("count") > LISTED).select("item_id"), "crowded")
+    if crowded.isEmpty():
+        held = _swept_rows(size, grown)
+    else:
+        held = _swept_rows(size.join(crowded, "item_id", "left_anti"), grown.join(crowded, "item_id", "left_anti"))
+        held = held.unionByName(_swept_bands(size.join(crowded, "item_id"), grown.join(crowded, "item_id")))
+    return held.select("item_id", "n_boxes", "area", F.try_divide("area", F.col("height") * F.col("width")).alias("share"))
+
+
+def _swept_rows(size: DataFrame, boxes: DataFrame) -> DataFrame:
+    """``size`` with ``n_boxes`` and ``area``; an image has few boxes."""
+    listed = boxes.groupBy("item_id").agg(F.collect_set(F.struct(*CORNERS)).alias("boxes"))
+    cut = lambda b: F.struct(*(c.alias(n) for c, n in zip(_cut(*(b[n] for n in CORNERS)), CORNERS, strict=True)))
+    some = lambda b: (b["x0"] < b["x1"]) & (b["y0"] < b["y1"])
+    rows = size.join(listed, "item_id", "left").withColumn("boxes", F.array_sort(F.array_distinct(F.filter(F.transform("boxes", cut), some))))  # by x0
+    rows = rows.withColumn("ends", F.array_sort(F.array_distinct(F.flatten(F.transform("boxes", lambda b: F.array(b["y0"], b["y1"]))))))
+    none, zero = F.lit(0).cast("int"), F.lit(0).cast("long")
+
+    def stretches(top: Column) -> Column:
+        """What is covered of the band that begins at ``top``."""
+        further = lambda held, b: F.struct(F.greatest(held["reach"], b["x1"]).alias("reach"), (held["wide"] + F.greatest(b["x1"] - F.greatest(b["x0"], held["reach"]), none)).alias("wide"))
+        step = lambda held, b: F.when((b["y0"] <= top) & (b["y1"] > top), further(held, b)).otherwise(held)
+        return F.aggregate("boxes", F.struct(none.alias("reach"), none.alias("wide")), step, lambda held: held["wide"])
+
+    # above the first end nothing is covered
+    band = lambda held, low: F.struct(low.alias("top"), (held["area"] + (low - held["top"]).cast("long") * stretches(held["top"])).alias("area"))
+    area = F.aggregate("ends", F.struct(none.alias("top"), zero.alias("area")), band, lambda held: held["area"])
+    return rows.select("item_id", "height", "width", F.coalesce(F.when(F.col("boxes").isNotNull(), F.size("boxes").cast("long")), zero).alias("n_boxes"), F.coalesce(area, zero).alias("area"))
+
+
+def _swept_bands(size: DataFrame, boxes: DataFrame) -> DataFrame:
+    """``_swept_rows`` for images of any number of boxes.
+
+    In a band, boxes that begin at one column are one before the sort, so a window holds at most an image's width of rows.
+    """
+    cut = boxes.join(size, "item_id").select("item_id", *(c.alias(n) for c, n in zip(_cut(*map(F.col, CORNERS)), CORNERS, strict=True)))
     cut = staged(cut.where("x0 < x1 and y0 < y1").distinct(), "boxes")
     ends = cut.select("item_id", F.explode(F.array("y0", "y1")).alias("y")).distinct()
     ends = ends.groupBy("item_id").agg(F.array_sort(F.collect_list("y")).alias("ends"))  # at most height + 1
@@ -66,8 +104,7 @@ def mask_areas(images: DataFrame, boxes: DataFrame, pad: int = MASK_PAD) -> Data
     new = F.greatest(F.col("x1") - F.greatest("x0", F.coalesce(F.max("x1").over(left), F.lit(0))), F.lit(0))
     held = rows.select("item_id", (new * (F.col("band.low") - F.col("band.top"))).cast("long").alias("area"))
     held = held.groupBy("item_id").agg(F.sum("area").alias("area")).join(cut.groupBy("item_id").agg(F.count("*").alias("n_boxes")), "item_id")
-    area = F.coalesce("area", F.lit(0).cast("long"))
-    return size.join(held, "item_id", "left").select("item_id", F.coalesce("n_boxes", F.lit(0).cast("long")).alias("n_boxes"), area.alias("area"), F.try_divide(area, F.col("height") * F.col("width")).alias("share"))
+    return size.join(held, "item_id", "left").select("item_id", "height", "width", *(F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("n_boxes", "area")))
 
 
 def _pieces(images: DataFrame, boxes: DataFrame, ring: int) -> DataFrame:
